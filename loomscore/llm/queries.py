@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, scratch, simhash, token_files
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -20,6 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.components(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to files and read back from them."""
+    path = scratch.folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path).select(
+        "doc_id",
+        "start",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
     path = tokenizer("byte_bpe_50k.json")
@@ -36,5 +54,5 @@ def bpe_digest(df: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_files, op7_bpe)}
 SQL: dict[str, str] = {}
