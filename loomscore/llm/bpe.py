@@ -39,7 +39,7 @@ SHORT = 96
 #: Cells of one matrix of parts.
 CELLS = 1 << 18
 #: Entries of each generation of a cache.
-CACHED = 250_000
+CACHED = 60_000
 NONE = np.int32((1 << 31) - 1)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
