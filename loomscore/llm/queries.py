@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, scratch, simhash, token_files
+from . import bpe, cotraining, mpeg, quality_rules, scratch, simhash, token_files
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -38,6 +38,26 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by co-trained views of its content and its metadata."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).select("doc_id", *(F.round(c, 6).alias(c) for c in cotraining.SCORES), "kept")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and its likelihood ratio between trusted and raw text."""
+    labels = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), labels.select("doc_id"))
+    return judged.withColumn("score", F.round("score", 6))
+
+
+def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an MPEG audio stream, and what is read back from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mpeg.digest(mpeg.parsed(mpeg.stored(docs)))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
     path = tokenizer("byte_bpe_50k.json")
@@ -54,5 +74,5 @@ def bpe_digest(df: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_files, op7_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_files, op6_cotraining, op7_bpe, op9_quality_rules, op10_mpeg)}
 SQL: dict[str, str] = {}
