@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, mpeg, quality_rules, scratch, simhash, token_files
+from . import bpe, cotraining, license_rules, mpeg, quality_rules, scratch, simhash, token_files, url_cascade
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -20,6 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest rule's, else by a list of keys (host and path).
+
+    The list: keys that were crawled with a campaign parameter in their url.
+    """
+    pages = url_cascade.with_host_path(table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("key", F.concat("host", "path"))
+    listed = pages.filter(F.contains("url", F.lit("utm_source="))).select("key")
+    cascade, shards = url_cascade.build(pages.select("key"), listed)
+    found = url_cascade.judge(pages, "key", cascade, shards)
+    rule, verdict = url_cascade.rule_columns(RULES)
+    by_list = F.when(F.col("listed"), "block").otherwise("allow")
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")
+
+
+OP1_SQL = """
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+listed AS (SELECT DISTINCT host || path AS key FROM parts WHERE contains(url, 'utm_source=')),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, key IS NOT NULL AS listed
+FROM parts LEFT JOIN fit USING (page_id) LEFT JOIN listed ON key = host || path
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +71,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names."""
+    return license_rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by co-trained views of its content and its metadata."""
     docs = table(spark, sf_dir, "documents")
@@ -74,5 +112,5 @@ def bpe_digest(df: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_files, op6_cotraining, op7_bpe, op9_quality_rules, op10_mpeg)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op6_cotraining, op7_bpe, op9_quality_rules, op10_mpeg)}
+SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op4_license_rules": license_rules.scan_sql()}
