@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, license_rules, mpeg, quality_rules, scratch, simhash, token_files, url_cascade
+from . import bpe, cotraining, license_rules, mixing, mpeg, pii, quality_rules, scratch, simhash, token_files, url_cascade
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -76,6 +76,55 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix of sources has each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.apply(docs.select("doc_id", "source"), mixing.fit(docs))
+
+
+OP5_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce(source, '(none)') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS BIGINT) AS n FROM documents),
+totals AS (SELECT s, CAST(sum(n) AS BIGINT) AS t FROM docs GROUP BY s),
+p AS (SELECT t / sum(t) OVER () AS p, t FROM totals WHERE t > 0),
+facts AS (SELECT max(p) / min(p) AS spread, -sum(p * ln(p)) AS h, ln(count(*)) AS most, max(t) AS top, sum(t) AS total FROM p),
+bisect(i, elow, ehigh, rlow, rhigh) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN e THEN (elow + ehigh) / 2 ELSE elow END, CASE WHEN e THEN ehigh ELSE (elow + ehigh) / 2 END,
+    CASE WHEN r THEN (rlow + rhigh) / 2 ELSE rlow END, CASE WHEN r THEN rhigh ELSE (rlow + rhigh) / 2 END
+  FROM (
+    SELECT b.*, pow(spread, 1 - (rlow + rhigh) / 2) > 2.0 AS r,
+      (SELECT ln(sum(pow(p, (elow + ehigh) / 2))) - (elow + ehigh) / 2 * sum(pow(p, (elow + ehigh) / 2) * ln(p)) / sum(pow(p, (elow + ehigh) / 2)) FROM p) >= 0.95 * most AS e
+    FROM bisect b, facts WHERE i < 40)),
+found AS (SELECT greatest(CASE WHEN h >= 0.95 * most THEN 1 ELSE elow END, CASE WHEN spread <= 2.0 THEN 0 ELSE rhigh END) AS x, top, total FROM bisect, facts WHERE i = 40),
+norm AS (SELECT x, top, total, (SELECT sum(pow(p, x)) FROM p) AS z FROM found),
+weighed AS (
+  SELECT s, t, CASE WHEN t > 0 THEN round(pow(t / total, x) / z, 9) ELSE 0 END AS weight, ceil(top / round(pow(top / total, x) / z, 9)) AS budget FROM totals, norm),
+quotas AS (SELECT s, t, weight, CASE WHEN t > 0 THEN greatest(CAST(floor(weight * budget) AS BIGINT), t) ELSE 0 END AS quota FROM weighed),
+sources AS (
+  SELECT s, t, weight, quota, CASE WHEN t > 0 THEN quota // t ELSE 1 END AS passes,
+    CAST(least(4096, greatest(1, ceil(t / 65536))) AS BIGINT) AS blocks FROM quotas),
+placed AS (
+  SELECT d.doc_id, d.source, d.s, d.n, passes, weight, quota - passes * t AS rest,
+    CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block
+  FROM docs d JOIN sources USING (s)),
+per_block AS (SELECT s, block, sum(n) AS n, any_value(passes) AS passes, any_value(rest) AS rest FROM placed GROUP BY s, block),
+ranked AS (
+  SELECT s, block, n, passes, rest,
+    sum(n) OVER (PARTITION BY s ORDER BY md5('mix|' || (passes + 1) || '|' || s || '|' || block), block ROWS UNBOUNDED PRECEDING) - n AS before,
+    row_number() OVER (PARTITION BY s ORDER BY md5('mix|1|' || s || '|' || block), block) AS first_rank
+  FROM per_block),
+blocks AS (SELECT *, rest > 0 AND before + n <= rest AS last_pass, before < rest AND NOT (rest > 0 AND before + n <= rest) AS at_end FROM ranked),
+cut AS (SELECT p.s, p.doc_id, sum(p.n) AS n, any_value(b.passes) AS passes, any_value(b.rest - b.before) AS rest FROM placed p JOIN blocks b ON p.s = b.s AND p.block = b.block AND b.at_end GROUP BY ALL),
+ends AS (
+  SELECT s, doc_id, sum(n) OVER (PARTITION BY s ORDER BY md5('mix|' || (passes + 1) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS UNBOUNDED PRECEDING) - n < rest AS ends_in FROM cut)
+SELECT p.doc_id, p.source, p.weight, p.block, b.first_rank, CAST(p.passes + CAST(b.last_pass OR coalesce(e.ends_in, false) AS BIGINT) AS BIGINT) AS copies
+FROM placed p JOIN blocks b ON p.s = b.s AND p.block = b.block LEFT JOIN ends e ON e.s = p.s AND e.doc_id IS NOT DISTINCT FROM p.doc_id
+"""
+
+
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by co-trained views of its content and its metadata."""
     docs = table(spark, sf_dir, "documents")
@@ -83,6 +132,11 @@ def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(docs, model).select("doc_id", *(F.round(c, 6).alias(c) for c in cotraining.SCORES), "kept")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data and secrets."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and its likelihood ratio between trusted and raw text."""
     labels = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
@@ -112,5 +166,5 @@ def bpe_digest(df: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op6_cotraining, op7_bpe, op9_quality_rules, op10_mpeg)}
-SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op4_license_rules": license_rules.scan_sql()}
+QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op5_mixing, op6_cotraining, op7_bpe, op8_pii, op9_quality_rules, op10_mpeg)}
+SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op5_mixing": OP5_SQL, "op4_license_rules": license_rules.scan_sql()}
