@@ -131,24 +131,34 @@ def parse_by_alias(raw: Column | str, entries: Column) -> Column:
     )
 
 
-def parse_judgement(raw: Column | str, ids: Column | str) -> Column:
-    """A reviewer's JSON: fields outside their domains become empty, notes are cut at 300 characters; no JSON gives "(unparsable)"."""
-    ids = col(ids)
+def parse_judgement(raw: Column | str, ids: Column | str, condition: Column | str = "condition") -> Column:
+    """A reviewer's JSON as a struct of judgements.
+
+    Values outside their domains become empty; a referent counts only with
+    "unambiguous", naturalness and addressee only under condition "full".
+    Notes are cut at 300 characters; without an object they hold
+    "(unparsable)" and the answer's first 120.
+    """
+    raw, ids, full = col(raw), col(ids), col(condition) == "full"
     body = json_object(strip(raw))
-    read = F.from_json(body, "referent_id string, addressee_id string, context_sufficient string, ambiguity string, naturalness_1to5 string, notes string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    bad = body.isNull() | read["_bad"].isNotNull()
+    names = ("referent_id", "addressee_id", "context_sufficient", "ambiguity", "naturalness_1to5", "notes")
+    read = F.from_json(body, ", ".join(f"{n} string" for n in names) + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    empty = body.isNull() | read["_bad"].isNotNull() | F.regexp_like(body, F.lit(r"^\{\s*\}$"))
 
-    def one_of(field: str, domain: Column) -> Column:
+    def one_of(field: str, domain: Column, when: Column, low: bool = False) -> Column:
         value = F.coalesce(strip(read[field]), F.lit(""))
-        return F.when(~bad & F.array_contains(domain, value), value).otherwise("").alias(field)
+        value = F.lower(value) if low else value
+        return F.when(~empty & when & F.array_contains(domain, value), value).otherwise("").alias(field)
 
     def words(*w: str) -> Column:
         return F.array(*map(F.lit, w))
 
+    sure = F.lower(F.coalesce(strip(read["ambiguity"]), F.lit(""))) == "unambiguous"
+    notes = F.when(F.coalesce(raw, F.lit("")) == "", "(no response)").when(empty, F.concat(F.lit("(unparsable) "), F.replace(F.left(raw, F.lit(120)), F.lit("\n"), F.lit(" ")))).otherwise(F.left(F.coalesce(read["notes"], F.lit("")), F.lit(300)))
+    always = F.lit(True)
     return F.struct(
-        one_of("referent_id", ids), one_of("addressee_id", ids), one_of("context_sufficient", words("yes", "no")), one_of("ambiguity", words(*AMBIGUITY)),
-        one_of("naturalness_1to5", words("1", "2", "3", "4", "5")),
-        F.when(bad, "(unparsable)").otherwise(F.left(F.coalesce(read["notes"], F.lit("")), F.lit(300))).alias("notes"),
+        one_of("referent_id", ids, sure), one_of("addressee_id", ids, full), one_of("context_sufficient", words("yes", "no"), always, True), one_of("ambiguity", words(*AMBIGUITY), always, True),
+        one_of("naturalness_1to5", words("1", "2", "3", "4", "5"), full), notes.alias("notes"),
     )
 
 

@@ -537,8 +537,8 @@ def link_issues(spark, sf):
 def payload_leaks(spark, sf):
     kept, _ = dialogue.evaluation_split(dialogue.neutral_ids(derived(spark, sf)))
     items, gold = dialogue.items(kept), dialogue.gold(kept)
-    own = items.join(gold.select("item_id", F.map_values("id_map").alias("original_ids"), F.col("gold_entity_id").alias("gold_id")), "item_id")
-    return rules.issues(own.drop("gold_id"), rules.payload_rules({"full_mcq": F.col("full_text"), "target_only_mcq": F.col("local_text")}), "item_id").groupBy("level", "code").agg(F.count("*").alias("n"))
+    own = items.join(gold.select("item_id", F.map_values("id_map").alias("original_ids")), "item_id")
+    return rules.issues(own, rules.payload_rules({"full_mcq": F.col("full_text"), "target_only_mcq": F.col("local_text")}, items.columns), "item_id").groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
 @query()
