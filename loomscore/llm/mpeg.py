@@ -2,8 +2,8 @@
 
 ``parse`` reads any MPEG-1, 2 or 2.5 stream of Layers I to III: it skips and
 reads ID3v2 and ID3v1 tags, finds the next frame again after bytes that are
-none (a header counts if the frame that it announces ends at another header,
-a tag or the end), reads Xing, Info and VBRI tables, verifies Layer III
+none (a header counts if its frame's checksum holds, or if the frame ends at
+another header or the end), reads Xing, Info and VBRI tables, verifies Layer III
 checksums, and gives the exact duration and the offset of each audio frame.
 
 ``store`` puts bytes into such a stream: after an ID3v2 tag and a Xing table,
@@ -157,15 +157,15 @@ def parse(data: bytes) -> Stream:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = at + h.size if h else 0
-        known = bool(s.offsets or s.table)  # in step: only the frame's own end must be there
-        if h is None or after > end or not (known and not s.skipped or after == end or header(data[after : after + 4])):
+        tested = h is not None and after <= end and h.checked and h.layer == 3
+        same = tested and checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h is None or after > end or not (same or after == end or header(data[after : after + 4])):
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
             s.skipped += step - at
             at = step
             continue
-        if h.checked and h.layer == 3:
-            same = checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if tested:
             s.good, s.bad = s.good + same, s.bad + (not same)
         if s.offsets or s.table or not read_table(data[at:after], h, s):
             s.offsets.append(at)
