@@ -54,8 +54,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity has one of these.
-HINT = rf"[0-9@]|AKIA|ASIA|(?i:{ASSIGNED})|(?:{TITLES})\.? \p{{Lu}}"
+#: Every entity has one of these; the classes in front keep most places in a text from being tried further.
+HINT = rf"[0-9@=:]|A[KS]IA|(?=[{''.join(sorted({t[0] for t in (*FEMALE, *MALE, *EITHER)}))}])(?:{TITLES})\.? \p{{Lu}}"
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу")}
@@ -112,11 +112,15 @@ def pick(letters: str, at: Column) -> Column:
     return F.lit(letters).substr(F.pmod(at, F.lit(len(letters))) + 1, F.lit(1))
 
 
+def drawn(key: str, *of: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), *of), 512)
+
+
 class Draw:
-    """Bytes of a keyed hash of an entity and the attempt."""
+    """Bytes of a hash that ``drawn`` made of an entity and the attempt."""
 
-    def __init__(self, key: str, *of: Column):
-        self.hex = F.sha2(F.concat_ws("|", F.lit(key), *of), 512)
+    def __init__(self, hex_digits: Column):
+        self.hex = hex_digits
 
     def at(self, i: Column | int) -> Column:
         i = F.pmod(F.lit(i) if isinstance(i, int) else i, F.lit(64)).cast("int")
@@ -165,8 +169,18 @@ def invented(kind: Column, canon: Column, attempt: Column, draw: Draw) -> Column
     return F.when(canon.rlike(r"\p{IsCyrillic}"), word("cyrillic")).otherwise(word("latin"))
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    draw = Draw(key, kind, canon, attempt.cast("string"))
+def surrogates(entities: Column, key: str) -> Column:
+    """Of an array of (kind, canon, attempt).  Hashes are taken once an entity, before its letters are drawn."""
+    hashed = F.transform(entities, lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon"), e["attempt"].alias("attempt"), drawn(key, e["kind"], e["canon"], e["attempt"].cast("string")).alias("hex")))
+    return F.transform(hashed, lambda e: surrogate(e["kind"], e["canon"], e["attempt"], e["hex"], key))
+
+
+def of_entity(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    return F.element_at(surrogates(F.array(F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))), key), 1)
+
+
+def surrogate(kind: Column, canon: Column, attempt: Column, hashed: Column, key: str) -> Column:
+    draw = Draw(hashed)
     domain = F.substring_index(canon, "@", -1)
     email = F.concat(same_classes(F.substring_index(canon, "@", 1), draw), F.lit("@"), F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), domain, attempt.cast("string")), 256), 1, 10), F.lit(".example"))
     octets = F.concat_ws(".", *((draw.at(k) % 254 + 1).cast("string") for k in range(4)))
@@ -204,20 +218,27 @@ def cased(v: Column, s: Column) -> Column:
     return F.when((v == F.upper(v)) & (F.length(v) > 1), F.upper(s)).otherwise(s)
 
 
-def replaced(match: Column, attempts: Column | None, key: str) -> Column:
-    """What stands for a match; ``attempts``: kind and canonical form to attempt, where it isn't 0."""
+def replaced(found: Column, attempts: Column | None, key: str) -> Column:
+    """What stands for each match; ``attempts``: kind and canonical form to attempt, where it isn't 0."""
 
-    def drawn(p: Column) -> Column:
+    def tried(p: Column) -> Column:
         kind, canon = p.getField("kind"), p.getField("canon")
         attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws("|", kind, canon)), F.lit(0))
-        return surrogate(kind, canon, attempt, key)
+        return F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))
 
-    v, kind = match.getField("v"), match.getField("kind")
-    found = F.transform(parts(match), drawn)
-    words = F.split(v, " ")
-    name = F.concat_ws(" ", F.element_at(words, 1), F.zip_with(F.slice(words, 2, 2), found, lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.lit(60))))))
-    one = F.element_at(found, 1)
-    return F.when(kind == "name", name).when(kind.isin("card", "phone", "ssn", "iban"), laid_out(v, one)).when(kind == "email", cased(v, one)).when(kind == "ipv6", cased(v, one)).otherwise(one)
+    def written(m: Column) -> Column:
+        v, kind, new = m["v"], m["kind"], m["new"]
+        words, one = F.split(v, " "), F.element_at(new, 1)
+        named = F.zip_with(F.slice(words, 2, 2), new, lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.lit(60)))))
+        return (
+            F.when(kind == "name", F.concat_ws(" ", F.element_at(words, 1), named))
+            .when(kind.isin("card", "phone", "ssn", "iban"), laid_out(v, one))
+            .when(kind.isin("email", "ipv6"), cased(v, one))
+            .otherwise(one)
+        )
+
+    with_new = F.transform(found, lambda m: F.struct(m["v"].alias("v"), m["kind"].alias("kind"), surrogates(F.transform(parts(m), tried), key).alias("new")))
+    return F.transform(with_new, written)
 
 
 # -- tables ------------------------------------------------------------------
@@ -230,7 +251,7 @@ def matches(text: str) -> Column:
 
 def second_attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of those entities whose first surrogate collides with another's surrogate or original."""
-    held = scratch.written(entities.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.lit(0), key)))
+    held = scratch.written(entities.withColumn("attempt", F.lit(0)).withColumn("s", of_entity(F.col("kind"), F.col("canon"), F.lit(0), key)))
     originals = entities.select("kind", F.col("canon").alias("s")).withColumn("taken", F.lit(True))
     for _ in range(ROUNDS):
         order = W.partitionBy("kind", "s").orderBy("attempt", "canon")
@@ -239,7 +260,7 @@ def second_attempts(entities: DataFrame, key: str) -> DataFrame:
         if marked.filter("again").isEmpty():
             break
         attempt = F.col("attempt") + F.col("again").cast("int")
-        held = scratch.written(marked.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), surrogate(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("s")).alias("s")))
+        held = scratch.written(marked.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), of_entity(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("s")).alias("s")))
     else:
         raise ValueError("no surrogates without collisions found")
     return held.filter("attempt > 0").select("kind", "canon", "attempt")
@@ -248,19 +269,19 @@ def second_attempts(entities: DataFrame, key: str) -> DataFrame:
 def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``df`` with the entities of ``text`` replaced, and n_pii and pii_kinds (different kinds, sorted, joined by commas)."""
     keep = [c for c in df.columns if c not in ("n_pii", "pii_kinds")]
-    found = df.select(matches(text).alias("m")).filter(F.size("m") > 0)
-    entities = found.select(F.explode(F.flatten(F.transform("m", parts))).alias("p")).select("p.kind", "p.canon").distinct()
+    hinted = df.filter(F.col(text).rlike(HINT)).select(text)
+    # explode_outer: no filter on its input is inferred, which would look for the matches a second time
+    each = hinted.select(F.col(text), F.explode_outer(F.flatten(F.transform(matches(text), parts))).alias("p"))
+    entities = each.select("p.kind", "p.canon").filter("kind IS NOT NULL").distinct()
     again = second_attempts(scratch.written(entities), key)
-    rows = df.select(*keep).withColumn("__m", matches(text))
-    if again.isEmpty():
-        rows = rows.withColumn("__a", F.lit(None).cast("map<string,int>"))
-    else:
-        of_text = df.select(F.xxhash64(text).alias("__h"), matches(text).alias("m")).filter(F.size("m") > 0)
-        of_text = of_text.select("__h", F.explode(F.flatten(F.transform("m", parts))).alias("p")).select("__h", "p.kind", "p.canon").join(joins.sized(again), ["kind", "canon"])
-        attempts = of_text.distinct().groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__a"))
-        rows = rows.withColumn("__h", F.when(F.size("__m") > 0, F.xxhash64(text))).join(joins.sized(attempts), "__h", "left")
+    rows, attempts = df.select(*keep).withColumn("__m", matches(text)), None
+    if not again.isEmpty():
+        of_text = each.select(F.xxhash64(text).alias("__h"), "p.kind", "p.canon").join(joins.sized(again), ["kind", "canon"]).distinct()
+        of_text = of_text.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__a"))
+        rows = rows.withColumn("__h", F.when(F.size("__m") > 0, F.xxhash64(text))).join(joins.sized(scratch.written(of_text)), "__h", "left")
+        attempts = F.col("__a")
     between = F.split(F.col(text), ANY, -1)
-    new = F.array_join(F.zip_with(between, F.transform("__m", lambda m: replaced(m, F.col("__a"), key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    new = F.array_join(F.zip_with(between, replaced(F.col("__m"), attempts, key), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__m", lambda m: m.getField("kind")))), ",")
     hit = F.size("__m") > 0
     return rows.select(
