@@ -80,11 +80,11 @@ def bootstrap(rows: DataFrame, cluster: str, statistic: Statistic, n_boot: int =
     slots = numbered.select(F.col("__i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
     word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("boot").cast("string"), F.col("slot").cast("string")))
     pick = F.conv(F.substring(word, 1, 8), 16, 10).cast("long")
-    # one row, whatever the input
-    drawn = slots.join(F.broadcast(point.select("n_clusters")), F.lit(True)).select("boot", F.pmod(pick, F.col("n_clusters")).alias("__i"))
+    drawn = slots.select("boot", F.pmod(pick, total.select("n_clusters").scalar()).alias("__i"))
     replicates = drawn.join(numbered.drop("__c", "__rows"), "__i").groupBy("boot").agg(*(F.sum(c).alias(c) for c in statistic.sums)).select(statistic.value.alias("v"))
     ci = replicates.agg(percentile(F.col("v"), alpha / 2).alias("ci_low"), percentile(F.col("v"), 1 - alpha / 2).alias("ci_high"), F.count("*").alias("n_boot"), F.count_if(F.col("v").isNull()).alias("n_undefined"))
-    return point.join(F.broadcast(ci), F.lit(True)).select("point", "ci_low", "ci_high", "n_rows", "n_clusters", "n_boot", "n_undefined")
+    ci = ci.withColumn("p", point.select(F.struct("point", "n_rows", "n_clusters").alias("p")).scalar()).select("p.*", "ci_low", "ci_high", "n_boot", "n_undefined")
+    return ci.select("point", "ci_low", "ci_high", "n_rows", "n_clusters", "n_boot", "n_undefined")
 
 
 def paired_items(rows: DataFrame, a: str, b: str, cluster: str, order: str) -> DataFrame:

@@ -475,8 +475,8 @@ def majority_role_prior(spark, sf):
     items, gold = dialogue.items(kept), dialogue.gold(kept)
     both = items.join(gold.select("item_id", "entity_roles", "gold_entity_id"), "item_id")
     both = both.withColumn("candidates", F.transform("candidates", lambda c: F.struct(c["entity_id"].alias("entity_id"), c["label"].alias("label"), c["aliases"].alias("aliases"), F.try_element_at("entity_roles", c["entity_id"]).alias("role"))))
-    top = metrics.majority_role(both)  # one row
-    return both.join(F.broadcast(top.select(F.col("role").alias("top"))), F.lit(True)).withColumn("r", baselines.majority_role_prior(F.col("top"))).select("item_id", "r.*")
+    top = metrics.majority_role(both).select("role").scalar()
+    return both.withColumn("top", top).withColumn("r", baselines.majority_role_prior(F.col("top"))).select("item_id", "r.*")
 
 
 # -- rules -------------------------------------------------------------------
