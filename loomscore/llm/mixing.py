@@ -83,12 +83,12 @@ def fit(df: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repe
     all_ = totals.filter("t > 0").agg(F.array_sort(F.collect_list(F.col("t"))).alias("ts"), F.sum("t").alias("all"))
     shares = all_.select("ts", "all", F.expr("transform(ts, t -> t / all)").alias("p")).withColumn("x", exponent(entropy, repeats))
     norm = shares.select("x", "all", F.expr("aggregate(p, 0D, (a, s) -> a + pow(s, x))").alias("z"), F.expr("array_max(ts)").alias("top"))
-    weight = F.when(F.col("t") > 0, F.round(F.pow(F.col("t") / F.col("all"), F.col("x")) / F.col("z"), 9)).otherwise(0.0)
-    top_weight = F.round(F.pow(F.col("top") / F.col("all"), F.col("x")) / F.col("z"), 9)
-    tokens = F.lit(float(budget)) if budget is not None else F.ceil(F.col("top") / top_weight)
-    # norm has one row, whatever the input
-    weighed = totals.join(F.broadcast(norm), F.lit(True), "left").withColumn("weight", weight)
-    quota = F.when(F.col("t") > 0, F.floor(F.col("weight") * tokens)).otherwise(0).cast("long")
+    one = norm.select(F.struct("x", "all", "z", "top").alias("n")).scalar()  # one row, whatever the input
+    x, all_tokens, z, top = (one.getField(c) for c in ("x", "all", "z", "top"))
+    weight = F.when(F.col("t") > 0, F.round(F.pow(F.col("t") / all_tokens, x) / z, 9)).otherwise(0.0)
+    tokens = F.lit(float(budget)) if budget is not None else F.ceil(top / F.round(F.pow(top / all_tokens, x) / z, 9))
+    weighed = totals.withColumns({"weight": weight, "tokens": tokens})
+    quota = F.when(F.col("t") > 0, F.floor(F.col("weight") * F.col("tokens"))).otherwise(0).cast("long")
     quota = quota if budget is not None else F.greatest(quota, F.col("t"))
     sources = scratch.written(
         weighed.withColumn("quota", quota)
