@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-ROWS = 1000
+#: Rows that are in Python's hands at a time.
+ROWS = 500
 
 
 def texts(values: list[bytes | None]) -> list[str]:

@@ -38,6 +38,8 @@ OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     
 SHORT = 96
 #: Cells of one matrix of parts.
 CELLS = 1 << 18
+#: Ids that are decoded side by side, if a single text has no more.
+TOGETHER = 1 << 17
 #: Entries of each generation of a cache.
 CACHED = 60_000
 NONE = np.int32((1 << 31) - 1)
@@ -239,6 +241,18 @@ class ByteBpe:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """UTF-8 of the texts; bytes that aren't UTF-8 become U+FFFD, ids outside the table vanish."""
+        out: list[bytes] = []
+        start = 0
+        while start < len(ids):
+            end, held = start + 1, len(ids[start])
+            while end < len(ids) and held + len(ids[end]) <= 4 * TOGETHER:
+                held += len(ids[end])
+                end += 1
+            out += self._decode_some(ids[start:end])
+            start = end
+        return out
+
+    def _decode_some(self, ids: list[bytes]) -> list[bytes]:
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
         size = np.where(flat < len(self.lengths), self.lengths[np.minimum(flat, len(self.lengths) - 1)], 0)
@@ -252,13 +266,14 @@ class ByteBpe:
 class Cache(dict):
     """A dict of bounded size: a full generation is kept, and dropped when the next one is full."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = CACHED) -> None:
         super().__init__()
         self.old: dict = {}
+        self.size = size
 
     def missing(self, keys: set) -> list:
         """Those of ``keys`` without a value; all others are ready for lookups until the next call."""
-        if len(self) > CACHED:
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
         new = []
