@@ -121,17 +121,29 @@ class View:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling with smoothed targets, by Newton's method."""
+        """Platt scaling with smoothed targets, by Newton's method; a step that doesn't lower the loss is halved."""
         z = self.raw(x)
+        center, spread = float(z.mean()), max(float(z.std()), 1e-6)
         up, down = (y > 0.5).sum(), (y <= 0.5).sum()
         t = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
-        a = np.stack([z, np.ones(len(z))], 1)
-        w = np.array([1.0, 0.0])
+        a = np.stack([(z - center) / spread, np.ones(len(z))], 1)
+
+        def loss(w: np.ndarray) -> float:
+            v = a @ w
+            return float((np.logaddexp(0, v) - t * v).sum() + 5e-4 * (w @ w))
+
+        w = np.array([0.0, math.log((up + 1) / (down + 1))])
         for _ in range(50):
             p = sigmoid(a @ w)
-            grad = a.T @ (p - t) + 1e-3 * w
-            w = w - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), grad)
-        self.slope, self.shift = max(0.0, float(w[0])), float(w[1])
+            step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), a.T @ (p - t) + 1e-3 * w)
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+            if size * np.abs(step).max() < 1e-9:
+                break
+        self.slope = max(0.0, float(w[0])) / spread
+        self.shift = float(w[1]) - self.slope * center
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.raw(x) + self.shift
