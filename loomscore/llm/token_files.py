@@ -41,14 +41,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import batches
-from .bpe import OTHER_SPACE, PUNCTUATION, SHORT, Cache
+from .bpe import OTHER_SPACE, SHORT, Cache
 
 MAGIC = b"LPF1"
 HEADER = struct.Struct("<4sIIIQQI")
 BLOCK = struct.Struct("<IBHH")
 BLOCK_IDS, SEGMENT_IDS, PERCENTILE, MAX_SHARDS = 256, 1 << 19, 90, 100_000
-#: Letters that normal forms and lower-casing treat one by one.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Entries of each generation of a cache of ids.
+HELD = 400_000
+# Letters that normal forms and lower-casing treat one by one.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+WORD = re.compile(LETTERS)
+#: Runs of such letters that another ASCII character or the end follows, so that a piece ends there; and what else is without white space.
+UNITS = re.compile(LETTERS + r"(?=[\x00-@\[-`{-\x7f]|\Z)|[^ \n]+")
 # The set-up of a tokenizer whose pieces never span white space, as its file spells it.
 SEPARABLE = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -146,8 +151,8 @@ class LibraryIds:
     """Ids of whole texts as the tokenizers library gives them, without special tokens around.
 
     If the tokenizer normalises and splits so that no piece spans white space,
-    a text's ids are those of its chunks in a row, and the library encodes each
-    different chunk once while a bounded cache holds it.  Any other tokenizer
+    a text's ids are those of its words and marks in a row, and the library
+    encodes each different one once while a bounded cache holds it.  Any other tokenizer
     or text goes through the library whole.
     """
 
@@ -167,56 +172,46 @@ class LibraryIds:
         for token, i in file["model"]["vocab"].items():
             self.ends[i] = token.endswith("</w>")
         self.kind = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
-        self.words, self.chunks = Cache(), Cache()
+        self.units = Cache(HELD)
 
     def whole(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-    def learn_words(self, words: set[str]) -> None:
-        """Words of LETTERS only: each is one piece, and only its last token ends a word."""
-        new = self.words.missing(words)
-        for a in range(0, len(new), 1000):
-            some = new[a : a + 1000]
+    def learn(self, units: set[str]) -> None:
+        """A word of LETTERS is one piece, and only its last token ends a word; so many words are encoded as one text."""
+        new = self.units.missing(units)
+        # these letters are lower-cased one by one, so a word has the ids of its lower case
+        low = {u: u.lower() for u in new if WORD.fullmatch(u)}
+        words = list(set(low.values()))
+        rest = [u for u in new if u not in low]
+        ids_of: dict[str, bytes] = {}
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(stops) == len(some):
-                self.words.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, [0, *stops], stops, strict=False))
+                raw = ids.tobytes()
+                ids_of.update((w, raw[i:j]) for w, i, j in zip(some, [0, *stops], stops, strict=False))
             else:
-                self.words.update(zip(some, self.whole(some), strict=True))
-
-    def learn_chunks(self, chunks: set[str]) -> None:
-        plain: list[tuple[str, str, str]] = []
-        rest: list[str] = []
-        for c in self.chunks.missing(chunks):
-            core = c.rstrip(PUNCTUATION)
-            if LETTERS.fullmatch(core):
-                plain.append((c, core, c[len(core) :]))
-            else:
-                rest.append(c)
-        self.learn_words({p[1] for p in plain})
-        marks = list({p[2] for p in plain})
-        of_marks = dict(zip(marks, self.whole(marks), strict=True))
-        for c, core, end in plain:
-            self.chunks[c] = self.words[core] + of_marks[end]
-        self.chunks.update(zip(rest, self.whole(rest), strict=True))
-        for _, core, _ in plain:
-            if len(core) > SHORT:
-                self.words.pop(core, None)
+                ids_of.update(zip(some, self.whole(some), strict=True))
+        self.units.update((u, ids_of[w]) for u, w in low.items())
+        self.units.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        easy = [i for i, t in enumerate(texts) if self.separable and "<|" not in t and not OTHER_SPACE.search(t)]
-        cut = {i: texts[i].split() for i in easy}
-        unseen = {c for chunks in cut.values() for c in chunks}
-        self.learn_chunks(unseen)
-        for i, chunks in cut.items():
-            out[i] = b"".join(map(self.chunks.__getitem__, chunks))
-        hard = [i for i in range(len(texts)) if i not in cut]
+        easy = [self.separable and "<|" not in t and not OTHER_SPACE.search(t) for t in texts]
+        cut = [UNITS.findall(t) if e else [] for t, e in zip(texts, easy, strict=True)]
+        found = [list(map(self.units.get, c)) for c in cut]
+        unseen = {u for c, f in zip(cut, found, strict=True) for u, v in zip(c, f, strict=True) if v is None}
+        self.learn(unseen)
+        units = self.units
+        # what was found stays in `found` even if the cache has just begun a new generation
+        out = [b"".join([units[u] if v is None else v for u, v in zip(c, f, strict=True)]) for c, f in zip(cut, found, strict=True)]
+        hard = [i for i, e in enumerate(easy) if not e]
         for i, ids in zip(hard, self.whole([texts[i] for i in hard]), strict=True):
             out[i] = ids
-        for c in unseen:
-            if len(c) > SHORT:
-                self.chunks.pop(c, None)
+        for u in unseen:
+            if len(u) > SHORT:
+                units.pop(u, None)
         return out
 
 
