@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PEOPLE = {"user": ("The", "and"), "assistant": ("of",), "system": ("to",)}
-MOST_TURNS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,14 +80,16 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations of 2 to MOST_TURNS turns as labelled dialogue records; the target is the last turn, its predicate the last word.
+    """Conversations as labelled dialogue records; the target is the last turn, its predicate the last word.
 
-    Longer ones are told from a count first, and never gathered into a row.
+    All are gathered, whatever their number of turns: a row's size is that of
+    its own dialogue.  Where there is one turn it is the target, no anchor
+    stands before it, and the shift columns are null.  Turns without a conv_id
+    belong to no conversation.
     """
-    t = turns(spark, sf_dir)
-    fit = t.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n").between(2, MOST_TURNS)).select("conv_id")
+    t = turns(spark, sf_dir).filter("conv_id IS NOT NULL")
     body = F.array_sort(F.collect_list(F.struct("turn_index", "speaker_id", "text"))).alias("dialogue")
-    r = t.join(fit, "conv_id", "left_semi").groupBy("conv_id").agg(body)
+    r = t.groupBy("conv_id").agg(body)
     people = F.array(*(F.struct(F.lit(p).alias("entity_id"), F.lit(p.capitalize()).alias("name"), F.array(*map(F.lit, a)).alias("aliases"), F.lit(p != "system").alias("in_dialogue")) for p, a in PEOPLE.items()))
     c, n = F.col("conv_id"), F.size("dialogue")
     target = F.try_element_at("dialogue", F.lit(-1))
