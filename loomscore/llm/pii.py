@@ -3,14 +3,16 @@
 Detected are e-mail addresses, IPv4 and IPv6 addresses, telephone, card and
 social security numbers, IBANs, access keys, long hexadecimal strings, values
 given to words like "password", and names that follow a title.  An entity is
-known by its kind and canonical form (digits only, lower case, one word of a
-name), so it gets one surrogate wherever and however it is written.
+known by its kind and canonical form (digits only, lower case, an IPv6 address
+in full, one word of a name), so it gets one surrogate wherever and however it
+is written.
 
 A surrogate is drawn from a keyed hash and keeps the kind, length, punctuation
 and case of what it replaces: digits for digits, letters for letters, a valid
 check digit for a card number that has one, a reserved domain for an e-mail
-address, and for a name's words invented ones of the same script, given names
-with the ending of the title's gender.
+address, for an IPv6 address one written in full, and for a name's words
+invented ones of the same script, given names with the ending of the title's
+gender.
 
 All different entities of the table are checked for collisions: no two of a
 kind may share a surrogate, and none may be another's original.  Those that do
@@ -37,6 +39,11 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин",
 EITHER = ("Dr", "Prof")
 TITLES = "|".join(sorted((*FEMALE, *MALE, *EITHER), key=len, reverse=True))
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+GROUP = "[0-9A-Fa-f]{1,4}"
+#: IPv6 with "::": groups before and after it, seven at most.
+SHORTENED = "|".join([*(f"(?:{GROUP}:){{{n}}}(?::{GROUP}){{1,{7 - n}}}" for n in range(1, 7)), f"(?:{GROUP}:){{1,7}}:", f":(?::{GROUP}){{1,7}}"])
+#: Before and after national numbers: not within a longer number or a list of numbers.
+NOT_AFTER, NOT_BEFORE = r"(?<![0-9A-Za-z+.,/-])(?<![0-9] )", r"(?![0-9]|[.,/-][0-9]| [0-9]{2}(?![0-9]))"
 ASSIGNED = r"(?:password|passwd|pwd|secret|token|api_key|apikey)"
 #: In order: where two begin at the same place, the first counts.
 PATTERNS = {
@@ -44,11 +51,16 @@ PATTERNS = {
     "secret": rf"(?<=(?i:{ASSIGNED})[=:] ?[\"']?)[A-Za-z0-9_\-./+]{{6,}}",
     "key": r"(?<![A-Z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6_short": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f]{{3,4}}:|(?:[0-9A-Fa-f]{{0,4}}:){{3}})(?:{SHORTENED})(?![0-9A-Za-z]|:[0-9A-Fa-f:]|\.[0-9])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "hex": r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,64}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])",
+    "phone_international": r"(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9])",
+    "phone_pairs": rf"{NOT_AFTER}0[1-9](?:(?: [0-9]{{2}}){{4}}|(?:\.[0-9]{{2}}){{4}}|(?:-[0-9]{{2}}){{4}}){NOT_BEFORE}",
+    "phone_run": rf"{NOT_AFTER}(?:0[1-9][0-9]{{1,4}}[ /-]|\((?:0[1-9][0-9]{{1,4}}|[2-9][0-9]{{2}})\) ?)[0-9]{{5,8}}{NOT_BEFORE}",
+    "phone_spanish": rf"{NOT_AFTER}(?:[6-9][0-9]{{2}}(?: [0-9]{{2}}){{3}}|9[1-8] [0-9]{{3}}(?: [0-9]{{2}}){{2}}){NOT_BEFORE}",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])",
     "phone_plain": r"(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
@@ -68,12 +80,12 @@ def kind_of(v: Column) -> Column:
         F.when(v.contains("@"), "email")
         .when(v.rlike(rf"^(?:{TITLES})\.? \p{{Lu}}"), "name")
         .when(v.rlike(r"^A(?:KIA|SIA)[0-9A-Z]{16}$"), "key")
-        .when(v.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"), "ipv6")
+        .when(v.rlike(r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}$"), "ipv6")
         .when(v.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ipv4")
         .when(v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{12,}$"), "iban")
         .when(v.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(v.rlike(r"^(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})$"), "card")
-        .when(v.rlike(r"^\+?[0-9(][0-9() .-]{6,}$"), "phone")
+        .when(v.rlike(r"^(?:\+?[0-9(][0-9() .-]{6,}|0[0-9]{2,5}/[0-9]{5,8})$"), "phone")
         .when(v.rlike(r"^[0-9A-Fa-f]{32,128}$"), "hex")
         .otherwise("secret")
     )
@@ -94,6 +106,17 @@ def name_parts(v: Column) -> Column:
     return F.transform(F.slice(words, 2, 2), lambda w, i: part(F.when(i + 2 == last, "name:family").otherwise(F.concat(F.lit("name:"), gender)), F.lower(w)))
 
 
+def full_address(v: Column) -> Column:
+    """An IPv6 address as eight groups of four digits."""
+
+    def groups(x: Column) -> Column:
+        return F.filter(F.split(x, ":"), lambda g: g != "")
+
+    before, after = groups(F.substring_index(v, "::", 1)), groups(F.substring_index(v, "::", -1))
+    all_groups = F.when(F.contains(v, F.lit("::")), F.concat(before, F.array_repeat(F.lit("0"), 8 - F.size(before) - F.size(after)), after)).otherwise(groups(v))
+    return F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def tagged(found: Column | str) -> Column:
     """(v, kind) of each match."""
     return F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
@@ -101,7 +124,7 @@ def tagged(found: Column | str) -> Column:
 
 def parts(match: Column) -> Column:
     v, kind = match.getField("v"), match.getField("kind")
-    canon = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(v, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(v, " ", "")).when(kind.isin("email", "ipv6"), F.lower(v)).otherwise(v)
+    canon = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(v, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(v, " ", "")).when(kind == "email", F.lower(v)).when(kind == "ipv6", full_address(F.lower(v))).otherwise(v)
     return F.when(kind == "name", name_parts(v)).otherwise(F.array(part(kind, canon)))
 
 
