@@ -17,7 +17,8 @@ gender.
 All different entities of the table are checked for collisions: no two of a
 kind may share a surrogate, and none may be another's original.  Those that do
 are drawn again, with the number of the attempt in the hash, until none is
-left.  Only the few with a second attempt are joined to the texts in which
+left; late attempts are longer than what they replace, so that short values
+can't run out of surrogates.  Only the few with a second attempt are joined to the texts in which
 they occur; all others are a function of the text itself.
 
 Null and empty texts stay as they are; texts without an entity stay the same
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import joins, scratch
 
-KEY, ROUNDS = "surrogates", 32
+#: Attempts from LONGER on add a digit each, so that a free surrogate always exists.
+KEY, LONGER = "surrogates", 8
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "госпожа", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "Господин")
 EITHER = ("Dr", "Prof")
@@ -48,7 +50,7 @@ ASSIGNED = r"(?:password|passwd|pwd|secret|token|api_key|apikey)"
 #: In order: where two begin at the same place, the first counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": rf"(?<=(?i:{ASSIGNED})[=:] ?[\"']?)[A-Za-z0-9_\-./+]{{6,}}",
+    "secret": rf"(?<=(?i:{ASSIGNED})[=:] ?[\"']?)(?=[_\-./+]*+[A-Za-z0-9])[A-Za-z0-9_\-./+]{{6,}}",
     "key": r"(?<![A-Z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ipv6_short": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f]{{3,4}}:|(?:[0-9A-Fa-f]{{0,4}}:){{3}})(?:{SHORTENED})(?![0-9A-Za-z]|:[0-9A-Fa-f:]|\.[0-9])",
@@ -212,7 +214,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, hashed: Column, key:
     front = digits.substr(F.lit(1), F.length(digits) - 1)
     valid = luhn_digit(canon.substr(F.lit(1), F.length(canon) - 1)) == last
     card = F.when(valid, F.concat(front, luhn_digit(front))).otherwise(digits)
-    return (
+    same_form = (
         F.when(kind == "email", email)
         .when(kind == "ipv4", octets)
         .when(kind.isin("hex", "ipv6"), hex_digits(canon, draw))
@@ -224,17 +226,21 @@ def surrogate(kind: Column, canon: Column, attempt: Column, hashed: Column, key:
         .when(kind.startswith("name:"), invented(kind, canon, attempt, draw))
         .otherwise(same_classes(canon, draw))
     )
+    more = F.translate(hashed.substr(F.lit(1), attempt - LONGER + 1), "abcdef", "012345")
+    # new domains and words of names differ without end as they are
+    return F.when((attempt >= LONGER) & (kind != "email") & ~kind.startswith("name:"), F.concat(same_form, more)).otherwise(same_form)
 
 
 def laid_out(v: Column, s: Column) -> Column:
-    """The letters and digits of ``s`` in the places of those of ``v``."""
+    """The letters and digits of ``s`` in the places of those of ``v``, and what is left of them at the end."""
 
     def one(i: Column) -> Column:
         c = v.substr(i, F.lit(1))
         before = F.length(F.regexp_replace(v.substr(F.lit(1), i), "[^0-9A-Za-z]", ""))
         return F.when(c.rlike("[0-9A-Za-z]"), s.substr(before, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), one), "")
+    places = F.length(F.regexp_replace(v, "[^0-9A-Za-z]", ""))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), one), ""), s.substr(places + 1, F.length(s)))
 
 
 def cased(v: Column, s: Column) -> Column:
@@ -276,17 +282,14 @@ def second_attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of those entities whose first surrogate collides with another's surrogate or original."""
     held = scratch.written(entities.withColumn("attempt", F.lit(0)).withColumn("s", of_entity(F.col("kind"), F.col("canon"), F.lit(0), key)))
     originals = entities.select("kind", F.col("canon").alias("s")).withColumn("taken", F.lit(True))
-    for _ in range(ROUNDS):
+    while True:
         order = W.partitionBy("kind", "s").orderBy("attempt", "canon")
         marked = held.withColumn("n", F.row_number().over(order)).join(originals, ["kind", "s"], "left")
         marked = scratch.written(marked.select("kind", "canon", "attempt", "s", ((F.col("n") > 1) | F.coalesce("taken", F.lit(False))).alias("again")))
         if marked.filter("again").isEmpty():
-            break
+            return held.filter("attempt > 0").select("kind", "canon", "attempt")
         attempt = F.col("attempt") + F.col("again").cast("int")
         held = scratch.written(marked.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), of_entity(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("s")).alias("s")))
-    else:
-        raise ValueError("no surrogates without collisions found")
-    return held.filter("attempt > 0").select("kind", "canon", "attempt")
 
 
 def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
