@@ -13,7 +13,8 @@ the first by a hash of their ids; scoring covers all rows.
 Empty and null texts score 0 and are rejected; null or new languages and
 sources have buckets of their own; repeated rows score alike.  Repeated labels
 of a document count as good only if all are.  If there are no labels of one
-kind, every text that isn't empty is kept with the labels' share as its score.
+kind, every text that isn't empty is kept with the labels' share as its score,
+even if all labels are bad.  A class's only label both fits and calibrates.
 ``score`` keeps all columns of its input and replaces those of SCORES and
 ``kept``.
 """
@@ -163,31 +164,42 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - math.log(self.prior / (1 - self.prior)))
 
 
+def split(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit and to calibrate on: the last quarter of each class calibrates, one row at least; a class's only row does both."""
+    fits, calibrates = [], []
+    for kind in (0, 1):
+        rows = np.flatnonzero(label == kind)
+        cut = len(rows) - max(1, len(rows) // 4)
+        fits.append(rows[: max(1, cut)])
+        calibrates.append(rows[cut:])
+    return np.sort(np.concatenate(fits)), np.sort(np.concatenate(calibrates))
+
+
 def cotrain(text: np.ndarray, metadata: np.ndarray, label: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """``label``: 0 or 1 for each row; the last quarter of the rows is for calibration."""
+    """``label``: 0 or 1 for each row; the last quarter of each class is for calibration."""
     prior = float(label.mean()) if len(label) else 1.0
-    cut = len(label) - len(label) // 4
-    if min(*(np.bincount(label[part], minlength=2).min() for part in (slice(None, cut), slice(cut, None))), cut) == 0:
+    if np.bincount(label, minlength=2).min() == 0:
         return Model(None, None, prior)
+    fits, calibrates = split(label)
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view was handed
     sides = (text, metadata)
 
     def fitted(k: int) -> View:
         own = given[k]
         rows = np.fromiter(own, np.int64, len(own))
-        return View.fit(np.vstack([sides[k][:cut], pool[k][rows]]), np.concatenate([label[:cut], np.fromiter(own.values(), np.int64, len(own))]))
+        return View.fit(np.vstack([sides[k][fits], pool[k][rows]]), np.concatenate([label[fits], np.fromiter(own.values(), np.int64, len(own))]))
 
     views = [fitted(0), fitted(1)]
     for _ in range(rounds):
         for k in (0, 1):
-            views[k].calibrate(sides[k][cut:], label[cut:])
+            views[k].calibrate(sides[k][calibrates], label[calibrates])
             p = sigmoid(views[k].log_odds(pool[k])) if len(pool[k]) else np.zeros(0)
             for kind, sure in ((1, p), (0, 1 - p)):
                 best = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= CONFIDENT and i not in given[1 - k]]
                 given[1 - k].update((i, kind) for i in best[: int(SHARE * len(p)) + 1])
         views = [fitted(0), fitted(1)]
     for k in (0, 1):
-        views[k].calibrate(sides[k][cut:], label[cut:])
+        views[k].calibrate(sides[k][calibrates], label[calibrates])
     return Model(views[0], views[1], prior)
 
 
@@ -223,7 +235,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     keep = [c for c in df.columns if c not in (*SCORES, "kept")]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(s, T.DoubleType()) for s in SCORES), T.StructField("kept", T.BooleanType())])
     at = [keep.index(c) if c in keep else None for c in (text, "lang", "source", "n_chars")]
-    names = schema.names
+    names, untrained = schema.names, model.text is None or model.metadata is None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -233,6 +245,6 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
             m = np.array([metadata_features(*z) for z in zip(*(b.column(k).to_pylist() if k is not None else [None] * b.num_rows for k in at[1:]), strict=True)])
             empty = np.array([not t or not t.strip() for t in raw])
             found = [np.where(empty, 0.0, s) for s in model.scores(x, m)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found), pa.array(~empty & (found[2] >= threshold))], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found), pa.array(~empty & (untrained | (found[2] >= threshold)))], names)
 
     return df.select(*keep).mapInArrow(run, schema)
