@@ -27,11 +27,22 @@ SENTENCES = {
     "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "apache-2-notice": "Licensed under the Apache License, Version 2.0",
     "apache-2-obtain": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+    "apache-2-header-line": "Licensed under the Apache License, Version 2.0 (the \"License\")",
+    "apache-2-asf": "The ASF licenses this file to you under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+    "apache-2-obtain-at": "You may obtain a copy of the License at",
+    "apache-2-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2-url-s": "https://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2-obtain-unless": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache-2-obtain-unless-s": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "apache-2-limits": "See the License for the specific language governing permissions and limitations under the License",
     "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-3-exactly": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+    "gpl-3-of-license": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
     "gpl-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "cc-by-nc-4-notice": "Licensed under CC BY-NC 4.0",
+    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "cc-by-4-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa-4-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
@@ -45,8 +56,17 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("GPL-3.0-or-later", ("gpl-later", "gpl-warranty")),
     ("GPL-3.0-or-later", ("gpl-later",)),
     ("GPL-3.0-only", ("gpl-3-notice",)),
+    ("GPL-3.0-only", ("gpl-3-exactly",)),
+    ("GPL-3.0-only", ("gpl-3-of-license",)),
     ("MPL-2.0", ("mpl-2-notice",)),
     ("Apache-2.0", ("apache-2-notice", "apache-2-obtain", "apache-2-limits")),
+    ("Apache-2.0", ("apache-2-obtain-at", "apache-2-url", "apache-2-limits")),
+    ("Apache-2.0", ("apache-2-obtain-at", "apache-2-url-s", "apache-2-limits")),
+    ("Apache-2.0", ("apache-2-obtain-unless",)),
+    ("Apache-2.0", ("apache-2-obtain-unless-s",)),
+    ("Apache-2.0", ("apache-2-header",)),
+    ("Apache-2.0", ("apache-2-header-line",)),
+    ("Apache-2.0", ("apache-2-asf",)),
     ("Apache-2.0", ("apache-2-notice",)),
     ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-source", "bsd-binary")),
@@ -54,6 +74,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit-condition", "as-is")),
     ("MIT", ("mit-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
     ("proprietary", ("all-rights",)),
