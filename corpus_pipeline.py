@@ -22,9 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
-    found = simhash.components(docs)
-    return docs.join(joins.sized(scratch.written(found.filter("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component: that with the smallest id, whether ids are repeated or null (``simhash.representatives``)."""
+    rows = scratch.written(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+    kept = scratch.written(simhash.representatives(rows, "__row"))
+    return rows.join(joins.sized(kept), "__row", "left_semi").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,6 +190,28 @@ def same(x: DataFrame, y: DataFrame) -> bool:
     return digest(x) == digest(y)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(fp, first, root) of each fingerprint of (doc_id, fp): its smallest doc_id and its component's smallest fingerprint."""
+    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = stars(index_links(firsts.select("fp")))
+    return scratch.written(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def representatives(df: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` (unique in ``df``) of one row of each component.
+
+    It is the row with the smallest id, a null one last; of an id's rows that
+    with the smallest hash of its text.  Components are told by their
+    fingerprints, as an id with two texts can be the smallest of two of them,
+    and components without an id have none.
+    """
+    columns = (F.col(key).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    docs = scratch.written(fingerprints(df.select(*columns)))
+    least = docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "key")).alias("m"))
+    of_root = least.join(placed(docs).select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
+    return of_root.select(F.col("m.key").alias(key))
+
+
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row.
 
@@ -199,9 +221,7 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     are ignored, so their names can't clash.  An empty table gives no rows.
     """
     docs = scratch.written(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
-    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stars(index_links(firsts.select("fp")))
-    placed = scratch.written(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    of_root = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = placed.join(of_root, "root").select("fp", "component_id")
+    roots = placed(docs)
+    of_root = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = roots.join(of_root, "root").select("fp", "component_id")
     return docs.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
