@@ -1,17 +1,19 @@
-"""Arrow batches in and out of Python, a bounded number of rows at a time."""
+"""Arrow batches in and out of Python, a bounded number of rows and bytes at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows that are in Python's hands at a time.
-ROWS = 500
+#: Rows that are in Python's hands at a time, and bytes of their texts if there is more than one row.
+ROWS, BYTES = 500, 4 << 20
 
 
 def texts(values: list[bytes | None]) -> list[str]:
@@ -19,10 +21,25 @@ def texts(values: list[bytes | None]) -> list[str]:
     return [v.decode("utf-8", "replace") if v else "" for v in values]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's texts and byte strings."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            out += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and ``most`` bytes of text; a longer row stands alone."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = np.cumsum(row_bytes(batch))
+        start = 0
+        while start < batch.num_rows:
+            held = ends[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, held + most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def append(df: DataFrame, source: str, target: str, kind: T.DataType, factory: Callable[[], Callable[[list], list]], drop: tuple[str, ...] = ()) -> DataFrame:

@@ -175,18 +175,12 @@ class ByteBpe:
             if len(r) > SHORT:
                 self.pieces[new[i]] = self.merge_long(r)
 
-    def forget_long(self, cache: Cache, keys: list[str]) -> None:
-        for k in keys:
-            if len(k) > SHORT:
-                cache.pop(k, None)
-
     def encode_all(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, cut into pieces by the pattern itself."""
         cut = [self.pattern.findall(p) for p in parts]
-        self.learn_pieces({x for c in cut for x in c})
+        self.learn_pieces(set().union(*cut))
         ids = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        for c in cut:
-            self.forget_long(self.pieces, c)
+        self.pieces.forget_long(set().union(*cut))
         return ids
 
     def learn_chunks(self, chunks: set[str]) -> None:
@@ -203,8 +197,7 @@ class ByteBpe:
         pieces = self.pieces
         for c, core, marks in plain:
             self.chunks[c] = pieces[core] + pieces[marks] if marks else pieces[core]
-        for _, core, marks in plain:
-            self.forget_long(pieces, [core, marks])
+        pieces.forget_long({p[1] for p in plain} | {p[2] for p in plain})
         self.chunks.update(zip(rest, self.encode_all([" " + c for c in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -236,7 +229,7 @@ class ByteBpe:
         for i, chunks in easy:
             chunks[0] = ""
             out[i] += b"".join(map(self.chunks.__getitem__, chunks[1:]))
-        self.forget_long(self.chunks, list(unseen))
+        self.chunks.forget_long(unseen)
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -276,13 +269,17 @@ class Cache(dict):
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
-        new = []
-        for k in keys.difference(self.keys()):
-            if (v := self.old.get(k)) is None:
-                new.append(k)
-            else:
-                self[k] = v
-        return new
+        new = keys.difference(self)
+        again = self.old.keys() & new
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return list(new - again)
+
+    def forget_long(self, keys: set) -> None:
+        """Drop those of ``keys`` with more than SHORT letters, so that the cache's size is bounded in bytes too."""
+        if max(map(len, keys), default=0) > SHORT:
+            for k in keys:
+                if len(k) > SHORT:
+                    self.pop(k, None)
 
 
 @lru_cache(maxsize=2)

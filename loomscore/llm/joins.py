@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of ids and flags up to which a side is broadcast.
-ROWS = 1_000_000
+#: Bytes up to which a side is broadcast.
+MOST = 16 << 20
 
 
-def sized(df: DataFrame, rows: int = ROWS) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(schema: T.StructType) -> F.Column:
+    """About what a row takes in memory: 16 bytes a column, and the length of texts and byte strings."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [f for f in schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    long += [F.octet_length(F.to_json(F.struct(f.name))) for f in nested]
+    return sum(long, F.lit(16 * len(schema))).cast("long")
+
+
+def sized(df: DataFrame, most: int = MOST) -> DataFrame:
+    """``df``, to be broadcast if its rows take at most ``most`` bytes; a larger one is joined by a shuffle."""
+    held = df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df
 
 
 def flagged(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:

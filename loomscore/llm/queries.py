@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, cotraining, license_rules, mixing, mpeg, pii, quality_rules, scratch, simhash, token_files, url_cascade
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,22 +6,33 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that open scopes have made, innermost scope last.
+SCOPES: list[list[str]] = []
+
+
 def folder(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only where none is set, as in
-    tests on one machine, a temporary folder is made and set.
+    The setting is read from the session.  Only where none is set and the
+    master is a local one, as in tests, a temporary folder is made and set;
+    on a cluster executors couldn't read it, so there a missing setting is an
+    error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomscore-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/loomscore-{uuid.uuid4().hex}"
+    if SCOPES:
+        SCOPES[-1].append(path)
     atexit.register(remove, spark, path)
     return path
 
@@ -35,6 +46,17 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside are deleted at its end; what is to stay is written to a folder made outside."""
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in SCOPES.pop():
+            remove(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
@@ -43,4 +65,11 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned and that nothing reads any more."""
+    remove(df.sparkSession, df._scratch)

@@ -33,6 +33,8 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +43,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import batches
-from .bpe import OTHER_SPACE, SHORT, Cache
+from .bpe import Cache
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 MAGIC = b"LPF1"
 HEADER = struct.Struct("<4sIIIQQI")
 BLOCK = struct.Struct("<IBHH")
 BLOCK_IDS, SEGMENT_IDS, PERCENTILE, MAX_SHARDS = 256, 1 << 19, 90, 100_000
-#: Entries of each generation of a cache of ids.
-HELD = 400_000
-# Letters that normal forms and lower-casing treat one by one.
-LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-WORD = re.compile(LETTERS)
-#: Runs of such letters that another ASCII character or the end follows, so that a piece ends there; and what else is without white space.
-UNITS = re.compile(LETTERS + r"(?=[\x00-@\[-`{-\x7f]|\Z)|[^ \n]+")
+#: Entries of each generation of the caches of ids: of chunks, and of words and marks that they consist of.
+HELD, WORDS_HELD = 250_000, 150_000
+#: Letters that normal forms leave alone and lower-casing treats one by one.
+WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: What may end a chunk after such letters; an apostrophe may not, as the pattern takes some letters after it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What str.split takes for white space but the tokenizer's pattern doesn't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 # The set-up of a tokenizer whose pieces never span white space, as its file spells it.
 SEPARABLE = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -151,8 +157,8 @@ class LibraryIds:
     """Ids of whole texts as the tokenizers library gives them, without special tokens around.
 
     If the tokenizer normalises and splits so that no piece spans white space,
-    a text's ids are those of its words and marks in a row, and the library
-    encodes each different one once while a bounded cache holds it.  Any other tokenizer
+    a text's ids are those of its chunks in a row, and the library encodes each
+    different one once while a bounded cache holds it.  Any other tokenizer
     or text goes through the library whole.
     """
 
@@ -172,46 +178,59 @@ class LibraryIds:
         for token, i in file["model"]["vocab"].items():
             self.ends[i] = token.endswith("</w>")
         self.kind = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
-        self.units = Cache(HELD)
+        self.chunks, self.words = Cache(HELD), Cache(WORDS_HELD)
+        self.plain = self.without_normal_forms() if self.separable else self.tokenizer
+
+    def without_normal_forms(self) -> Tokenizer:
+        """The same model for lower-case words of WORD with white space between: each is one piece, and normal forms leave it alone."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        plain = Tokenizer.from_str(self.tokenizer.to_str())
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
 
     def whole(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def learn(self, units: set[str]) -> None:
-        """A word of LETTERS is one piece, and only its last token ends a word; so many words are encoded as one text."""
-        new = self.units.missing(units)
-        # these letters are lower-cased one by one, so a word has the ids of its lower case
-        low = {u: u.lower() for u in new if WORD.fullmatch(u)}
-        words = list(set(low.values()))
-        rest = [u for u in new if u not in low]
-        ids_of: dict[str, bytes] = {}
-        for a in range(0, len(words), 1000):
-            some = words[a : a + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn_words(self, words: set[str]) -> None:
+        """Lower-case words; only the last token of each ends a word, so many are encoded as one text."""
+        new = self.words.missing(words)
+        for a in range(0, len(new), 1000):
+            some = new[a : a + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(stops) == len(some):
-                raw = ids.tobytes()
-                ids_of.update((w, raw[i:j]) for w, i, j in zip(some, [0, *stops], stops, strict=False))
+                self.words.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
             else:
-                ids_of.update(zip(some, self.whole(some), strict=True))
-        self.units.update((u, ids_of[w]) for u, w in low.items())
-        self.units.update(zip(rest, self.whole(rest), strict=True))
+                self.words.update(zip(some, self.whole(some), strict=True))
+
+    def learn(self, chunks: set[str]) -> None:
+        """A chunk of a word and MARKS is a piece for each; all others go through the library whole."""
+        new = self.chunks.missing(chunks)
+        cores = list(map(str.rstrip, new, repeat(MARKS)))
+        easy = [a and (b or bool(WORD.fullmatch(c))) for a, b, c in zip(map(str.isalpha, cores), map(str.isascii, cores), cores, strict=True)]
+        rest = [c for c, e in zip(new, easy, strict=True) if not e]
+        self.chunks.update(zip(rest, self.whole(rest), strict=True))
+        new, cores = list(compress(new, easy)), list(compress(cores, easy))
+        tails, lows = list(map(str.removeprefix, new, cores)), list(map(str.lower, cores))
+        marks, words = list(set(tails)), set(lows)
+        of_marks = dict(zip(marks, self.whole(marks), strict=True))
+        self.learn_words(words)
+        self.chunks.update(zip(new, map(bytes.__add__, map(self.words.__getitem__, lows), map(of_marks.__getitem__, tails)), strict=True))
+        self.words.forget_long(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        easy = [self.separable and "<|" not in t and not OTHER_SPACE.search(t) for t in texts]
-        cut = [UNITS.findall(t) if e else [] for t, e in zip(texts, easy, strict=True)]
-        found = [list(map(self.units.get, c)) for c in cut]
-        unseen = {u for c, f in zip(cut, found, strict=True) for u, v in zip(c, f, strict=True) if v is None}
+        easy = [self.separable and "<|" not in t and not any(c in t for c in SEPARATORS) for t in texts]
+        cut = [t.split() if e else [] for t, e in zip(texts, easy, strict=True)]
+        unseen = set().union(*cut)
         self.learn(unseen)
-        units = self.units
-        # what was found stays in `found` even if the cache has just begun a new generation
-        out = [b"".join([units[u] if v is None else v for u, v in zip(c, f, strict=True)]) for c, f in zip(cut, found, strict=True)]
+        get = self.chunks.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
         hard = [i for i, e in enumerate(easy) if not e]
         for i, ids in zip(hard, self.whole([texts[i] for i in hard]), strict=True):
             out[i] = ids
-        for u in unseen:
-            if len(u) > SHORT:
-                units.pop(u, None)
+        self.chunks.forget_long(unseen)
         return out
 
 

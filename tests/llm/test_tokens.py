@@ -1,9 +1,11 @@
 """BPE and token files against the tokenizers library."""
 
+import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tokenizers")
@@ -11,7 +13,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from loomscore.llm import bpe, queries, token_files  # noqa: E402
+from loomscore.llm import batches, bpe, queries, token_files  # noqa: E402
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD = [
@@ -25,9 +27,18 @@ def strange(n, seed=3):
     return ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(n)]
 
 
+def spaced(n, seed=5):
+    """Texts of all Unicode white space, separators, combining marks and letters that change length or depend on their place in lower case."""
+    r = random.Random(seed)
+    spaces = "".join(chr(c) for c in range(0x110000) if chr(c).isspace()) + "\x1c\x1d\u200b\u2060\ufeff\u180e"
+    marks = "\u0301\u0327\u0300\u0345\u05bf\u0653\u1100\u1161\u11a8\u0307\u0130\u0399\u03a3\u03c2\u1e9e"
+    letters = "aAb\xe9\xdf\u03a3\u03c3\u0130\u0131\u01c51\xb2\u0663.,'sSdD<|>_-"
+    return ["".join(r.choice(r.choice([spaces, marks, letters, letters])) for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
 def test_encode_and_decode_equal_the_library():
     library, own = Tokenizer.from_file(BYTES), bpe.ByteBpe(BYTES)
-    texts = ODD + strange(1500)
+    texts = ODD + strange(1500) + spaced(3000)
     ids = own.encode(texts)
     for text, raw, back in zip(texts, ids, own.decode(ids), strict=True):
         expected = library.encode(text, add_special_tokens=False).ids
@@ -59,8 +70,8 @@ def test_columns_of_nulls_repeats_and_clashing_names(spark):
 def test_library_ids_equal_whole_texts():
     own, library = token_files.LibraryIds(WORDS), Tokenizer.from_file(WORDS)
     assert own.separable
-    own.units.size = 50
-    for block in (ODD, strange(1500), ODD):
+    own.chunks.size = own.words.size = 50
+    for block in (ODD, strange(1500), spaced(3000), ODD):
         for text, raw in zip(block, own.encode(block), strict=True):
             assert np.frombuffer(raw, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
@@ -101,6 +112,35 @@ def test_empty_table_gives_no_segments(spark, tmp_path):
     assert token_files.read(spark, str(tmp_path / "f")).count() == 0
 
 
+def test_bpe_query_digests(spark):
+    library = Tokenizer.from_file(BYTES)
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    rows = queries.op7_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        expected = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == expected
+
+
+def test_slices_are_bounded_in_rows_and_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 50, 3, 3, 3, 0, 0)] + [None]), pa.array(range(8))], ["t", "n"])
+    parts = list(batches.slices([batch], rows=3, most=9))
+    assert [p.column(1).to_pylist() for p in parts] == [[0], [1], [2, 3, 4], [5, 6, 7]]
+    assert list(batches.slices([batch.slice(0, 0)])) == []
+
+
+def test_very_long_texts_equal_the_library():
+    text = ("Words, of many kinds: éß 'll 12 " * 40_000) + "x" * 300_000
+    ids = Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+    own = token_files.LibraryIds(WORDS)
+    assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == ids
+    assert max(map(len, own.chunks)) <= bpe.SHORT
+    short = text[: 1_200_000]
+    assert np.frombuffer(bpe.ByteBpe(BYTES).encode([short])[0], "<u4").tolist() == Tokenizer.from_file(BYTES).encode(short, add_special_tokens=False).ids
+
+
 def test_query_digests(spark):
     library = Tokenizer.from_file(WORDS)
     texts = {r["doc_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
