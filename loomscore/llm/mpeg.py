@@ -282,5 +282,6 @@ def digest(df: DataFrame) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
-        F.col("duration_s"),
+        "duration_s",
+        "frame_offsets",
     )

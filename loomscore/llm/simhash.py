@@ -7,9 +7,10 @@ a list.  Within a list the bytes shared at the same position are tallied for
 each pair met; a pair counts in the one list whose positions are the first
 four that it shares, needs the guaranteed minimum, and is then verified by its
 differing bits.  A long list, as a large group of near copies makes, is not
-compared pairwise: all fingerprints at most two bits from one another's
-midpoint are gathered by that midpoint, which finds the same links in time
-linear in the list.
+compared pairwise at once: its members agree in 32 bits, so those of a pair
+within four bits agree in at least four of the eight half-bytes left, and the
+list is split by positions and values of four half-bytes in the same way; a
+part that is still long agrees in 48 bits and is split by two-bit fields.
 
 A list gives links of each fingerprint to the smallest one that it reaches
 there, never all pairs; so no group's pairs are emitted.  Lists are runs of a
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import batches, scratch
+from . import batches, joins, scratch
 
 BITS, MATCHES, BYTES = 4, 4, 8
 LISTS = list(combinations(range(BYTES), MATCHES))
-#: Fingerprints of a list up to which all pairs are tallied.
+#: Fingerprints of a list up to which all pairs are tallied; longer ones are split by finer fields first, with the same links.
 PAIRWISE = 1024
 
 
@@ -91,41 +92,41 @@ def shared(x: np.ndarray) -> np.ndarray:
 TALLY = np.array([bin(m).count("1") for m in range(256)])
 #: The first four shared positions of each mask, as a list's number.
 FIRST = np.array([LISTS.index(s) if len(s := tuple(p for p in range(BYTES) if m >> (7 - p) & 1)[:MATCHES]) == MATCHES else -1 for m in range(256)])
-#: All differences of at most two bits.
-NEAR = np.array([0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i, j in combinations(range(64), 2))], np.uint64)
+#: Bits of the fields that a list is split by at each depth.
+FIELDS = (8, 4, 2)
 
 
 def linked(fps: np.ndarray, which: int) -> Iterator[tuple[int, int]]:
     """Positions of a list's members and of the smallest that they reach, without those that reach none smaller."""
-    n = len(fps)
-    forest = Forest(n)
-    if n <= PAIRWISE:
+    forest = Forest(len(fps))
+    free = [8 * (7 - p) for p in range(BYTES) if p not in LISTS[which]]  # lowest bits of the bytes that may differ
+    tally(fps, np.arange(len(fps)), free, 0, which, forest)
+    for i in range(len(fps)):
+        if (r := forest.root(i)) != i:
+            yield i, r
+
+
+def tally(fps: np.ndarray, members: np.ndarray, free: list[int], depth: int, which: int, forest: Forest) -> None:
+    """Join all pairs of ``members`` within BITS bits; they agree but for the fields of FIELDS[depth] bits that start at ``free``."""
+    n = len(members)
+    if n <= PAIRWISE or depth + 1 == len(FIELDS):
+        own = fps[members]
         for a in range(0, n, 256):
-            x = fps[a : a + 256, None] ^ fps[None, :]
+            x = own[a : a + 256, None] ^ own[None, :]
             mask = shared(x)
             for i, j in np.argwhere((TALLY[mask] >= MATCHES) & (FIRST[mask] == which) & (np.bitwise_count(x) <= BITS)).tolist():
                 if a + i < j:
-                    forest.join(a + i, j)
-    else:  # members share the list's 32 bits, so midpoints vary in the others only
-        free = sum(0xFF << 8 * (7 - p) for p in range(BYTES) if p not in LISTS[which])
-        near = NEAR[(NEAR & np.uint64(~free & (1 << 64) - 1)) == 0]
-        order = np.argsort(fps & np.uint64(free), kind="stable")
-        for top in range(16):  # a sixteenth of the midpoints at a time
-            mids, who = [], []
-            low = (free & -free).bit_length() - 1
-            for d in near:
-                m = fps[order] ^ d
-                k = np.flatnonzero((m >> np.uint64(low)) & np.uint64(15) == top)
-                mids.append(m[k])
-                who.append(order[k])
-            m, w = np.concatenate(mids), np.concatenate(who)
-            s = np.argsort(m, kind="stable")
-            m, w = m[s], w[s]
-            for k in np.flatnonzero(m[1:] == m[:-1]).tolist():
-                forest.join(int(w[k]), int(w[k + 1]))
-    for i in range(n):
-        if (r := forest.root(i)) != i:
-            yield i, r
+                    forest.join(int(members[a + i]), int(members[j]))
+        return
+    size = FIELDS[depth + 1]
+    fields = [at + k for at in free for k in range(0, FIELDS[depth], size)]
+    for some in combinations(range(len(fields)), MATCHES):
+        key = sum((fps[members] >> np.uint64(fields[f]) & np.uint64((1 << size) - 1)) << np.uint64(size * k) for k, f in enumerate(some))
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        rest = [at for f, at in enumerate(fields) if f not in some]
+        for k in np.flatnonzero(np.diff(cut) > 1).tolist():
+            tally(fps, members[order[cut[k] : cut[k + 1]]], rest, depth + 1, which, forest)
 
 
 def index_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
@@ -142,7 +143,10 @@ def index_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
         return bits
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # of the list that may go on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the list that may go on in the next batch
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
 
         def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             a, b = [], []
@@ -156,14 +160,22 @@ def index_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in it:
-            keys, fps = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-            held = (keys[last:], fps[last:])
-            yield links(keys[:last], fps[:last])
-        if len(held[0]):
-            yield links(*held)
-
-    lists = distinct.select(F.explode(F.array(*(key(n) for n in range(len(LISTS))))).alias("key"), F.col(fp))
+            keys, fps = (c.to_numpy() for c in batch.columns)
+            if not len(keys):
+                continue
+            if held and keys[-1] == held[0][0][0]:  # all of the batch belongs to the list held
+                held.append((keys, fps))
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            held.append((keys[:last], fps[:last]))
+            yield links(*joined())
+            held = [(keys[last:], fps[last:])]
+        if held:
+            yield links(*joined())
+
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of tasks: each row becomes 70, so AQE must not fold the small input into a few
+    lists = distinct.repartition(n, fp).select(F.explode(F.array(*(key(n) for n in range(len(LISTS))))).alias("key"), F.col(fp))
     dealt = lists.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -178,7 +190,9 @@ def stars(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         after = scratch.written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        if same(now, after):
+        done = same(now, after)
+        scratch.drop(now)
+        if done:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = after
 
@@ -192,7 +206,7 @@ def same(x: DataFrame, y: DataFrame) -> bool:
 
 def placed(docs: DataFrame) -> DataFrame:
     """(fp, first, root) of each fingerprint of (doc_id, fp): its smallest doc_id and its component's smallest fingerprint."""
-    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = scratch.written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = stars(index_links(firsts.select("fp")))
     return scratch.written(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
@@ -222,6 +236,7 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     docs = scratch.written(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
     roots = placed(docs)
-    of_root = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = roots.join(of_root, "root").select("fp", "component_id")
-    return docs.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_root = scratch.written(roots.groupBy("root").agg(F.min("first").alias("component_id")))
+    # written tables, so that both joins read plain exchanges, whose skewed partitions (a fingerprint of very many copies, a root of very many fingerprints) AQE splits
+    found = scratch.written(roots.join(joins.sized(of_root), "root").select("fp", "component_id"))
+    return docs.join(joins.sized(found), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

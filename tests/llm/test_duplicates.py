@@ -84,10 +84,58 @@ def test_long_lists_find_the_same_links(monkeypatch, which):
             forest.join(i, j)
         return [forest.root(i) for i in range(len(array))]
 
-    monkeypatch.setattr(simhash, "PAIRWISE", 0)
-    by_midpoint = groups()
-    expected = plain_components(dict(enumerate(array.tolist())))
-    assert by_midpoint == [expected[i] for i in range(len(array))]
+    def counts(x):  # in this list: its positions are the first four shared bytes
+        return tuple(p for p in range(8) if not x >> 8 * (7 - p) & 0xFF)[:4] == simhash.LISTS[which] and x.bit_count() <= 4
+
+    forest, values = simhash.Forest(len(array)), array.tolist()
+    for i, a in enumerate(values):
+        for j in range(i + 1, len(values)):
+            if counts(a ^ values[j]):
+                forest.join(i, j)
+    expected = [forest.root(i) for i in range(len(values))]
+    assert len(set(expected)) < len(expected)
+    for most in (0, 5, len(array) - 1, len(array), 1024):
+        monkeypatch.setattr(simhash, "PAIRWISE", most)
+        assert groups() == expected
+
+
+def test_lists_that_span_batches(spark):
+    """One hot list of some thousand fingerprints, in batches of a few rows, at the bound of PAIRWISE and beyond."""
+    r = random.Random(8)
+    base = r.getrandbits(64)
+    fps = {base}
+    while len(fps) < 1500:
+        x = base
+        for _ in range(r.randint(1, 6)):
+            x ^= 1 << r.randrange(64)
+        fps.add(x)
+    df = spark.createDataFrame([(simhash.signed(x),) for x in sorted(fps)], "fp long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        links = [tuple(x) for x in simhash.index_links(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    up = {simhash.signed(x): simhash.signed(x) for x in fps}
+
+    def root(d):
+        while up[d] != d:
+            up[d] = d = up[up[d]]
+        return d
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    expected = plain_components({simhash.signed(x): x for x in fps})
+    assert {d: root(d) for d in up} == expected
+
+
+def test_nulls_ties_and_very_long_texts(spark):
+    """Null ids are a component's id only if it has no other; rows of one id may have several texts; whole texts count."""
+    long = " ".join(f"v{i % 977}" for i in range(300_000))
+    rows = [(None, "only null ids here"), (None, "only null ids here"), (7, "x y z w v"), (7, "another text of id seven"), (3, "x y z w v"), (9, long), (8, long + " end"), (None, long)]
+    got = sorted(simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    by = [(r["doc_id"], r["component_id"]) for r in got]
+    assert sorted(by, key=str) == sorted([(None, None), (None, None), (7, 3), (7, 7), (3, 3), (9, 8), (8, 8), (None, 8)], key=str)
+    assert next(r["fingerprint"] for r in got if r["doc_id"] == 9) == f"{plain_fingerprint(long):016x}"
 
 
 def test_stars_follow_a_chain(spark):

@@ -1,7 +1,9 @@
 """MPEG streams, and surrogates."""
 
+import hashlib
 import os
 import re
+import zlib
 from fractions import Fraction
 
 import pytest
@@ -56,6 +58,30 @@ def test_media_columns(spark):
     assert all(r["frame_offsets"] == [] and r["duration_s"] == 0 for r in mpeg.parsed(nothing).collect())
 
 
+def test_media_query_digests(spark):
+    """Every column of the registered query against the plain bytes."""
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    rows = queries.op10_mpeg(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        units = max(1, -(-len(raw) // 576))
+        payload = raw.ljust(units * 576, b"\xff")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-32:])
+        data = mpeg.store(raw)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert b"".join(data[o + 38 : o + 38 + 576] for o in r["frame_offsets"]) == payload
+        assert r["duration_s"] == float(Fraction(1152 * units, 48000))
+
+
+def test_a_very_long_text_as_media(spark):
+    df = spark.createDataFrame([(1, "long text, " * 300_000)], "doc_id long, text string")
+    r = mpeg.digest(mpeg.parsed(mpeg.stored(df))).first()
+    assert r["payload_sha256"] == hashlib.sha256(b"long text, " * 300_000 + b"\xff" * (-3_300_000 % 576)).hexdigest()
+    assert len(r["frame_offsets"]) == -(-3_300_000 // 576)
+
+
 def replaced(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [r["text"] for r in pii.replace(df).orderBy("doc_id").collect()]
