@@ -75,9 +75,10 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the mix of sources has each document."""
+    """The mix of sources: every copy of every document with its place in the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.apply(docs.select("doc_id", "source"), mixing.fit(docs))
+    mix = mixing.fit(docs)
+    return mixing.realised(mixing.apply(docs.select("doc_id", "source"), mix), mix)
 
 
 OP5_SQL = """
@@ -103,23 +104,26 @@ weighed AS (
 quotas AS (SELECT s, t, weight, CASE WHEN t > 0 THEN greatest(CAST(floor(weight * budget) AS BIGINT), t) ELSE 0 END AS quota FROM weighed),
 sources AS (
   SELECT s, t, weight, quota, CASE WHEN t > 0 THEN quota // t ELSE 1 END AS passes,
-    CAST(least(4096, greatest(1, ceil(t / 65536))) AS BIGINT) AS blocks FROM quotas),
+    CAST(greatest(1, ceil(t / 65536)) AS BIGINT) AS blocks FROM quotas),
 placed AS (
   SELECT d.doc_id, d.source, d.s, d.n, passes, weight, quota - passes * t AS rest,
     CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block
   FROM docs d JOIN sources USING (s)),
 per_block AS (SELECT s, block, sum(n) AS n, any_value(passes) AS passes, any_value(rest) AS rest FROM placed GROUP BY s, block),
+per_pass AS (SELECT *, unnest(range(1, passes + CASE WHEN rest > 0 THEN 2 ELSE 1 END)) AS pass FROM per_block),
 ranked AS (
-  SELECT s, block, n, passes, rest,
-    sum(n) OVER (PARTITION BY s ORDER BY md5('mix|' || (passes + 1) || '|' || s || '|' || block), block ROWS UNBOUNDED PRECEDING) - n AS before,
-    row_number() OVER (PARTITION BY s ORDER BY md5('mix|1|' || s || '|' || block), block) AS first_rank
-  FROM per_block),
-blocks AS (SELECT *, rest > 0 AND before + n <= rest AS last_pass, before < rest AND NOT (rest > 0 AND before + n <= rest) AS at_end FROM ranked),
+  SELECT *, row_number() OVER o AS block_rank, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) - n AS before
+  FROM per_pass WINDOW o AS (PARTITION BY s, pass ORDER BY md5('mix|' || pass || '|' || s || '|' || block), block)),
+blocks AS (SELECT *, pass > passes AND before + n > rest AS at_end FROM ranked WHERE pass <= passes OR before < rest),
 cut AS (SELECT p.s, p.doc_id, sum(p.n) AS n, any_value(b.passes) AS passes, any_value(b.rest - b.before) AS rest FROM placed p JOIN blocks b ON p.s = b.s AND p.block = b.block AND b.at_end GROUP BY ALL),
 ends AS (
-  SELECT s, doc_id, sum(n) OVER (PARTITION BY s ORDER BY md5('mix|' || (passes + 1) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS UNBOUNDED PRECEDING) - n < rest AS ends_in FROM cut)
-SELECT p.doc_id, p.source, p.weight, p.block, b.first_rank, CAST(p.passes + CAST(b.last_pass OR coalesce(e.ends_in, false) AS BIGINT) AS BIGINT) AS copies
-FROM placed p JOIN blocks b ON p.s = b.s AND p.block = b.block LEFT JOIN ends e ON e.s = p.s AND e.doc_id IS NOT DISTINCT FROM p.doc_id
+  SELECT s, doc_id, sum(n) OVER (PARTITION BY s ORDER BY md5('mix|' || (passes + 1) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS UNBOUNDED PRECEDING) - n < rest AS ends_in FROM cut),
+copies AS (
+  SELECT p.doc_id, p.source, p.s, p.weight, p.block, b.pass, b.block_rank
+  FROM placed p JOIN blocks b ON p.s = b.s AND p.block = b.block LEFT JOIN ends e ON e.s = p.s AND e.doc_id IS NOT DISTINCT FROM p.doc_id WHERE NOT b.at_end OR e.ends_in)
+SELECT doc_id, source, weight, block, CAST(pass AS INTEGER) AS pass, block_rank,
+  dense_rank() OVER (PARTITION BY s, pass, block ORDER BY md5('mix|' || pass || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) AS place
+FROM copies
 """
 
 

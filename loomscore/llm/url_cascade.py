@@ -9,8 +9,11 @@ that lacks it is an odd one, counting from zero.
 
 Keys fall into shards by their hash, and each shard has a cascade of its own,
 built in one task from different keys, so repeats of a key weigh nothing.
-Filters are broadcast in blocks of at most ``BLOCK_BYTES``; if there are more,
-the table is judged block by block, each row in the one block that has its shard.
+Where all filters take at most ``BLOCK_BYTES`` they are broadcast and rows are
+judged where they lie.  Beyond that, rows and filters are shuffled by shard
+once, and a task holds one shard's filter at a time; a shard with far more rows
+than others, as that of a frequent key, is dealt over several tasks, each with
+a copy of the filter.
 
 Null URLs and those without "://" have an empty host and path and the empty
 key; repeated URLs are judged alike; an empty table or list gives no listed
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import batches, scratch
+from . import batches, joins, scratch
 
-SHARD_KEYS, BLOCK_BYTES, MOST_LEVELS = 500_000, 64 << 20, 64
+SHARD_KEYS, BLOCK_BYTES, MOST_LEVELS = 500_000, 32 << 20, 64
 FIRST_RATE, LATER_RATE = 1 / 16, 1 / 2
 LEVEL = struct.Struct("<QI")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,27 +115,34 @@ def build(universe: DataFrame, listed: DataFrame, shards: int | None = None) ->
 
 
 class Filters:
-    """Levels of some shards, their bits in a row."""
+    """Levels of some shards, their bits in a row; arrays have a column for each shard that is there."""
 
-    def __init__(self, shards: int, found: list[tuple[int, bytes]]):
+    def __init__(self, found: list[tuple[int, bytes]]):
+        found = sorted(found)
+        self.shards = np.array([shard for shard, _ in found], np.int64)
         self.bits = np.frombuffer(b"".join(levels for _, levels in found), np.uint8)
-        self.start = np.zeros((MOST_LEVELS + 1, shards), np.int64)
-        self.m = np.zeros((MOST_LEVELS + 1, shards), np.uint64)
-        self.k = np.zeros((MOST_LEVELS + 1, shards), np.int64)
+        self.start = np.zeros((MOST_LEVELS + 1, len(found)), np.int64)
+        self.m = np.zeros((MOST_LEVELS + 1, len(found)), np.uint64)
+        self.k = np.zeros((MOST_LEVELS + 1, len(found)), np.int64)
         base = 0
-        for shard, levels in found:
+        for column, (_, levels) in enumerate(found):
             at = level = 0
             while at < len(levels):
                 m, k = LEVEL.unpack_from(levels, at)
                 at += LEVEL.size
-                self.start[level, shard], self.m[level, shard], self.k[level, shard] = base + at, m, k
+                self.start[level, column], self.m[level, column], self.k[level, column] = base + at, m, k
                 at, level = at + m // 8, level + 1
             base += len(levels)
 
     def listed(self, shard: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        out, rows, level = np.zeros(len(shard), bool), np.arange(len(shard)), 0
+        """Of keys of any shards; a shard that isn't there has no listed keys."""
+        out = np.zeros(len(shard), bool)
+        if not len(self.shards):
+            return out
+        column = np.minimum(np.searchsorted(self.shards, shard), len(self.shards) - 1)
+        rows, level = np.flatnonzero(self.shards[column] == shard), 0
         while len(rows):
-            s, a, b = shard[rows], h1[rows], h2[rows]
+            s, a, b = column[rows], h1[rows], h2[rows]
             hit = self.m[level, s] > 0
             for j in range(int(self.k[level, s].max(initial=0))):
                 use = np.flatnonzero(hit & (j < self.k[level, s]))
@@ -148,34 +157,45 @@ def judge(df: DataFrame, key: str, cascade: DataFrame, shards: int, out: str = "
     """``df`` with boolean ``out``: whether the row's key is a listed one."""
     spark = df.sparkSession
     levels = scratch.written(cascade)
-    sizes = sorted(levels.select("shard", F.length("levels")).collect())  # one row a shard
-    blocks: list[list[int]] = [[]]
-    held = 0
-    for shard, size in sizes:
-        if blocks[-1] and held + size > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append(shard)
-        held += size
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BooleanType())])
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = df.withColumn("__key", text).select(*keep, *(h.alias(n) for h, n in zip(hashes("__key"), ("__h1", "__h2"), strict=True))).withColumn("__shard", F.pmod("__h2", F.lit(shards)).cast("int"))
+    n = len(keep)
 
-    def judged(part: DataFrame, which: list[int]) -> DataFrame:
-        found = levels.filter(F.col("shard").between(which[0], which[-1])).collect() if which else []  # at most block_bytes, or one shard
-        filters = spark.sparkContext.broadcast([(r["shard"], bytes(r["levels"])) for r in found])
+    def answered(b: pa.RecordBatch, f: Filters) -> pa.RecordBatch:
+        h1, h2 = (b.column(n + i).to_numpy().view(np.uint64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(f.listed(b.column(n + 2).to_numpy(), h1, h2))], schema.names)
 
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f, n = Filters(shards, filters.value), len(keep)
-            for b in batches.slices(it, 10_000):
-                h1, h2 = (b.column(n + i).to_numpy().view(np.uint64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(f.listed(b.column(n + 2).to_numpy(), h1, h2))], schema.names)
-
-        return part.mapInArrow(run, schema)
+    if levels.agg(F.coalesce(F.sum(F.length("levels")), F.lit(0))).first()[0] <= block_bytes:
+        filters = spark.sparkContext.broadcast([(r["shard"], bytes(r["levels"])) for r in levels.collect()])
 
-    if len(blocks) == 1:
-        return judged(rows, blocks[0])
-    cuts = [b[0] for b in blocks[1:]]
-    parts = [rows.filter((F.col("__shard") >= lo) & (F.col("__shard") < hi)) for lo, hi in zip([0, *cuts], [*cuts, shards], strict=True)]
-    return reduce(DataFrame.unionByName, (judged(p, b) for p, b in zip(parts, blocks, strict=True)))
+        def looked_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = Filters(filters.value)
+            for b in batches.slices(it, 10_000):
+                yield answered(b, f)
+
+        return rows.mapInArrow(looked_up, schema)
+
+    def streamed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filters([])
+        for b in batches.slices(it, 10_000):
+            body = b.column(n + 3)
+            cuts = [*np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False)).tolist(), b.num_rows]
+            yield answered(b.slice(0, cuts[0]), f)
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                f = Filters([(b.column(n + 2)[a].as_py(), body[a].as_py())])
+                yield answered(b.slice(a + 1, z - a - 1), f)
+
+    # as many parts of a shard as it has average shards' rows
+    held = scratch.written(rows.groupBy("__shard").agg(F.count("*").alias("__n")))
+    mean = held.agg(F.greatest(F.lit(1), F.ceil(F.avg("__n")))).first()[0]
+    parts = held.select("__shard", F.ceil(F.col("__n") / mean).cast("int").alias("__parts"))
+    dealt = rows.join(joins.sized(parts), "__shard").select(*keep, "__h1", "__h2", "__shard", F.lit(None).cast("binary").alias("__levels"), F.pmod(F.monotonically_increasing_id(), "__parts").cast("int").alias("__part"))
+    of_shard = levels.select(F.col("shard").alias("__shard"), "levels").join(joins.sized(parts), "__shard")
+    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in keep]
+    zero = F.lit(0).cast("long")
+    filters_first = of_shard.select(*nothing, zero.alias("__h1"), zero.alias("__h2"), "__shard", F.col("levels").alias("__levels"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = dealt.unionByName(filters_first).repartition(tasks, "__shard", "__part").sortWithinPartitions("__shard", "__part", F.asc_nulls_last("__levels"))
+    return both.drop("__part").mapInArrow(streamed, schema)

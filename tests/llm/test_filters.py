@@ -1,5 +1,7 @@
 """URL cascade, licence rules and mixing, with their SQL on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,25 @@ def test_cascade_is_exact(spark, block_bytes):
     assert got.filter(F.col("listed") != (F.substring("key", 2, 9).cast("int") % 3 == 0)).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_a_frequent_key_a_very_long_one_and_repeated_rows(spark, block_bytes):
+    """A key of a third of all rows, equal rows and a key of two million letters are judged alike on both paths."""
+    long = "z" * 2_000_000
+    keys = spark.range(900).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 1, F.lit(long)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), F.lit("x").alias("__part0"))
+    listed = spark.createDataFrame([("hot",), (long,), ("k7",)], "key string")
+    cascade, shards = url_cascade.build(keys.select("key"), listed, shards=4)
+    got = url_cascade.judge(keys, "key", cascade, shards, block_bytes=block_bytes).groupBy(F.substring("key", 1, 3).alias("k")).agg(F.min("listed").alias("a"), F.max("listed").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r["a"] == r["b"] for r in got)
+    assert {r["k"] for r in got if r["a"]} == {"hot", "zzz", "k7"}
+    assert sum(r["n"] for r in got) == 900
+
+
+def test_equally_long_rules_the_later_one_counts(spark):
+    df = url_cascade.with_host_path(spark.createDataFrame([("http://a.b.com/x",)], "url string"))
+    found = df.select(*url_cascade.rule_columns([("allow", "b.com", "/x"), ("block", "b.com", "/x")])).first()
+    assert tuple(found) == ("b.com/x", "block")
+
+
 def test_cascade_edge_cases(spark):
     keys = spark.createDataFrame([(None,), ("",), ("a",), ("a",)], "key string").withColumn("listed", F.lit("clash"))
     nothing = spark.createDataFrame([], "key string")
@@ -101,7 +122,42 @@ def test_sources_meet_their_weights(spark):
         used = sum(r["copies"] * 10 for r in rows if r["source"] == s)
         assert sources[s]["quota"] <= used < sources[s]["quota"] + 10
     assert max(r["copies"] for r in rows) <= 4
-    assert mixing.realised(mixing.apply(docs, mix)).count() == sum(r["copies"] for r in rows)
+    placed = mixing.realised(mixing.apply(docs, mix), mix).collect()
+    assert len(placed) == sum(r["copies"] for r in rows)
+    keys = [(r["source"], r["pass"], r["block_rank"], r["place"]) for r in placed]
+    assert len(set(keys)) == len(keys)
+    for s in ("a", "b", "c"):
+        first = sorted((r["block_rank"], r["place"]) for r in placed if r["source"] == s and r["pass"] == 1)
+        assert {b for b, _ in first} == set(range(1, 1 + max(b for b, _ in first)))
+
+
+def test_many_blocks_repeated_rows_null_ids_and_a_long_text(spark, monkeypatch):
+    """Ranks by prefix equal those of one window; rows of one id and source share places and are repeated alike."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 20)
+    rows = [(i, "a", "w " * (i % 9)) for i in range(400)] + [(i, "b", "w " * 5) for i in range(60)] * 2 + [(None, "b", "w w")] * 5 + [(900, "b", "long " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("place", F.lit("clash"))
+    mix = mixing.fit(docs, repeats=1.5)
+    found = mixing.apply(docs, mix)
+    placed = mixing.realised(found, mix).drop("text").collect()
+    assert len(placed) == found.agg(F.sum("copies")).first()[0] >= len(rows)
+    blocks = {(r["source"], r["pass"], r["block"]): r["block_rank"] for r in placed}
+    for s, n in {(s, n) for s, n, _ in blocks}:
+        ranks = sorted(v for k, v in blocks.items() if k[:2] == (s, n))
+        assert len(set(ranks)) == len(ranks)
+        if n == 1:
+            ordered = sorted((k[2] for k in blocks if k[:2] == (s, n)), key=lambda b: hashlib.md5(f"mix|1|{s}|{b}".encode()).hexdigest())
+            assert [blocks[s, n, b] for b in ordered] == sorted(ranks)
+    for r in placed:
+        assert {x["place"] for x in placed if (x["source"], x["doc_id"], x["pass"]) == (r["source"], r["doc_id"], r["pass"])} == {r["place"]}
+        break
+    assert sum(r["doc_id"] is None for r in placed) % 5 == 0
+
+
+def test_ties_have_defined_weights(spark):
+    docs = corpus(spark, {"a": 50, "b": 50, "c": 50}).filter("source IN ('a', 'b', 'c')")
+    mix = mixing.fit(docs)
+    assert {r["weight"] for r in mix.sources.collect()} == {0.333333333}
+    assert mixing.apply(docs, mix).filter("copies <> 1").count() == 0
 
 
 def test_the_repetition_limit_wins_over_entropy(spark):
