@@ -1,14 +1,20 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see a document from separate sides: one its text
-(style shares and hashed word frequencies), one its page metadata (language,
-source, length).  Over some rounds each hands the labels of unlabelled documents of
-which it is most confident to the other's training set.  Both are then
+(10 style values and 256 hashed word frequencies), one its page metadata
+(language, source, length class).  Both start from labelled documents.  Then, in
+each round, every unlabelled document of the corpus of which one view is
+confident joins the other view's training set with that label.  Both are then
 calibrated on labelled documents that neither has seen, and their calibrated
 log-odds are added, less the prior's.
 
-Fitting uses at most ``LABELLED`` labelled and ``POOL`` unlabelled documents,
-the first by a hash of their ids; scoring covers all rows.
+Fitting uses at most ``LABELLED`` labelled documents, the first by a hash of
+their ids, and all unlabelled ones: a round's pseudo-labels enter as gradients,
+summed over the whole corpus, of the loss at the view's weights, and the view
+takes steps preconditioned by the labelled documents' Hessian.  What reaches
+the driver is the labelled sample and, for each step, one sum for each weight
+and class.  Labels beyond ``LABELLED`` aren't used, those documents count as
+unlabelled.  Scoring covers all rows.
 
 Empty and null texts score 0 and are rejected; null or new languages and
 sources have buckets of their own; repeated rows score alike.  Repeated labels
@@ -23,8 +29,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import batches
+from . import batches, scratch
 from .words import Codes, Words
 
-LABELLED, POOL, ROUNDS = 6000, 6000, 4
-#: A view is confident beyond this probability, and hands over this share of the pool a round at most, for each class.
-CONFIDENT, SHARE = 0.98, 0.05
+LABELLED, ROUNDS, STEPS = 6000, 4, 2
+#: A view is confident beyond this probability.  Weight of the squared weights in the loss; added to the Hessian's diagonal in a step.
+CONFIDENT, PENALTY, DAMPING = 0.98, 1e-3, 1e-2
 HASHED, THRESHOLD = 256, 0.5
+TEXT_WIDTH, METADATA_WIDTH = 10 + HASHED, 16 + 64 + 20
 SCORES = ("text_score", "metadata_score", "quality_score")
 LOWER, UPPER = bytes(range(97, 123)), bytes(range(65, 91))
 
@@ -72,7 +79,7 @@ def text_features(texts: list[bytes], codes: Codes) -> np.ndarray:
 
 
 def metadata_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(16 + 64 + 20)
+    out = np.zeros(METADATA_WIDTH)
     out[0 if lang is None else 1 + zlib.crc32(lang.encode()) % 15] = 1
     out[16 + (0 if source is None else 1 + zlib.crc32(source.encode()) % 63)] = 1
     out[80 + min(19, max(0, n_chars or 0).bit_length())] = 1
@@ -92,7 +99,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 200) -> np.ndarray:
     """Weights (the last is the constant) by accelerated gradient descent; both classes weigh the same."""
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
@@ -118,8 +125,28 @@ class View:
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         return cls(mean, scale, logistic((x - mean) / scale, y))
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        return self.scaled(x) @ self.weights[:-1] + self.weights[-1]
+
+    def gradient(self, x: np.ndarray, y: int) -> np.ndarray:
+        """Number of rows of class ``y``, and the sum of their losses' gradients."""
+        z = self.scaled(x)
+        off = sigmoid(z @ self.weights[:-1] + self.weights[-1]) - y
+        return np.concatenate([[len(x)], z.T @ off, [off.sum()]])
+
+    def step(self, sums: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
+        """Down the gradient of the labelled rows and of ``sums`` (by class, as of ``gradient``); both classes weigh the same."""
+        total, hessian = PENALTY * self.weights, np.eye(len(self.weights)) * (PENALTY + DAMPING)
+        for kind in (0, 1):
+            z = np.hstack([self.scaled(x[y == kind]), np.ones(((y == kind).sum(), 1))])
+            p = sigmoid(z @ self.weights)
+            both = self.gradient(x[y == kind], kind) + sums[kind]
+            total = total + both[1:] * (0.5 / both[0])
+            hessian += (z * (p * (1 - p))[:, None]).T @ z * (0.5 / len(z))
+        self.weights = self.weights - np.linalg.solve(hessian, total)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Platt scaling with smoothed targets, by Newton's method; a step that doesn't lower the loss is halved."""
@@ -175,59 +202,91 @@ def split(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate(fits)), np.sort(np.concatenate(calibrates))
 
 
-def cotrain(text: np.ndarray, metadata: np.ndarray, label: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """``label``: 0 or 1 for each row; the last quarter of each class is for calibration."""
+def pseudo_sums(views: list[View], judges: list[View], sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of gradients for view 0 of classes 0 and 1, then for view 1, over rows of which the other side's judge is confident."""
+    out = []
+    for k in (0, 1):
+        p = sigmoid(judges[1 - k].log_odds(sides[1 - k]))
+        out += [views[k].gradient(sides[k][sure], kind) for kind, sure in ((0, p <= 1 - CONFIDENT), (1, p >= CONFIDENT))]
+    return np.concatenate(out)
+
+
+def cotrain(text: np.ndarray, metadata: np.ndarray, label: np.ndarray, pool: Callable[[list[View], list[View]], np.ndarray], rounds: int = ROUNDS) -> Model:
+    """``label``: 0 or 1 for each row; the last quarter of each class is for calibration.  ``pool``: ``pseudo_sums`` over all unlabelled rows."""
     prior = float(label.mean()) if len(label) else 1.0
     if np.bincount(label, minlength=2).min() == 0:
         return Model(None, None, prior)
     fits, calibrates = split(label)
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view was handed
     sides = (text, metadata)
-
-    def fitted(k: int) -> View:
-        own = given[k]
-        rows = np.fromiter(own, np.int64, len(own))
-        return View.fit(np.vstack([sides[k][fits], pool[k][rows]]), np.concatenate([label[fits], np.fromiter(own.values(), np.int64, len(own))]))
-
-    views = [fitted(0), fitted(1)]
+    views = [View.fit(side[fits], label[fits]) for side in sides]
     for _ in range(rounds):
-        for k in (0, 1):
-            views[k].calibrate(sides[k][calibrates], label[calibrates])
-            p = sigmoid(views[k].log_odds(pool[k])) if len(pool[k]) else np.zeros(0)
-            for kind, sure in ((1, p), (0, 1 - p)):
-                best = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= CONFIDENT and i not in given[1 - k]]
-                given[1 - k].update((i, kind) for i in best[: int(SHARE * len(p)) + 1])
-        views = [fitted(0), fitted(1)]
-    for k in (0, 1):
-        views[k].calibrate(sides[k][calibrates], label[calibrates])
+        for view, side in zip(views, sides, strict=True):
+            view.calibrate(side[calibrates], label[calibrates])
+        judges = [replace(v) for v in views]
+        for _ in range(STEPS):
+            sums = pool(views, judges)
+            at = 0
+            for view, side in zip(views, sides, strict=True):
+                width = 1 + len(view.weights)
+                view.step([sums[at : at + width], sums[at + width : at + 2 * width]], side[fits], label[fits])
+                at += 2 * width
+    for view, side in zip(views, sides, strict=True):
+        view.calibrate(side[calibrates], label[calibrates])
     return Model(views[0], views[1], prior)
 
 
-def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", good: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model:
+def packed(x: np.ndarray) -> list[bytes]:
+    return [f.tobytes() for f in np.clip(x, -6e4, 6e4).astype("<f2")]
+
+
+def unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<f2").reshape(len(rows), width).astype(float)
+
+
+def features(df: DataFrame, labels: DataFrame, doc_id: str, text: str, good: str, labelled: int) -> DataFrame:
+    """doc_id, label (null if none is used), x and m (both sides' features) of every row."""
     docs = inputs(df, doc_id, text)
     known = labels.filter(F.col(good).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min((F.col(good) > 0).cast("int")).alias("label"))
-    order = F.xxhash64("doc_id", F.lit("fit"))
-    first = known.withColumn("h", order).orderBy("h", "doc_id").limit(labelled)
-    others = docs.filter("doc_id is not null").select("doc_id", order.alias("h"), F.lit(None).cast("int").alias("label")).orderBy("h", "doc_id").limit(pool)
-    # at most `labelled` + `pool` rows
-    some = first.select("doc_id", "h", "label").unionByName(others.select("doc_id", "h", "label")).groupBy("doc_id", "h").agg(F.max("label").alias("label"))
+    first = known.withColumn("h", order("doc_id")).orderBy("h", "doc_id").limit(labelled).select("doc_id", "label")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for b in batches.slices(it):
-            x = [f.tobytes() for f in text_features([t or b"" for t in b.column(2).to_pylist()], codes).astype("<f4")]
-            m = [metadata_features(*z).astype("<f4").tobytes() for z in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), pa.array(m, pa.binary())], ["h", "label", "x", "m"])
+            x = packed(text_features([t or b"" for t in b.column(2).to_pylist()], codes))
+            m = packed(np.array([metadata_features(*z) for z in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), pa.array(m, pa.binary())], ["doc_id", "label", "x", "m"])
+
+    # `first` has at most `labelled` rows
+    return docs.join(F.broadcast(first), "doc_id", "left").select("doc_id", "label", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, label int, x binary, m binary")
+
+
+def order(doc_id: str) -> F.Column:
+    return F.xxhash64(doc_id, F.lit("fit"))
+
+
+def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", good: str = "quality", labelled: int = LABELLED) -> Model:
+    found = scratch.written(features(df, labels, doc_id, text, good, labelled))
+    # one row for each of at most `labelled` ids, however often an id comes
+    sample = found.filter("label IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("label", "x", "m")).alias("r"))
+    rows = sample.select(order("doc_id").alias("h"), "doc_id", "r.label", "r.x", "r.m").orderBy("h", "doc_id").collect()
+    x, m = (unpacked([bytes(r[k]) for r in rows], width) for k, width in (("x", TEXT_WIDTH), ("m", METADATA_WIDTH)))
+    others = found.filter("label IS NULL").select("x", "m")
 
-    found = docs.join(F.broadcast(some), "doc_id").select("h", "label", "text", "lang", "source", "n_chars").mapInArrow(run, "h long, label int, x binary, m binary")
-    rows = sorted(found.limit(2 * (labelled + pool)).collect(), key=lambda r: (r["h"], bytes(r["x"])))
+    def pool(views: list[View], judges: list[View]) -> np.ndarray:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * sum(1 + len(v.weights) for v in views))
+            for b in batches.slices(it, 5000):
+                total += pseudo_sums(views, judges, (unpacked(b.column(0).to_pylist(), TEXT_WIDTH), unpacked(b.column(1).to_pylist(), METADATA_WIDTH)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["j", "v"])
 
-    def matrix(which: list, k: str, width: int) -> np.ndarray:
-        return np.frombuffer(b"".join(bytes(r[k]) for r in which), "<f4").reshape(len(which), width).astype(float)
+        sums = np.zeros(2 * sum(1 + len(v.weights) for v in views))
+        for j, v in others.mapInArrow(run, "j int, v double").groupBy("j").agg(F.sum("v")).collect():  # a row for each weight and class
+            sums[j] = v
+        return sums
 
-    sure, rest = [r for r in rows if r["label"] is not None], [r for r in rows if r["label"] is None]
-    wide = (("x", 10 + HASHED), ("m", 100))
-    return cotrain(*(matrix(sure, *w) for w in wide), np.array([r["label"] for r in sure], np.int64), tuple(matrix(rest, *w) for w in wide))
+    model = cotrain(x, m, np.array([r["label"] for r in rows], np.int64), pool)
+    scratch.drop(found)
+    return model
 
 
 def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
