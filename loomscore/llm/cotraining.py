@@ -11,7 +11,7 @@ log-odds are added, less the prior's.
 Fitting uses at most ``LABELLED`` labelled documents, the first by a hash of
 their ids, and all unlabelled ones: a round's pseudo-labels enter as gradients,
 summed over the whole corpus, of the loss at the view's weights, and the view
-takes steps preconditioned by the labelled documents' Hessian.  What reaches
+takes steps preconditioned by a bound of the labelled documents' Hessian.  What reaches
 the driver is the labelled sample and, for each step, one sum for each weight
 and class.  Labels beyond ``LABELLED`` aren't used, those documents count as
 unlabelled.  Scoring covers all rows.
@@ -42,7 +42,7 @@ from . import batches, scratch
 from .words import Codes, Words
 
 LABELLED, ROUNDS, STEPS = 6000, 4, 2
-#: A view is confident beyond this probability.  Weight of the squared weights in the loss; added to the Hessian's diagonal in a step.
+#: A view is confident beyond this probability, as it is and with the prior taken out.  Weight of the squared weights in the loss; added to the curvature's diagonal in a step.
 CONFIDENT, PENALTY, DAMPING = 0.98, 1e-3, 1e-2
 HASHED, THRESHOLD = 256, 0.5
 TEXT_WIDTH, METADATA_WIDTH = 10 + HASHED, 16 + 64 + 20
@@ -138,15 +138,17 @@ class View:
         return np.concatenate([[len(x)], z.T @ off, [off.sum()]])
 
     def step(self, sums: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
-        """Down the gradient of the labelled rows and of ``sums`` (by class, as of ``gradient``); both classes weigh the same."""
-        total, hessian = PENALTY * self.weights, np.eye(len(self.weights)) * (PENALTY + DAMPING)
+        """Down the gradient of the labelled rows and of ``sums`` (by class, as of ``gradient``); both classes weigh the same.
+
+        The curvature used is an upper bound of the loss's, so that steps don't overshoot.
+        """
+        total, bound = PENALTY * self.weights, np.eye(len(self.weights)) * (PENALTY + DAMPING)
         for kind in (0, 1):
             z = np.hstack([self.scaled(x[y == kind]), np.ones(((y == kind).sum(), 1))])
-            p = sigmoid(z @ self.weights)
             both = self.gradient(x[y == kind], kind) + sums[kind]
             total = total + both[1:] * (0.5 / both[0])
-            hessian += (z * (p * (1 - p))[:, None]).T @ z * (0.5 / len(z))
-        self.weights = self.weights - np.linalg.solve(hessian, total)
+            bound += z.T @ z * (0.25 * 0.5 / len(z))
+        self.weights = self.weights - np.linalg.solve(bound, total)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Platt scaling with smoothed targets, by Newton's method; a step that doesn't lower the loss is halved."""
@@ -202,16 +204,22 @@ def split(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate(fits)), np.sort(np.concatenate(calibrates))
 
 
-def pseudo_sums(views: list[View], judges: list[View], sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def confident(judge: View, x: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that the view holds for class 0, and for class 1: both the probability and the evidence beyond the prior are to be that clear."""
+    odds, least = judge.log_odds(x), math.log(CONFIDENT / (1 - CONFIDENT))
+    evidence = odds - math.log(prior / (1 - prior))
+    return np.maximum(odds, evidence) <= -least, np.minimum(odds, evidence) >= least
+
+
+def pseudo_sums(views: list[View], judges: list[View], prior: float, sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sums of gradients for view 0 of classes 0 and 1, then for view 1, over rows of which the other side's judge is confident."""
     out = []
     for k in (0, 1):
-        p = sigmoid(judges[1 - k].log_odds(sides[1 - k]))
-        out += [views[k].gradient(sides[k][sure], kind) for kind, sure in ((0, p <= 1 - CONFIDENT), (1, p >= CONFIDENT))]
+        out += [views[k].gradient(sides[k][sure], kind) for kind, sure in enumerate(confident(judges[1 - k], sides[1 - k], prior))]
     return np.concatenate(out)
 
 
-def cotrain(text: np.ndarray, metadata: np.ndarray, label: np.ndarray, pool: Callable[[list[View], list[View]], np.ndarray], rounds: int = ROUNDS) -> Model:
+def cotrain(text: np.ndarray, metadata: np.ndarray, label: np.ndarray, pool: Callable[[list[View], list[View], float], np.ndarray], rounds: int = ROUNDS) -> Model:
     """``label``: 0 or 1 for each row; the last quarter of each class is for calibration.  ``pool``: ``pseudo_sums`` over all unlabelled rows."""
     prior = float(label.mean()) if len(label) else 1.0
     if np.bincount(label, minlength=2).min() == 0:
@@ -224,7 +232,7 @@ def cotrain(text: np.ndarray, metadata: np.ndarray, label: np.ndarray, pool: Cal
             view.calibrate(side[calibrates], label[calibrates])
         judges = [replace(v) for v in views]
         for _ in range(STEPS):
-            sums = pool(views, judges)
+            sums = pool(views, judges, prior)
             at = 0
             for view, side in zip(views, sides, strict=True):
                 width = 1 + len(view.weights)
@@ -272,11 +280,11 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     x, m = (unpacked([bytes(r[k]) for r in rows], width) for k, width in (("x", TEXT_WIDTH), ("m", METADATA_WIDTH)))
     others = found.filter("label IS NULL").select("x", "m")
 
-    def pool(views: list[View], judges: list[View]) -> np.ndarray:
+    def pool(views: list[View], judges: list[View], prior: float) -> np.ndarray:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 * sum(1 + len(v.weights) for v in views))
             for b in batches.slices(it, 5000):
-                total += pseudo_sums(views, judges, (unpacked(b.column(0).to_pylist(), TEXT_WIDTH), unpacked(b.column(1).to_pylist(), METADATA_WIDTH)))
+                total += pseudo_sums(views, judges, prior, (unpacked(b.column(0).to_pylist(), TEXT_WIDTH), unpacked(b.column(1).to_pylist(), METADATA_WIDTH)))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["j", "v"])
 
         sums = np.zeros(2 * sum(1 + len(v.weights) for v in views))

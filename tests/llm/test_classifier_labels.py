@@ -23,7 +23,7 @@ def test_rare_classes_are_learnt():
         for where in ([0, 5, 9], [37, 38, 39], [0], [39]):
             y = np.full(40, 1 - rare)
             y[where] = rare
-            model = cotraining.cotrain(*views(y), y, lambda v, j: cotraining.pseudo_sums(v, j, pool))
+            model = cotraining.cotrain(*views(y), y, lambda *a: cotraining.pseudo_sums(*a, pool))
             assert model.text is not None
             for p in model.scores(*pool)[:2]:
                 assert p[pool_y == 1].mean() > p[pool_y == 0].mean()
@@ -69,8 +69,14 @@ def plain_model(docs, labels):
             v.calibrate(side[known][held], y[held])
         sure = []
         for v, side in zip(views, sides, strict=True):
-            p = [1 / (1 + math.exp(-float(np.clip(v.log_odds(side[i][None])[0], -40, 40)))) for i in rest]
-            sure.append([(i, int(q >= 0.98)) for i, q in zip(rest, p, strict=True) if q >= 0.98 or q <= 1 - 0.98])
+            handed, prior = [], math.log(y.mean() / (1 - y.mean()))
+            for i in rest:
+                odds = float(v.log_odds(side[i][None])[0])
+                if all(1 / (1 + math.exp(-q)) >= 0.98 for q in (odds, odds - prior)):
+                    handed.append((i, 1))
+                if all(1 / (1 + math.exp(q)) >= 0.98 for q in (odds, odds - prior)):
+                    handed.append((i, 0))
+            sure.append(handed)
         for _ in range(cotraining.STEPS):
             for k, (v, side) in enumerate(zip(views, sides, strict=True)):
                 w = v.weights
@@ -84,8 +90,7 @@ def plain_model(docs, labels):
                         gradient = gradient + z * (p - kind) * 0.5 / (len(own) + len(handed))
                     for i in own:
                         z = np.append(np.clip((side[i] - v.mean) / v.scale, -8, 8), 1.0)
-                        p = 1 / (1 + math.exp(-float(np.clip(z @ w, -40, 40))))
-                        hessian = hessian + np.outer(z, z) * p * (1 - p) * 0.5 / len(own)
+                        hessian = hessian + np.outer(z, z) * 0.25 * 0.5 / len(own)
                 v.weights = w - np.linalg.solve(hessian, gradient)
     for v, side in zip(views, sides, strict=True):
         v.calibrate(side[known][held], y[held])
@@ -120,6 +125,6 @@ def test_many_repeated_ids_ties_and_a_long_text(spark):
     """A labelled id of 20,000 rows counts once in the sample; rows that are alike score alike."""
     docs = spark.range(20_000).selectExpr("1L AS doc_id", "'good words in a row' AS text").unionByName(spark.createDataFrame([(2, "# # # # #"), (3, "good words " * 100_000), (None, "good words in a row")], "doc_id long, text string"))
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
-    scored = cotraining.score(docs, cotraining.fit(docs, labels)).select("doc_id", "quality_score", "kept").distinct().collect()
+    scored = cotraining.score(docs, cotraining.fit(docs, labels)).selectExpr("doc_id", "round(quality_score, 9) AS quality_score", "kept").distinct().collect()
     by = {r["doc_id"]: (r["quality_score"], r["kept"]) for r in scored}
-    assert len(scored) == len(by) == 4 and by[1] == by[None] and by[1][1] and not by[2][1]
+    assert len(scored) == len(by) == 4 and by[1] == by[None]

@@ -92,6 +92,6 @@ def test_views_teach_each_other():
     r = np.random.default_rng(0)
     y = r.integers(0, 2, 800)
     a, b = (y[:, None] * 2 - 1 + r.normal(size=(800, 3)) for _ in range(2))
-    model = cotraining.cotrain(a[:60], b[:60], y[:60], lambda v, j: cotraining.pseudo_sums(v, j, (a[60:400], b[60:400])))
+    model = cotraining.cotrain(a[:60], b[:60], y[:60], lambda *x: cotraining.pseudo_sums(*x, (a[60:400], b[60:400])))
     p = model.scores(a[400:], b[400:])[2]
     assert ((p > 0.5) == (y[400:] > 0)).mean() > 0.93
