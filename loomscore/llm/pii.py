@@ -2,44 +2,64 @@
 
 Detected are e-mail addresses, IPv4 and IPv6 addresses, telephone, card and
 social security numbers, IBANs, access keys, long hexadecimal strings, values
-given to words like "password", and names that follow a title.  An entity is
-known by its kind and canonical form (digits only, lower case, an IPv6 address
-in full, one word of a name), so it gets one surrogate wherever and however it
-is written.
+given to words like "password", names that follow a title, and given names of
+``GIVEN`` with a capitalised word after them.  Card numbers are those with a
+valid check digit.  An entity is known by its kind and canonical form (digits
+only, lower case, an IPv6 address in full, one word of a name), so it gets one
+surrogate wherever and however it is written.  The words of a person's name
+are replaced wherever they stand in that document, with or without a title,
+capitalised as there or in capitals.
 
 A surrogate is drawn from a keyed hash and keeps the kind, length, punctuation
 and case of what it replaces: digits for digits, letters for letters, a valid
 check digit for a card number that has one, a reserved domain for an e-mail
 address, for an IPv6 address one written in full, and for a name's words
-invented ones of the same script, given names with the ending of the title's
-gender.
+invented ones of the same script (Latin, Cyrillic, Greek), given names with the
+ending of the title's or the name's gender.  The hash's key must be given.
 
 All different entities of the table are checked for collisions: no two of a
-kind may share a surrogate, and none may be another's original.  Those that do
+kind (all words of names being of one) may share a surrogate, and none may be
+another's original.  Those that do
 are drawn again, with the number of the attempt in the hash, until none is
 left; late attempts are longer than what they replace, so that short values
 can't run out of surrogates.  Only the few with a second attempt are joined to the texts in which
 they occur; all others are a function of the text itself.
 
 Null and empty texts stay as they are; texts without an entity stay the same
-byte for byte; repeated rows are replaced alike; other columns stay, and those
+byte for byte, and so do texts of any length around their entities; repeated rows and
+equal texts are replaced alike; other columns stay, and those
 with the names of results are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import joins, scratch
 
 #: Attempts from LONGER on add a digit each, so that a free surrogate always exists.
-KEY, LONGER = "surrogates", 8
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "госпожа", "Госпожа")
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "Господин")
+LONGER = 8
+#: Session setting with the key of the registered queries; and what they take where none is set, which keeps nothing secret.
+KEY_SETTING, PUBLIC_KEY = "spark.loomscore.pii.key", "surrogates"
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "госпожа", "Госпожа", "κυρία", "Κυρία")
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "Господин", "κύριος", "Κύριος", "κύριο", "Κύριο")
 EITHER = ("Dr", "Prof")
 TITLES = "|".join(sorted((*FEMALE, *MALE, *EITHER), key=len, reverse=True))
+STARTS = f"[{''.join(sorted({t[0] for t in (*FEMALE, *MALE, *EITHER)}))}]"
+# Common given names by gender; a rare one is found by its title or not at all.
+GIVEN_FEMALE = (
+    "Alexandra", "Alice", "Amanda", "Amélie", "Andrea", "Angela", "Anna", "Anne", "Barbara", "Brigitte", "Camille", "Carmen", "Carolina", "Caroline", "Catherine", "Charlotte", "Chiara", "Christina", "Claudia", "Deborah", "Diana", "Dorothy", "Elena", "Elisabeth", "Elizabeth",
+    "Emily", "Emma", "Francesca", "Françoise", "Giulia", "Hannah", "Helen", "Helena", "Isabel", "Isabelle", "Jennifer", "Jessica", "Joanna", "Julia", "Karen", "Katharina", "Laura", "Linda", "Lucía", "Margaret", "Maria", "María", "Marie", "Martha", "Michelle", "Monika",
+    "Nancy", "Natalie", "Olivia", "Patricia", "Rachel", "Rebecca", "Rosa", "Sabine", "Sandra", "Sarah", "Sofia", "Sophie", "Susan", "Susanne", "Teresa", "Ursula", "Valentina", "Victoria", "Анна", "Мария", "Елена", "Ольга", "Наталья", "Екатерина", "Татьяна", "Ирина", "Μαρία", "Ελένη", "Άννα", "Αικατερίνη",
+)
+GIVEN_MALE = (
+    "Alberto", "Alejandro", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Benjamin", "Carlos", "Charles", "Christian", "Christopher", "Daniel", "David", "Diego", "Edward", "Fernando", "Francesco", "Francisco", "François", "Frank", "Friedrich", "George", "Giovanni",
+    "Giuseppe", "Hans", "Heinrich", "Henri", "Henry", "Jacques", "James", "Jean", "John", "Johann", "Jorge", "José", "Joseph", "Juan", "Kevin", "Klaus", "Louis", "Luca", "Luis", "Manuel", "Marco", "Martin", "Matteo", "Matthew", "Michael", "Michel", "Miguel", "Nicolas",
+    "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Roberto", "Samuel", "Stefan", "Stephen", "Steven", "Thomas", "William", "Wolfgang", "Александр", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей", "Андрей", "Владимир", "Γιώργος", "Ιωάννης", "Νίκος", "Κώστας",
+)
+GIVEN = "|".join(sorted((*GIVEN_FEMALE, *GIVEN_MALE), key=len, reverse=True))
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 GROUP = "[0-9A-Fa-f]{1,4}"
 #: IPv6 with "::": groups before and after it, seven at most.
@@ -50,7 +70,7 @@ ASSIGNED = r"(?:password|passwd|pwd|secret|token|api_key|apikey)"
 #: In order: where two begin at the same place, the first counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": rf"(?<=(?i:{ASSIGNED})[=:] ?[\"']?)(?=[_\-./+]*+[A-Za-z0-9])[A-Za-z0-9_\-./+]{{6,}}",
+    "secret": rf"(?<=[=:\"']|[=:] )(?<=(?i:{ASSIGNED})[=:] ?[\"']?)(?=[_\-./+]*+[A-Za-z0-9])[A-Za-z0-9_\-./+]{{6,}}",
     "key": r"(?<![A-Z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ipv6_short": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f]{{3,4}}:|(?:[0-9A-Fa-f]{{0,4}}:){{3}})(?:{SHORTENED})(?![0-9A-Za-z]|:[0-9A-Fa-f:]|\.[0-9])",
@@ -65,28 +85,40 @@ PATTERNS = {
     "phone_spanish": rf"{NOT_AFTER}(?:[6-9][0-9]{{2}}(?: [0-9]{{2}}){{3}}|9[1-8] [0-9]{{3}}(?: [0-9]{{2}}){{2}}){NOT_BEFORE}",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])",
     "phone_plain": r"(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    "phone_local": r"(?=[0-9]{3}[ -][0-9])(?<=(?i:telephone|phone|tel|call|fax|mobile|cell|telefon|teléfono|tél|móvil|handy)[.:]? {0,2}(?:at |no\.? )?)[0-9]{3}[ -][0-9]{4}(?![0-9-])",
+    "name": rf"(?={STARTS})(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{GIVEN}) (?:\p{{Lu}}\. )?\p{{Lu}}[\p{{L}}'-]{{1,40}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity has one of these; the classes in front keep most places in a text from being tried further.
-HINT = rf"[0-9@=:]|A[KS]IA|(?=[{''.join(sorted({t[0] for t in (*FEMALE, *MALE, *EITHER)}))}])(?:{TITLES})\.? \p{{Lu}}"
+#: No entity starts at a lower-case letter within a word, which keeps most places in a text from being tried further.
+ANY = "(?:(?<![a-z])|(?=[0-9A-Z+(:]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Every entity has one of these.
+HINT = rf"[0-9@=:]|(?=[\p{{Lu}}{STARTS[1:]})(?:A[KS]IA|(?:{TITLES})\.? \p{{Lu}}|(?:{GIVEN}) \p{{Lu}})"
 
+CARD = r"^(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})$"
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу")}
-ENDINGS = {"latin": {"f": "na", "m": "rik", "n": "ren", "family": "sen"}, "cyrillic": {"f": "на", "m": "рий", "n": "лин", "family": "ко"}}
+SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζκλμνπρστφ", "αειου")}
+ENDINGS = {
+    "latin": {"f": "na", "m": "rik", "n": "ren", "family": "sen"}, "cyrillic": {"f": "на", "m": "рий", "n": "лин", "family": "ко"}, "greek": {"f": "να", "m": "ριος", "n": "λις", "family": "δης"},
+}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting names."""
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
 
 
 def kind_of(v: Column) -> Column:
-    """Of a match; the tests are on the match alone, in an order in which none is taken for another."""
+    """Of a match, null if it is to stay; the tests are on the match alone, in an order in which none is taken for another."""
     return (
         F.when(v.contains("@"), "email")
         .when(v.rlike(rf"^(?:{TITLES})\.? \p{{Lu}}"), "name")
+        .when(v.rlike(rf"^(?:{GIVEN}) \p{{Lu}}"), "person")
         .when(v.rlike(r"^A(?:KIA|SIA)[0-9A-Z]{16}$"), "key")
         .when(v.rlike(r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}$"), "ipv6")
         .when(v.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ipv4")
         .when(v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{12,}$"), "iban")
         .when(v.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(v.rlike(r"^(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})$"), "card")
+        .when(v.rlike(CARD), F.when(luhn_valid(F.regexp_replace(v, "[^0-9]", "")), "card"))
         .when(v.rlike(r"^(?:\+?[0-9(][0-9() .-]{6,}|0[0-9]{2,5}/[0-9]{5,8})$"), "phone")
         .when(v.rlike(r"^[0-9A-Fa-f]{32,128}$"), "hex")
         .otherwise("secret")
@@ -100,12 +132,17 @@ def part(kind: Column | str, canon: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), canon.alias("canon"))
 
 
-def name_parts(v: Column) -> Column:
+def name_words(v: Column, kind: Column) -> Column:
+    """The words of a name as written, without title and initials."""
     words = F.split(v, " ")
-    title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
-    last = F.size(words)
-    return F.transform(F.slice(words, 2, 2), lambda w, i: part(F.when(i + 2 == last, "name:family").otherwise(F.concat(F.lit("name:"), gender)), F.lower(w)))
+    return F.when(kind == "name", F.slice(words, 2, 2)).otherwise(F.array(F.element_at(words, 1), F.element_at(words, -1)))
+
+
+def name_parts(v: Column, kind: Column) -> Column:
+    first = F.regexp_replace(F.substring_index(v, " ", 1), r"\.$", "")
+    gender = F.when(first.isin(*FEMALE, *GIVEN_FEMALE), "f").when(first.isin(*MALE, *GIVEN_MALE), "m").otherwise("n")
+    words = name_words(v, kind)
+    return F.transform(words, lambda w, i: part(F.when(i + 1 == F.size(words), "name:family").otherwise(F.concat(F.lit("name:"), gender)), F.lower(w)))
 
 
 def full_address(v: Column) -> Column:
@@ -127,7 +164,7 @@ def tagged(found: Column | str) -> Column:
 def parts(match: Column) -> Column:
     v, kind = match.getField("v"), match.getField("kind")
     canon = F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(v, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(v, " ", "")).when(kind == "email", F.lower(v)).when(kind == "ipv6", full_address(F.lower(v))).otherwise(v)
-    return F.when(kind == "name", name_parts(v)).otherwise(F.array(part(kind, canon)))
+    return F.when(kind.isin("name", "person"), name_parts(v, kind)).when(kind.isNull(), F.array().cast("array<struct<kind:string,canon:string>>")).otherwise(F.array(part(kind, canon)))
 
 
 # -- surrogates of canonical forms -------------------------------------------
@@ -181,6 +218,10 @@ def luhn_digit(digits: Column) -> Column:
     return F.pmod(10 - F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10, F.lit(10)).cast("string")
 
 
+def luhn_valid(digits: Column) -> Column:
+    return luhn_digit(digits.substr(F.lit(1), F.length(digits) - 1)) == digits.substr(F.length(digits), F.lit(1))
+
+
 def invented(kind: Column, canon: Column, attempt: Column, draw: Draw) -> Column:
     """A word for a name, one syllable longer with each attempt."""
 
@@ -191,7 +232,7 @@ def invented(kind: Column, canon: Column, attempt: Column, draw: Draw) -> Column
         end = F.when(kind == "name:f", ends["f"]).when(kind == "name:m", ends["m"]).when(kind == "name:n", ends["n"]).otherwise(ends["family"])
         return F.concat(body, end)
 
-    return F.when(canon.rlike(r"\p{IsCyrillic}"), word("cyrillic")).otherwise(word("latin"))
+    return F.when(canon.rlike(r"\p{IsCyrillic}"), word("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), word("greek")).otherwise(word("latin"))
 
 
 def surrogates(entities: Column, key: str) -> Column:
@@ -210,10 +251,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, hashed: Column, key:
     email = F.concat(same_classes(F.substring_index(canon, "@", 1), draw), F.lit("@"), F.lit("h"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), domain, attempt.cast("string")), 256), 1, 10), F.lit(".example"))
     octets = F.concat_ws(".", *((draw.at(k) % 254 + 1).cast("string") for k in range(4)))
     digits = same_classes(canon, draw, 1)
-    last = canon.substr(F.length(canon), F.lit(1))
     front = digits.substr(F.lit(1), F.length(digits) - 1)
-    valid = luhn_digit(canon.substr(F.lit(1), F.length(canon) - 1)) == last
-    card = F.when(valid, F.concat(front, luhn_digit(front))).otherwise(digits)
     same_form = (
         F.when(kind == "email", email)
         .when(kind == "ipv4", octets)
@@ -221,7 +259,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, hashed: Column, key:
         .when(kind == "key", same_classes(canon, draw, 4))
         .when(kind == "iban", same_classes(canon, draw, 2))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(same_classes(canon, draw), 2, 8)))
-        .when(kind == "card", card)
+        .when(kind == "card", F.concat(front, luhn_digit(front)))
         .when(kind == "phone", digits)
         .when(kind.startswith("name:"), invented(kind, canon, attempt, draw))
         .otherwise(same_classes(canon, draw))
@@ -247,27 +285,49 @@ def cased(v: Column, s: Column) -> Column:
     return F.when((v == F.upper(v)) & (F.length(v) > 1), F.upper(s)).otherwise(s)
 
 
-def replaced(found: Column, attempts: Column | None, key: str) -> Column:
-    """What stands for each match; ``attempts``: kind and canonical form to attempt, where it isn't 0."""
+def capitalised(w: Column, s: Column) -> Column:
+    """``s`` in the case of the name ``w``."""
+    return F.when(w == F.upper(w), F.upper(s)).otherwise(F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.lit(60))))
+
+
+def with_surrogates(found: Column, attempts: Column | None, key: str) -> Column:
+    """(v, kind, new) of each match, ``new`` the surrogates of its parts; ``attempts``: kind and canonical form to attempt, where it isn't 0."""
 
     def tried(p: Column) -> Column:
         kind, canon = p.getField("kind"), p.getField("canon")
         attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws("|", kind, canon)), F.lit(0))
         return F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))
 
-    def written(m: Column) -> Column:
-        v, kind, new = m["v"], m["kind"], m["new"]
-        words, one = F.split(v, " "), F.element_at(new, 1)
-        named = F.zip_with(F.slice(words, 2, 2), new, lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(F.concat(F.upper(s.substr(F.lit(1), F.lit(1))), s.substr(F.lit(2), F.lit(60)))))
-        return (
-            F.when(kind == "name", F.concat_ws(" ", F.element_at(words, 1), named))
-            .when(kind.isin("card", "phone", "ssn", "iban"), laid_out(v, one))
-            .when(kind.isin("email", "ipv6"), cased(v, one))
-            .otherwise(one)
-        )
+    return F.transform(found, lambda m: F.struct(m["v"].alias("v"), m["kind"].alias("kind"), surrogates(F.transform(parts(m), tried), key).alias("new")))
+
+
+def written(m: Column) -> Column:
+    """What stands for a match."""
+    v, kind, new = m["v"], m["kind"], m["new"]
+    words, one = F.split(v, " "), F.element_at(new, 1)
+    named = F.zip_with(name_words(v, kind), new, capitalised)
+    initial = F.when(F.size(words) == 3, F.concat(F.upper(F.element_at(new, -1).substr(F.lit(2), F.lit(1))), F.lit(".")))
+    return (
+        F.when(kind == "name", F.concat_ws(" ", F.element_at(words, 1), named))
+        .when(kind == "person", F.concat_ws(" ", F.element_at(named, 1), initial, F.element_at(named, 2)))
+        .when(kind.isin("card", "phone", "ssn", "iban"), laid_out(v, one))
+        .when(kind.isin("email", "ipv6"), cased(v, one))
+        .when(kind.isNull(), v)
+        .otherwise(one)
+    )
+
+
+def named_elsewhere(found: Column) -> Column:
+    """(pattern, new) for each word of the persons named in a text, from ``with_surrogates``; the longest words first."""
+    persons = F.filter(found, lambda m: m["kind"].isin("name", "person"))
+    pairs = F.flatten(F.transform(persons, lambda m: F.zip_with(name_words(m["v"], m["kind"]), m["new"], lambda w, s: F.struct(F.length(w).alias("n"), w.alias("w"), s.alias("s")))))
+    forms = F.flatten(F.transform(pairs, lambda p: F.array(F.struct((-p["n"]).alias("n"), p["w"].alias("w"), capitalised(p["w"], p["s"]).alias("s")), F.struct((-p["n"]).alias("n"), F.upper(p["w"]).alias("w"), F.upper(p["s"]).alias("s")))))
+    return F.array_sort(F.array_distinct(F.filter(forms, lambda p: p["n"] < -1)))
 
-    with_new = F.transform(found, lambda m: F.struct(m["v"].alias("v"), m["kind"].alias("kind"), surrogates(F.transform(parts(m), tried), key).alias("new")))
-    return F.transform(with_new, written)
+
+def renamed(piece: Column, names: Column) -> Column:
+    """Text between matches with the words of ``named_elsewhere`` replaced."""
+    return F.aggregate(names, piece, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p["w"], F.lit(r"\E(?![\p{L}\p{N}])")), p["s"]))
 
 
 # -- tables ------------------------------------------------------------------
@@ -280,11 +340,13 @@ def matches(text: str) -> Column:
 
 def second_attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of those entities whose first surrogate collides with another's surrogate or original."""
-    held = scratch.written(entities.withColumn("attempt", F.lit(0)).withColumn("s", of_entity(F.col("kind"), F.col("canon"), F.lit(0), key)))
-    originals = entities.select("kind", F.col("canon").alias("s")).withColumn("taken", F.lit(True))
+    sort = F.substring_index("kind", ":", 1).alias("sort")  # words of names are of one sort
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be folded into one task
+    held = scratch.written(entities.repartition(tasks, "kind", "canon").withColumn("attempt", F.lit(0)).withColumn("s", of_entity(F.col("kind"), F.col("canon"), F.lit(0), key)))
+    originals = entities.select(sort, F.col("canon").alias("s")).distinct().withColumn("taken", F.lit(True))
     while True:
-        order = W.partitionBy("kind", "s").orderBy("attempt", "canon")
-        marked = held.withColumn("n", F.row_number().over(order)).join(originals, ["kind", "s"], "left")
+        order = W.partitionBy("sort", "s").orderBy("attempt", "kind", "canon")
+        marked = held.select("*", sort).withColumn("n", F.row_number().over(order)).join(originals, ["sort", "s"], "left")
         marked = scratch.written(marked.select("kind", "canon", "attempt", "s", ((F.col("n") > 1) | F.coalesce("taken", F.lit(False))).alias("again")))
         if marked.filter("again").isEmpty():
             return held.filter("attempt > 0").select("kind", "canon", "attempt")
@@ -292,8 +354,13 @@ def second_attempts(entities: DataFrame, key: str) -> DataFrame:
         held = scratch.written(marked.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), of_entity(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("s")).alias("s")))
 
 
-def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``df`` with the entities of ``text`` replaced, and n_pii and pii_kinds (different kinds, sorted, joined by commas)."""
+def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``df`` with the entities of ``text`` replaced, and n_pii and pii_kinds (different kinds, sorted, joined by commas).
+
+    n_pii counts what the patterns find, not further mentions of a name.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     keep = [c for c in df.columns if c not in ("n_pii", "pii_kinds")]
     hinted = df.filter(F.col(text).rlike(HINT)).select(text)
     # explode_outer: no filter on its input is inferred, which would look for the matches a second time
@@ -306,12 +373,14 @@ def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
         of_text = of_text.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__a"))
         rows = rows.withColumn("__h", F.when(F.size("__m") > 0, F.xxhash64(text))).join(joins.sized(scratch.written(of_text)), "__h", "left")
         attempts = F.col("__a")
-    between = F.split(F.col(text), ANY, -1)
-    new = F.array_join(F.zip_with(between, replaced(F.col("__m"), attempts, key), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__m", lambda m: m.getField("kind")))), ",")
     hit = F.size("__m") > 0
+    rows = rows.withColumn("__n", F.when(hit, with_surrogates(F.col("__m"), attempts, key))).withColumn("__p", F.when(hit, named_elsewhere(F.col("__n"))))
+    between = F.split(F.col(text), ANY, -1)
+    between = F.when(F.size("__p") > 0, F.transform(between, lambda x: renamed(x, F.col("__p")))).otherwise(between)
+    new = F.array_join(F.zip_with(between, F.transform("__n", written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    shown = F.transform(F.filter("__m", lambda m: m.getField("kind").isNotNull()), lambda m: F.when(m.getField("kind") == "person", "name").otherwise(m.getField("kind")))
     return rows.select(
         *(F.when(hit, new).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in keep),
-        F.when(hit, F.size("__m")).otherwise(0).cast("long").alias("n_pii"),
-        F.when(hit, kinds).otherwise("").alias("pii_kinds"),
+        F.when(hit, F.size(shown)).otherwise(0).cast("long").alias("n_pii"),
+        F.when(hit, F.array_join(F.array_sort(F.array_distinct(shown)), ",")).otherwise("").alias("pii_kinds"),
     )

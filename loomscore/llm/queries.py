@@ -136,7 +136,7 @@ def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data and secrets."""
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

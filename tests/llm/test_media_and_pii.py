@@ -53,7 +53,7 @@ def test_media_columns(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 400), (3, "é" * 400)], "doc_id long, text string").withColumn("payload", F.lit("clash"))
     rows = mpeg.digest(mpeg.parsed(mpeg.stored(df))).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in rows) == [(1, 0, 576), (2, 0, 576), (3, 800, 1152), (3, 800, 1152)]
-    assert len({tuple(r)[1:] for r in rows}) == 2
+    assert len({str(tuple(r)[1:]) for r in rows}) == 2
     nothing = spark.createDataFrame([(None,), (b"",), (b"no frames",)], "media binary")
     assert all(r["frame_offsets"] == [] and r["duration_s"] == 0 for r in mpeg.parsed(nothing).collect())
 
@@ -84,7 +84,7 @@ def test_a_very_long_text_as_media(spark):
 
 def replaced(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r["text"] for r in pii.replace(df).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.replace(df, "key").orderBy("doc_id").collect()]
 
 
 def luhn(s):
@@ -128,7 +128,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
 
 def test_clean_documents_stay_and_planted_values_go(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
-    rows = docs.join(pii.replace(docs.select("doc_id", "text")).withColumnRenamed("text", "new"), "doc_id").collect()
+    rows = docs.join(pii.replace(docs.select("doc_id", "text"), "key").withColumnRenamed("text", "new"), "doc_id").collect()
     planted = re.compile(r"[\w.]+@mail\d+\.example\.com|\d+\.\d+\.\d+\.\d+|\d{16}|[0-9a-f]{40}|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]+")
     assert any(r["n_pii"] for r in rows)
     for r in rows:
@@ -139,5 +139,5 @@ def test_clean_documents_stay_and_planted_values_go(spark):
 
 def test_extra_columns_and_no_rows(spark):
     df = spark.createDataFrame([("a@b.org", "clash")], "text string, n_pii string")
-    assert pii.replace(df).first()["n_pii"] == 1
-    assert pii.replace(df.limit(0)).count() == 0
+    assert pii.replace(df, "key").first()["n_pii"] == 1
+    assert pii.replace(df.limit(0), "key").count() == 0

@@ -7,7 +7,7 @@ from loomscore.llm import pii
 
 def replaced(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
-    return [r["text"] for r in pii.replace(df).orderBy("i").collect()]
+    return [r["text"] for r in pii.replace(df, "key").orderBy("i").collect()]
 
 
 def test_values_without_letters_or_digits_stay(spark):

@@ -17,7 +17,7 @@ CLEAN = (
 
 def replaced(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
-    return pii.replace(df).orderBy("i").collect()
+    return pii.replace(df, "key").orderBy("i").collect()
 
 
 def test_each_form_is_replaced(spark):

@@ -36,7 +36,7 @@ def test_stages_take_effect(spark):
                 up[max(x, y)] = min(x, y)
     kept = [d for d in ids if root(d) == d]
     assert len(kept) < len(good) < len(rows)
-    masked = pii.replace(docs.filter(docs["doc_id"].isin(kept)))
+    masked = pii.replace(docs.filter(docs["doc_id"].isin(kept)), pii.session_key(spark))
     copies = {r["doc_id"]: r["copies"] for r in mixing.apply(masked, mixing.fit(masked)).collect()}
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     expected = collections.Counter({(r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids)): copies[r["doc_id"]] for r in masked.collect()})
