@@ -166,6 +166,7 @@ class ByteBpe:
     # -- pieces --------------------------------------------------------------
 
     def learn_pieces(self, pieces: set[str]) -> None:
+        self.pieces.turn()
         new = self.pieces.missing(pieces)
         raw = [p.encode() for p in new]
         short = [i for i, r in enumerate(raw) if len(r) <= SHORT]
@@ -222,6 +223,7 @@ class ByteBpe:
                 whole.append((i, chunks[0]))
                 unseen.update(chunks[1:])
                 easy.append((i, chunks))
+        self.chunks.turn()
         self.learn_chunks(unseen)
         ids = iter(self.encode_all([p for _, p in whole if isinstance(p, str)]))
         for i, p in whole:
@@ -264,11 +266,14 @@ class Cache(dict):
         self.old: dict = {}
         self.size = size
 
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` without a value; all others are ready for lookups until the next call."""
+    def turn(self) -> None:
+        """Begin a new generation if this one is full."""
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` without a value; all others are ready for lookups until the next turn."""
         new = keys.difference(self)
         again = self.old.keys() & new
         self.update(zip(again, map(self.old.__getitem__, again), strict=True))

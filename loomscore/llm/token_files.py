@@ -33,7 +33,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
+from itertools import compress, filterfalse
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -52,13 +52,14 @@ MAGIC = b"LPF1"
 HEADER = struct.Struct("<4sIIIQQI")
 BLOCK = struct.Struct("<IBHH")
 BLOCK_IDS, SEGMENT_IDS, PERCENTILE, MAX_SHARDS = 256, 1 << 19, 90, 100_000
-#: Entries of each generation of the caches of ids: of chunks, and of words and marks that they consist of.
-HELD, WORDS_HELD = 250_000, 150_000
-#: Letters that normal forms leave alone and lower-casing treats one by one.
-WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: What may end a chunk after such letters; an apostrophe may not, as the pattern takes some letters after it.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: What str.split takes for white space but the tokenizer's pattern doesn't.
+#: Entries of each generation of a cache of ids.
+HELD = 400_000
+# Letters that normal forms leave alone and lower-casing treats one by one.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+WORD = re.compile(LETTERS)
+#: Runs of such letters that another ASCII character or the end follows, so that a piece ends there; and what else is without white space.
+UNITS = re.compile(LETTERS + r"(?=[\x00-@\[-`{-\x7f]|\Z)|\S+")
+#: What \\s is in UNITS but the tokenizer's pattern doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 # The set-up of a tokenizer whose pieces never span white space, as its file spells it.
 SEPARABLE = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -84,18 +85,28 @@ def _pack(rows: np.ndarray, percentile: int) -> list[bytes]:
     rest = rows.astype(np.int64) - low[:, None]
     widths = bit_length(np.partition(rest, k := min(n - 1, n * percentile // 100), 1)[:, k])
     out: list[bytes] = [b""] * len(rows)
-    for width in np.unique(widths):
+    for width in np.unique(widths).tolist():
         which = np.flatnonzero(widths == width)
         part = rest[which]
-        over = part >> int(width) > 0
-        bits = np.unpackbits(np.where(over, 0, part).astype(">u4").view(np.uint8).reshape(len(which), n, 4), axis=2)[:, :, 32 - width :]
-        packed = np.packbits(bits.reshape(len(which), -1), axis=1)
-        for k, i in enumerate(which):
-            at = np.flatnonzero(over[k])
-            out[i] = BLOCK.pack(int(low[i]), int(width), n, len(at)) + packed[k].tobytes() + at.astype("<u2").tobytes() + part[k, at].astype("<u4").tobytes()
+        over = part >> width > 0
+        kind, bits = cell(width)
+        body = np.unpackbits(np.where(over, 0, part).astype(kind).view(np.uint8).reshape(len(which), n, bits // 8), axis=2)[:, :, bits - width :]
+        body = np.packbits(body.reshape(len(which), -1), axis=1)
+        size, packed = body.shape[1], body.tobytes()
+        row, at = np.nonzero(over)
+        cuts = np.searchsorted(row, np.arange(len(which) + 1)).tolist()
+        places, values = at.astype("<u2").tobytes(), part[over].astype("<u4").tobytes()
+        for k, (i, base) in enumerate(zip(which.tolist(), low[which].tolist(), strict=True)):
+            a, z = cuts[k], cuts[k + 1]
+            out[i] = b"".join((BLOCK.pack(base, width, n, z - a), packed[k * size : (k + 1) * size], places[2 * a : 2 * z], values[4 * a : 4 * z]))
     return out
 
 
+def cell(width: int) -> tuple[str, int]:
+    """The smallest big-endian integer that holds ``width`` bits, and its bits."""
+    return (">u2", 16) if width <= 16 else (">u4", 32)
+
+
 def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
     heads = [BLOCK.unpack_from(b) for b in blocks]
     stops = np.cumsum([0, *(h[2] for h in heads)])
@@ -105,16 +116,17 @@ def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
         groups.setdefault((width, n), []).append(i)
     for (width, n), which in groups.items():
         size = (n * width + 7) // 8
-        raw = np.frombuffer(b"".join(blocks[i][BLOCK.size : BLOCK.size + size] for i in which), np.uint8).reshape(len(which), size)
-        bits = np.zeros((len(which), n, 32), np.uint8)
-        bits[:, :, 32 - width :] = np.unpackbits(raw, axis=1)[:, : n * width].reshape(len(which), n, width)
-        values = np.packbits(bits, axis=2).reshape(len(which), -1).view(">u4").astype(np.int64)
-        for k, i in enumerate(which):
-            low, _, _, odd = heads[i]
-            if odd:
-                at = np.frombuffer(blocks[i], "<u2", odd, BLOCK.size + size)
-                values[k, at] = np.frombuffer(blocks[i], "<u4", odd, BLOCK.size + size + 2 * odd)
-            out[stops[i] : stops[i + 1]] = values[k] + low
+        kind, wide = cell(width)
+        raw = np.frombuffer(b"".join([blocks[i][BLOCK.size : BLOCK.size + size] for i in which]), np.uint8).reshape(len(which), size)
+        bits = np.zeros((len(which), n, wide), np.uint8)
+        bits[:, :, wide - width :] = np.unpackbits(raw, axis=1)[:, : n * width].reshape(len(which), n, width)
+        values = np.packbits(bits, axis=2).reshape(len(which), -1).view(kind).astype(np.int64)
+        odd = [heads[i][3] for i in which]
+        at = np.frombuffer(b"".join([blocks[i][BLOCK.size + size : BLOCK.size + size + 2 * k] for i, k in zip(which, odd, strict=True)]), "<u2")
+        values[np.repeat(np.arange(len(which)), odd), at] = np.frombuffer(b"".join([blocks[i][BLOCK.size + size + 2 * k :] for i, k in zip(which, odd, strict=True)]), "<u4")
+        values += np.array([heads[i][0] for i in which], np.int64)[:, None]
+        starts = stops[which]
+        out[(starts[:, None] + np.arange(n)).ravel()] = values.ravel()
     return out
 
 
@@ -157,7 +169,7 @@ class LibraryIds:
     """Ids of whole texts as the tokenizers library gives them, without special tokens around.
 
     If the tokenizer normalises and splits so that no piece spans white space,
-    a text's ids are those of its chunks in a row, and the library encodes each
+    a text's ids are those of its words and marks in a row, and the library encodes each
     different one once while a bounded cache holds it.  Any other tokenizer
     or text goes through the library whole.
     """
@@ -178,7 +190,7 @@ class LibraryIds:
         for token, i in file["model"]["vocab"].items():
             self.ends[i] = token.endswith("</w>")
         self.kind = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
-        self.chunks, self.words = Cache(HELD), Cache(WORDS_HELD)
+        self.units = Cache(HELD)
         self.plain = self.without_normal_forms() if self.separable else self.tokenizer
 
     def without_normal_forms(self) -> Tokenizer:
@@ -193,44 +205,42 @@ class LibraryIds:
     def whole(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def learn_words(self, words: set[str]) -> None:
-        """Lower-case words; only the last token of each ends a word, so many are encoded as one text."""
-        new = self.words.missing(words)
-        for a in range(0, len(new), 1000):
-            some = new[a : a + 1000]
+    def of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words; only the last token of each ends a word, so many are encoded as one text."""
+        out: dict[str, bytes] = {}
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(stops) == len(some):
-                self.words.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
+                out.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=True))
             else:
-                self.words.update(zip(some, self.whole(some), strict=True))
-
-    def learn(self, chunks: set[str]) -> None:
-        """A chunk of a word and MARKS is a piece for each; all others go through the library whole."""
-        new = self.chunks.missing(chunks)
-        cores = list(map(str.rstrip, new, repeat(MARKS)))
-        easy = [a and (b or bool(WORD.fullmatch(c))) for a, b, c in zip(map(str.isalpha, cores), map(str.isascii, cores), cores, strict=True)]
-        rest = [c for c, e in zip(new, easy, strict=True) if not e]
-        self.chunks.update(zip(rest, self.whole(rest), strict=True))
-        new, cores = list(compress(new, easy)), list(compress(cores, easy))
-        tails, lows = list(map(str.removeprefix, new, cores)), list(map(str.lower, cores))
-        marks, words = list(set(tails)), set(lows)
-        of_marks = dict(zip(marks, self.whole(marks), strict=True))
-        self.learn_words(words)
-        self.chunks.update(zip(new, map(bytes.__add__, map(self.words.__getitem__, lows), map(of_marks.__getitem__, tails)), strict=True))
-        self.words.forget_long(words)
+                out.update(zip(some, self.whole(some), strict=True))
+        return out
+
+    def learn(self, units: set[str]) -> None:
+        """A word of LETTERS has the ids of its lower case; all else goes through the library as it is."""
+        new = self.units.missing(units)
+        plain = [a and (b or bool(WORD.fullmatch(u))) for a, b, u in zip(map(str.isalpha, new), map(str.isascii, new), new, strict=True)]
+        rest = [u for u, p in zip(new, plain, strict=True) if not p]
+        self.units.update(zip(rest, self.whole(rest), strict=True))
+        words = list(compress(new, plain))
+        lows = list(map(str.lower, words))
+        found = self.of_words(list(set(lows)))
+        self.units.update(zip(words, map(found.__getitem__, lows), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         easy = [self.separable and "<|" not in t and not any(c in t for c in SEPARATORS) for t in texts]
-        cut = [t.split() if e else [] for t, e in zip(texts, easy, strict=True)]
-        unseen = set().union(*cut)
+        cut = [UNITS.findall(t) if e else [] for t, e in zip(texts, easy, strict=True)]
+        self.units.turn()
+        unseen = set().union(*(filterfalse(self.units.__contains__, c) for c in cut))
         self.learn(unseen)
-        get = self.chunks.__getitem__
+        get = self.units.__getitem__
         out = [b"".join(map(get, c)) for c in cut]
         hard = [i for i, e in enumerate(easy) if not e]
         for i, ids in zip(hard, self.whole([texts[i] for i in hard]), strict=True):
             out[i] = ids
-        self.chunks.forget_long(unseen)
+        self.units.forget_long(unseen)
         return out
 
 

@@ -70,7 +70,7 @@ def test_columns_of_nulls_repeats_and_clashing_names(spark):
 def test_library_ids_equal_whole_texts():
     own, library = token_files.LibraryIds(WORDS), Tokenizer.from_file(WORDS)
     assert own.separable
-    own.chunks.size = own.words.size = 50
+    own.units.size = 50
     for block in (ODD, strange(1500), spaced(3000), ODD):
         for text, raw in zip(block, own.encode(block), strict=True):
             assert np.frombuffer(raw, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
@@ -136,7 +136,7 @@ def test_very_long_texts_equal_the_library():
     ids = Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
     own = token_files.LibraryIds(WORDS)
     assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == ids
-    assert max(map(len, own.chunks)) <= bpe.SHORT
+    assert max(map(len, own.units)) <= bpe.SHORT
     short = text[: 1_200_000]
     assert np.frombuffer(bpe.ByteBpe(BYTES).encode([short])[0], "<u4").tolist() == Tokenizer.from_file(BYTES).encode(short, add_special_tokens=False).ids
 
