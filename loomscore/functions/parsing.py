@@ -31,7 +31,16 @@ def longest_first(strings: Column) -> Column:
 
 
 def ids_in(text: Column, ids: Column) -> Column:
-    """The ids that stand in ``text`` between ASCII word boundaries; what one id took no shorter one finds."""
+    """The ids that stand in ``text`` between ASCII word boundaries; what one id took no shorter one finds.
+
+    Ids of word characters only, as neutral ones are, are looked up among the
+    text's words; others need a pattern of their own.
+    """
+    words = F.array_intersect(ids, F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    return F.when(F.forall(ids, lambda i: F.regexp_like(i, F.lit("^[A-Za-z0-9_]+$"))), words).otherwise(ids_by_pattern(text, ids))
+
+
+def ids_by_pattern(text: Column, ids: Column) -> Column:
     zero = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(s: Column, i: Column) -> Column:
@@ -74,8 +83,9 @@ def parse_structured(raw: Column | str, ids: Column | str, field: str = "entity_
     text = strip(raw)
     body = json_object(text)
     read = F.from_json(body, f"`{field}` string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant"))
     value = strip(read[field])
+    # only a value that looks like an array is parsed a second time, to tell it from a string that does
+    kind = F.when(value.startswith("["), F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")))
     return (
         F.when(raw.isNull(), outcome(None, "missing", "no response"))
         .when(text == "", outcome(None, "invalid", "empty"))
@@ -90,16 +100,19 @@ def parse_structured(raw: Column | str, ids: Column | str, field: str = "entity_
 def alias_entries(roster: Column, speaker_label: Column, addressee_label: Column | None = None) -> Column:
     """array<struct<alias, eid>>: ids, labels and aliases, of which later ones win; then pronouns, which win over none.
 
-    Without ``addressee_label``, the other of the labels A and B is the addressee's.
+    Without ``addressee_label``, or where it is null, the other of the labels A
+    and B is the addressee's.
     """
     plain = F.flatten(
         F.transform(roster, lambda p: F.transform(F.concat(F.array(p["entity_id"], p["label"]), F.coalesce(p["aliases"], F.array().cast("array<string>"))), lambda a: F.struct(a.alias("alias"), p["entity_id"].alias("eid"))))
     )
 
     def owner(label: Column) -> Column:
-        return F.try_element_at(F.filter(roster, lambda p: p["label"].eqNullSafe(label)), F.lit(-1))["entity_id"]
+        return F.try_element_at(F.filter(roster, lambda p: p["label"] == label), F.lit(-1))["entity_id"]
 
-    other = addressee_label if addressee_label is not None else F.when(speaker_label == "A", "B").otherwise("A")
+    other = F.when(speaker_label == "A", "B").otherwise("A")
+    if addressee_label is not None:
+        other = F.coalesce(addressee_label, other)
 
     def pronouns(words: tuple[str, ...], eid: Column) -> Column:
         return F.when(eid.isNull(), F.array().cast("array<struct<alias:string,eid:string>>")).otherwise(F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("alias"), eid.alias("eid"))))

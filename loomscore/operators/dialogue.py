@@ -128,7 +128,16 @@ def items(records: DataFrame) -> DataFrame:
     )
 
 
-GOLD_KEYS = ("gold_entity_id", "gold_role", "entity_roles", "gold_referent_id", "gold_referent_role", "addressee_id", "designated_distractor_id", "distractor_id", "id_map", "anchor_turn", "anchor_referent_id")
+# Names that no item may carry, and those that a search of written items looks for beside them.
+GOLD_KEYS = (
+    "gold_entity_id", "gold_role", "gold_referent_id", "gold_referent_role", "designated_distractor_id",
+    "distractor_id", "anchor_referent_id", "author_rationale", "restored_form", "gold",
+)
+FORBIDDEN_ITEM_KEYS = (
+    *GOLD_KEYS, "addressee_id", "anchor_turn", "anchor_addressee_id", "entity_roles", "context_need",
+    "manipulated_variables", "pair_claims", "expected_gold_change", "linguistic_cues",
+    "ambiguity_status", "annotation_status", "validation_metadata", "id_map",
+)
 
 
 def gold(records: DataFrame) -> DataFrame:

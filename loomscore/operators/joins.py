@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side is broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a side is broadcast.
+MOST = 16 << 20
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """To be broadcast if it has at most ``rows`` rows; the planner chooses for larger ones."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(schema: T.StructType) -> Column:
+    """About what a row takes in memory: 16 bytes a column, and the length of texts, byte strings and nested values."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [f for f in schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    long += [F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in nested]
+    return sum(long, F.lit(16 * len(schema))).cast("long")
+
+
+def held(df: DataFrame) -> int:
+    """About the bytes that all rows take, by one aggregation."""
+    return df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()[0]
+
+
+def sized(df: DataFrame, most: int = MOST) -> DataFrame:
+    """To be broadcast if its rows take at most ``most`` bytes; the planner chooses for larger ones."""
+    return F.broadcast(df) if held(df) <= most else df
 
 
 def last_write(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -62,22 +77,38 @@ def with_cache(requests: DataFrame, cache: DataFrame, key: str = "payload_hash")
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
-def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str, at_once: int = 1000) -> DataFrame:
+def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str, most: int = MOST) -> DataFrame:
     """Rows of ``texts`` with each passage that they contain, both sides' columns.
 
-    Up to ``at_once`` passages are broadcast and looked for one by one.  More
-    are found by the words inside them: a passage that stands in a text brings
-    all but its first and last word, so three words from its middle lead to the
-    texts that may have it; shorter passages are broadcast in any number.
+    A passage that stands in a text brings all but its first and last word, so
+    up to three of the words between lead to the texts that may have it; of
+    those runs the longest in letters is taken, as common words are short.
+    Passages of one or two words have no such key and are looked for one by
+    one, ``most`` bytes of them at a time.
     """
-    words = F.split(F.trim(F.regexp_replace(F.col(passage), r"\s+", " ")), " ")
-    real = passages.filter(F.col(passage) != "")
-    if real.limit(at_once + 1).count() <= at_once:
-        return texts.join(F.broadcast(real), F.col(text).contains(F.col(passage)))
-    marked = real.withColumn("__w", words)
-    long = marked.filter(F.size("__w") >= 5).withColumn("__k", F.array_join(F.slice("__w", F.floor(F.size("__w") / 2).cast("int"), 3), " ")).drop("__w")
-    short = marked.filter(F.size("__w") < 5).drop("__w")
-    own = F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__o") - 2, F.lit(1))), lambda i: F.array_join(F.slice("__o", i, 3), " ")))
-    keyed = texts.withColumn("__o", own).withColumn("__k", F.explode(grams)).drop("__o").join(long, "__k").drop("__k").filter(F.col(text).contains(F.col(passage)))
-    return keyed.unionByName(texts.join(F.broadcast(short), F.col(text).contains(F.col(passage))))
+
+    def cut(c: Column) -> Column:
+        return F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+
+    def runs(words: Column, first: int, last: Column, n: int) -> Column:
+        return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    real = passages.filter(F.col(passage) != "").withColumn("__w", cut(F.col(passage)))
+    size = F.size("__w")
+    parts: list[DataFrame] = []
+    for n, some in ((3, size >= 5), (2, size == 4), (1, size == 3)):
+        keyed = real.filter(some)
+        if keyed.isEmpty():
+            continue
+        best = F.array_max(F.transform(runs(F.col("__w"), 2, size - n, n), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+        own = texts.withColumn("__o", cut(F.col(text)))
+        grams = own.withColumn("__k", F.explode(F.array_distinct(runs(F.col("__o"), 1, F.size("__o") - n + 1, n)))).drop("__o")
+        parts.append(grams.join(sized(keyed.withColumn("__k", best).drop("__w")), "__k").drop("__k").filter(F.col(text).contains(F.col(passage))))
+    short = real.filter(size < 3).drop("__w")
+    blocks = -(-held(short) // most)
+    for k in range(blocks):
+        some = short.filter(F.pmod(F.xxhash64(passage), F.lit(blocks)) == k)
+        parts.append(texts.join(F.broadcast(some), F.col(text).contains(F.col(passage))))
+    if not parts:
+        return texts.crossJoin(passages.limit(0))
+    return reduce(DataFrame.unionByName, parts)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import label_of
+from ..functions.text import label_of, label_of_boolean
 
 STATUSES = ("ok", "invalid", "abstain", "missing", "unmapped")
 
@@ -117,6 +117,28 @@ def by_dimensions(rows: DataFrame, keys: Sequence[str], dimensions: Mapping[str,
     return correct.groupBy(*keys, "d.dimension", "d.level").agg(F.try_divide(F.sum("hit").cast("double"), F.count("*")).alias("value"), F.sum("hit").cast("long").alias("numerator"), F.count("*").alias("denominator"))
 
 
+# A summary's tables and the columns that they group by.
+TABLES = {
+    "by_referent_changed": "referent_changed", "by_speaker_changed": "speaker_changed", "by_role_changed": "referent_role_changed", "by_distractor_present": "distractor_present", "by_turn_distance": "turn_distance", "by_dataset": "dataset", "by_creation_method": "creation_method", "by_context_need": "context_need",
+}
+
+
+def benchmark_tables(rows: DataFrame) -> DataFrame:
+    """All accuracy tables of a benchmark's summary in one pass: model_label, condition, dimension, level, value, numerator, denominator.
+
+    A row counts once in each table, and in by_linguistic_cue once for each of its cues ("none" without).
+    """
+    of = dict(rows.dtypes)
+    level = {d: label_of_boolean(F.col(c)) if of[c] == "boolean" else label_of(F.col(c)) for d, c in TABLES.items() if c in of}
+    level["by_referent_type"] = label_of(F.col("gold_role") if "gold_role" in of else role_of("gold_entity_id"))
+    single = F.array(*(F.struct(F.lit(d).alias("dimension"), c.alias("level")) for d, c in level.items()))
+    own = F.when(F.size("linguistic_cues") > 0, F.col("linguistic_cues")).otherwise(F.array(F.lit("none")))
+    each = F.concat(single, F.transform(own, lambda c: F.struct(F.lit("by_linguistic_cue").alias("dimension"), c.alias("level"))))
+    keys = ["model_label", "condition"]
+    hit = rows.select(*keys, is_correct().cast("int").alias("hit"), F.explode(each).alias("d"))
+    return hit.groupBy(*keys, "d.dimension", "d.level").agg(F.try_divide(F.sum("hit").cast("double"), F.count("*")).alias("value"), F.sum("hit").cast("long").alias("numerator"), F.count("*").alias("denominator"))
+
+
 def benchmark_summary(rows: DataFrame) -> DataFrame:
     """One row for each model and condition: overall ratios, statuses and counts."""
     keys = ["model_label", "condition"]
@@ -141,6 +163,11 @@ def majority_role(rows: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("n"), "role").limit(1)
 
 
+def natural_tables(rows: DataFrame) -> DataFrame:
+    """by_role and by_candidate_count: dimension, level and accuracy."""
+    return by_dimensions(rows, [], {"by_role": role_of("gold_entity_id"), "by_candidate_count": F.coalesce(F.size("candidates"), F.lit(0))})
+
+
 def natural_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy().agg(*entity_accuracy().columns("accuracy_"), *role_accuracy().columns("role_"), *same_role_wrong_entity().columns("same_role_"), *chance_level().columns("chance_"), *status_columns(), distinct_with_null("conversation_id").alias("n_conversations"))
 

@@ -68,6 +68,12 @@ def condition_pairs(rows: DataFrame, a: str, b: str, order: str, keys: tuple[str
     return some.groupBy(*keys).agg((last(a) - last(b)).alias("diff")).filter("diff is not null")
 
 
+def condition_benefit(rows: DataFrame, a: str, b: str, order: str) -> DataFrame:
+    """For each model, the mean difference over items with both conditions; models without such items are left out."""
+    diffs = condition_pairs(rows, a, b, order, ("model_label", "item_id"))
+    return diffs.groupBy("model_label").agg(F.avg("diff").alias("value"), F.sum("diff").cast("long").alias("numerator"), F.count("*").alias("denominator"))
+
+
 def condition_difference(rows: DataFrame, a: str, b: str, order: str, keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
     return condition_pairs(rows, a, b, order, keys).agg(F.avg("diff").alias("value"), F.sum("diff").cast("long").alias("numerator"), F.count("*").alias("denominator"))
 
@@ -144,6 +150,11 @@ def pair_diff(pairs: DataFrame) -> DataFrame:
     )
 
 
+def manifest(diffs: DataFrame) -> DataFrame:
+    """The pairs of ``pair_diff`` that a manifest lists: those with conflicting claims are problems only."""
+    return diffs.filter(~F.coalesce("conflict", F.lit(False)))
+
+
 def pair_problems(pairs: DataFrame, diffs: DataFrame) -> DataFrame:
     """(pair_id, problem): sizes other than two, pairs across scenarios, conflicting claims, unexpected gold changes."""
     size = pairs.filter("n <> 2").select("pair_id", F.concat(F.lit("pair "), "pair_id", F.lit(" has "), F.col("n").cast("string"), F.lit(" members")).alias("problem"))

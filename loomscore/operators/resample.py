@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import sized
 from .metrics import is_correct
 from .pairs import condition_pairs
 
@@ -81,7 +82,8 @@ def bootstrap(rows: DataFrame, cluster: str, statistic: Statistic, n_boot: int =
     word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("boot").cast("string"), F.col("slot").cast("string")))
     pick = F.conv(F.substring(word, 1, 8), 16, 10).cast("long")
     drawn = slots.select("boot", F.pmod(pick, total.select("n_clusters").scalar()).alias("__i"))
-    replicates = drawn.join(numbered.drop("__c", "__rows"), "__i").groupBy("boot").agg(*(F.sum(c).alias(c) for c in statistic.sums)).select(statistic.value.alias("v"))
+    # where the clusters' sums are broadcast only the replicates' partial sums are shuffled
+    replicates = drawn.join(sized(numbered.drop("__c", "__rows")), "__i").groupBy("boot").agg(*(F.sum(c).alias(c) for c in statistic.sums)).select(statistic.value.alias("v"))
     ci = replicates.agg(percentile(F.col("v"), alpha / 2).alias("ci_low"), percentile(F.col("v"), 1 - alpha / 2).alias("ci_high"), F.count("*").alias("n_boot"), F.count_if(F.col("v").isNull()).alias("n_undefined"))
     ci = ci.withColumn("p", point.select(F.struct("point", "n_rows", "n_clusters").alias("p")).scalar()).select("p.*", "ci_low", "ci_high", "n_boot", "n_undefined")
     return ci.select("point", "ci_low", "ci_high", "n_rows", "n_clusters", "n_boot", "n_undefined")

@@ -38,25 +38,53 @@ def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios
                 raise ValueError(f"repeated scenarios: {again}")
             sc = sc.select("scenario_id", F.transform("participants", lambda p: p["entity_id"]).alias("candidates"), F.transform("variants", lambda v: v["variant"]).alias("variants"))
             found = found.unionByName(rules.links(own, sc))
-        counts = rules.histograms(rows, ["gold_referent_role"], ["referent_changed", "distractor_present"])
-        expected = {"by_gold_referent_role": ["speaker", "addressee", "third_party"], "by_referent_changed": ["True", "False"], "by_distractor_present": ["True", "False"]}
-        found = found.unionByName(rules.empty_cells(counts, expected))
+        found = found.unionByName(sample_leaks(dialogue.neutral_ids(rows)))
+        found = found.unionByName(rules.balance_issues(rules.balance(rows)))
     if out:
         tables.write_jsonl(found, out)
         found = tables.read_jsonl(spark, out, "level string, sample_id string, code string, message string")
     return {r["level"]: r["n"] for r in rules.level_counts(found).collect()}
 
 
-def payload(spark: SparkSession, folder: str, out: str, seed: int = 0, include_unreviewed: bool = False) -> dict:
+#: A prompt that shows what every prompt may show.
+PLAIN_PROMPT = {"version": "plain", "slots": ["dialogue", "target_marker", "target_speaker_label", "candidates"], "template": "{dialogue}\n{target_speaker_label}: {target_marker}\n" + rules.CANDIDATE_HEAD + "\n{candidates}"}
+
+
+def asked(items: DataFrame, prompt: dict, config: dict, qa_prompt: dict | None = None) -> tuple[DataFrame, dict]:
+    """``items`` with what the requests for each condition say, and the columns that hold it by condition."""
+    conditions = ("full_mcq", "target_only_mcq", *(("full_qa",) if qa_prompt else ()))
+    sent = runner.requests(runner.strip_gold(items), conditions, prompt, {"model_id": "leak-check", **config}, qa_prompt)
+    says = {c: F.max(F.when(F.col("condition") == c, F.concat("system", F.lit("\n"), "user"))).alias(f"__{c}") for c in conditions}
+    return items.join(sent.groupBy("item_id").agg(*says.values()), "item_id"), {c: F.col(f"__{c}") for c in conditions}
+
+
+def payload_leaks(items: DataFrame, gold: DataFrame, prompt: dict, config: dict, qa_prompt: dict | None = None, forbidden: Sequence[str] = ()) -> DataFrame:
+    """Issues of written items and of the requests built from them; an item without gold is searched all the same."""
+    keys = gold.select("item_id", "gold_entity_id", F.map_values("id_map").alias("original_ids"))
+    own, says = asked(items, prompt, config, qa_prompt)
+    own = own.join(keys, "item_id", "left").withColumn("original_ids", F.coalesce("original_ids", F.array().cast("array<string>")))
+    return rules.issues(own, rules.payload_rules(says, items.columns, forbidden), "item_id")
+
+
+def sample_leaks(samples: DataFrame, prompt: dict = PLAIN_PROMPT) -> DataFrame:
+    """Issues of the items and requests that derived samples with id_map would give."""
+    items = dialogue.items(samples)
+    rationale = F.col("author_rationale") if "author_rationale" in samples.columns else F.lit(None).cast("string")
+    own, says = asked(items, prompt, {})
+    own = own.join(samples.select(F.col("sample_id").alias("item_id"), rationale.alias("author_rationale"), "gold_referent_id"), "item_id")
+    return rules.issues(own, rules.leak_rules(says, items.columns, rules.forbidden_keys(items.schema, dialogue.FORBIDDEN_ITEM_KEYS)), "item_id")
+
+
+def payload(
+    spark: SparkSession, folder: str, out: str, seed: int = 0, include_unreviewed: bool = False, prompt: dict | None = None, config: dict | None = None, qa_prompt: dict | None = None
+) -> dict:
     """Items and gold keys of a dataset, written, read again and searched for leaks as they were written."""
     kept, skipped = dialogue.evaluation_split(dialogue.neutral_ids(derived(spark, folder), seed), include_unreviewed)
     tables.write_jsonl(dialogue.items(kept), f"{out}/items")
     tables.write_jsonl(dialogue.gold(kept), f"{out}/gold")
     items, gold = tables.read_jsonl(spark, f"{out}/items", schemas.ITEMS), tables.read_jsonl(spark, f"{out}/gold", schemas.GOLD)
-    if forbidden := rules.forbidden_keys(spark.read.json(f"{out}/items").schema, dialogue.GOLD_KEYS):
-        raise ValueError(f"items carry {forbidden}")
-    own = items.join(gold.select("item_id", F.map_values("id_map").alias("original_ids")), "item_id")
-    leaks = rules.issues(own, rules.payload_rules({"full_mcq": F.col("full_text"), "target_only_mcq": F.col("local_text")}, items.columns), "item_id")
+    forbidden = rules.forbidden_keys(spark.read.json(f"{out}/items").schema, dialogue.FORBIDDEN_ITEM_KEYS)
+    leaks = payload_leaks(items, gold, prompt or PLAIN_PROMPT, config or {}, qa_prompt, forbidden)
     return {"items": items.count(), "skipped": skipped.count(), "leaks": leaks.count()}
 
 
@@ -101,7 +129,7 @@ def pair_report(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     fields = ("sample_id", "scenario_id", "variant", "pair_ids", "pair_claims", "pair_expected_gold_change", "manipulated_variables", "expected_gold_change", "candidates", "target_text", "turns", *pairs.CONTROLLED_VARIABLES)
     two = pairs.members(rows.select(*dict.fromkeys(fields)))
     found = pairs.pair_diff(two)
-    return found, pairs.pair_problems(two, found)
+    return pairs.manifest(found), pairs.pair_problems(two, found)
 
 
 def pair_sheet(spark: SparkSession, folder: str, out: str) -> None:

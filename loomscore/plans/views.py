@@ -28,7 +28,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 97 != 0, nth(uid)).alias("gold_entity_id"), F.when((status == "ok") & (k % 23 != 0), nth(k)).alias("predicted_entity_id"), status.alias("parse_status"), roles.alias("entity_roles"),
         F.transform(F.sequence(F.lit(1), (2 + eid % 3).cast("int")), lambda i: F.concat(F.lit("E"), i.cast("string"))).alias("candidates"),
         F.when(eid % 2 == 0, nth(k + 1)).alias("designated_distractor_id"), nth(k + 2).alias("most_recent_mentioned_id"), (k % 2 == 0).alias("distractor_present"),
-        F.when(k % 7 != 6, k % 7).alias("turn_distance"), F.when(k % 3 != 2, k % 3 == 1).alias("referent_changed"), cues.alias("linguistic_cues"), F.when(k % 13 != 0, (k * 10).cast("long")).alias("input_tokens"), (k % 4).cast("long").alias("output_tokens"),
+        F.when(k % 7 != 6, k % 7).alias("turn_distance"), F.when(k % 3 != 2, k % 3 == 1).alias("referent_changed"), cues.alias("linguistic_cues"),
+        F.when(k % 5 != 4, k % 5 == 1).alias("speaker_changed"), F.when(k % 11 != 3, k % 11 == 1).alias("referent_role_changed"), F.when(eid % 3 == 0, "controlled").otherwise("naturalistic").alias("dataset"), F.when(eid % 5 == 0, "llm").otherwise("human").alias("creation_method"),
+        F.when(k % 6 == 0, "locally_recoverable").when(k % 6 == 1, "discourse_dependent").when(k % 6 == 2, "conflict").alias("context_need"),
+        F.when(k % 13 != 0, (k * 10).cast("long")).alias("input_tokens"), (k % 4).cast("long").alias("output_tokens"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import parsing, text
 from .operators import agreement as ag
 from .operators import baselines, dialogue, joins, metrics, pairs, resample, rules
-from .plans import runner, views
+from .plans import flows, runner, views
 from .plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,9 @@ scored AS (
     CASE k % 10 WHEN 0 THEN 'invalid' WHEN 1 THEN 'abstain' WHEN 2 THEN 'missing' WHEN 3 THEN 'unmapped' ELSE 'ok' END AS status,
     2 + event_id % 3 AS n_candidates, CASE WHEN event_id % 2 = 0 THEN 'E' || ((k + 1) % 4 + 1) END AS distractor, 'E' || ((k + 2) % 4 + 1) AS recent,
     k % 2 = 0 AS distractor_present, CASE WHEN k % 7 <> 6 THEN k % 7 END AS turn_distance, CASE WHEN k % 3 <> 2 THEN k % 3 = 1 END AS referent_changed,
-    CASE WHEN k % 13 <> 0 THEN k * 10 END AS input_tokens, k % 4 AS output_tokens
+    CASE WHEN k % 13 <> 0 THEN k * 10 END AS input_tokens, k % 4 AS output_tokens,
+    CASE WHEN k % 5 <> 4 THEN k % 5 = 1 END AS speaker_changed, CASE WHEN k % 11 <> 3 THEN k % 11 = 1 END AS referent_role_changed, CASE WHEN event_id % 3 = 0 THEN 'controlled' ELSE 'naturalistic' END AS dataset,
+    CASE WHEN event_id % 5 = 0 THEN 'llm' ELSE 'human' END AS creation_method, CASE k % 6 WHEN 0 THEN 'locally_recoverable' WHEN 1 THEN 'discourse_dependent' WHEN 2 THEN 'conflict' END AS context_need
   FROM k),
 s AS (
   SELECT *, status = 'ok' AND pred IS NOT DISTINCT FROM gold AS hit,
@@ -55,7 +57,7 @@ both_ AS (
 """
 TURNS = """
 t AS (SELECT conv_id, CAST(turn + 1 AS INT) AS turn_index, role, text FROM conversations),
-fit AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8),
+fit AS (SELECT conv_id, count(*) AS n FROM t WHERE conv_id IS NOT NULL GROUP BY 1),
 tt AS (SELECT t.*, n FROM t JOIN fit USING (conv_id))
 """
 
@@ -144,13 +146,30 @@ def by_multivalue_cue(spark, sf):
     return metrics.table(views.scored(spark, sf).select("*", metrics.cues()), ["cue"], metrics.entity_accuracy())
 
 
-DIMS = {"by_referent_type": "gold_role", "by_turn_distance": "CAST(turn_distance AS VARCHAR)", "by_referent_changed": "CASE WHEN referent_changed THEN 'True' WHEN NOT referent_changed THEN 'False' END", "by_distractor_present": "CASE WHEN distractor_present THEN 'True' ELSE 'False' END"}
+DIMS = {
+    "by_referent_type": "gold_role", "by_referent_changed": "referent_changed", "by_speaker_changed": "speaker_changed", "by_role_changed": "referent_role_changed", "by_distractor_present": "distractor_present", "by_turn_distance": "CAST(turn_distance AS VARCHAR)", "by_dataset": "dataset",
+    "by_creation_method": "creation_method", "by_context_need": "context_need",
+}
+FLAGS = ("referent_changed", "speaker_changed", "referent_role_changed", "distractor_present")
 
 
-@query(f"SELECT model_label, condition, d.dimension AS dimension, d.level AS level, {ACC} FROM (SELECT *, unnest([{', '.join(f'''{{'dimension': '{n}', 'level': coalesce({c}, 'None')}}''' for n, c in DIMS.items())}]) AS d FROM s) GROUP BY ALL", SCORED)
+def level_sql(c: str) -> str:
+    return f"CASE WHEN {c} THEN 'True' WHEN NOT {c} THEN 'False' ELSE 'None' END" if c in FLAGS else f"coalesce({c}, 'None')"
+
+
+CUES_SQL = "CASE k % 5 WHEN 0 THEN ['none'] WHEN 1 THEN ['honorific'] WHEN 2 THEN ['honorific', 'zero'] ELSE ['zero'] END"
+SINGLE_SQL = ", ".join(f"{{'dimension': '{n}', 'level': {level_sql(c)}}}" for n, c in DIMS.items())
+
+
+@query(f"""SELECT model_label, condition, d.dimension AS dimension, d.level AS level, {ACC}
+  FROM (SELECT *, unnest(list_concat([{SINGLE_SQL}], list_transform({CUES_SQL}, lambda c: {{'dimension': 'by_linguistic_cue', 'level': c}}))) AS d FROM s) GROUP BY ALL""", SCORED)
 def benchmark_summary_long(spark, sf):
-    dims = {"by_referent_type": metrics.role_of("gold_entity_id"), "by_turn_distance": F.col("turn_distance"), "by_referent_changed": text.label_of_boolean(F.col("referent_changed")), "by_distractor_present": text.label_of_boolean(F.col("distractor_present"))}
-    return metrics.by_dimensions(views.scored(spark, sf), ["model_label", "condition"], dims)
+    return metrics.benchmark_tables(views.scored(spark, sf))
+
+
+@query(f"""SELECT d.dimension AS dimension, d.level AS level, {ACC} FROM (SELECT hit, unnest([{{'dimension': 'by_role', 'level': coalesce(gold_role, 'None')}}, {{'dimension': 'by_candidate_count', 'level': CAST(n_candidates AS VARCHAR)}}]) AS d FROM s) GROUP BY ALL""", SCORED)
+def natural_tables(spark, sf):
+    return metrics.natural_tables(views.scored(spark, sf))
 
 
 @query(f"""SELECT model_label, condition, {ratio_sql('count(*) FILTER (hit)', p='accuracy_')}, {ratio_sql('count(*) FILTER (status = $$ok$$ AND gold_role = pred_role)', p='role_')},
@@ -243,6 +262,14 @@ def condition_difference(spark, sf):
     return pairs.condition_difference(by_user(views.scored(spark, sf)), "view", "click", "item")
 
 
+@query("SELECT model_label, round(avg(diff), 6) AS value, CAST(sum(diff) AS BIGINT) AS numerator, count(*) AS denominator FROM d GROUP BY 1", PAIRED + """,
+i AS (SELECT model_label, conversation_id, condition, max_by(CAST(hit AS INT), item_id) AS h FROM s WHERE condition IN ('view', 'click') GROUP BY 1, 2, 3),
+d AS (SELECT a.model_label, a.h - b.h AS diff FROM i a JOIN i b ON a.model_label = b.model_label AND a.conversation_id = b.conversation_id AND a.condition = 'view' AND b.condition = 'click')
+""")
+def context_benefit(spark, sf):
+    return pairs.condition_benefit(by_user(views.scored(spark, sf)), "view", "click", "item")
+
+
 # -- resampling --------------------------------------------------------------
 
 
@@ -252,6 +279,9 @@ def percentile_ci(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(resample.percentile(v, 0.025).alias("lo"), resample.percentile(v, 0.975).alias("hi"))
 
 
+N_BOOT = 2000
+
+
 def boot_sql(sums: str, value: str, source: str = "s", cluster: str = "conversation_id") -> str:
     names = [x.rsplit(" AS ", 1)[1].strip() for x in sums.split(";")]
     total = ", ".join(f"sum({n}) AS {n}" for n in names)
@@ -259,14 +289,14 @@ def boot_sql(sums: str, value: str, source: str = "s", cluster: str = "conversat
 c AS (SELECT CAST({cluster} AS VARCHAR) AS c, {sums.replace(';', ',')}, count(*) AS rows_ FROM {source} GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY substr(md5(c), 1, 3), c) - 1 AS i FROM c),
 total AS (SELECT {total}, CAST(sum(rows_) AS BIGINT) AS n_rows, count(*) AS n_clusters FROM c),
-drawn AS (SELECT boot, CAST('0x' || substr(md5('7|' || boot || '|' || i), 1, 8) AS BIGINT) % n_clusters AS i FROM n, range(50) r(boot), total),
+drawn AS (SELECT boot, CAST('0x' || substr(md5('7|' || boot || '|' || i), 1, 8) AS BIGINT) % n_clusters AS i FROM n, range({N_BOOT}) r(boot), total),
 rep AS (SELECT boot, {value} AS v FROM (SELECT boot, {total} FROM drawn JOIN n USING (i) GROUP BY boot))
 SELECT (SELECT round({value}, 6) FROM total) AS point, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high,
   (SELECT n_rows FROM total) AS n_rows, (SELECT n_clusters FROM total) AS n_clusters, count(*) AS n_boot, count(*) FILTER (v IS NULL) AS n_undefined FROM rep"""
 
 
 def register_boot(name: str, rows: Callable[[SparkSession, str], DataFrame], statistic: Callable[[], resample.Statistic], with_: str, sql: str, cluster: str = "conversation_id") -> None:
-    QUERIES[name] = lambda spark, sf: rounded(resample.bootstrap(rows(spark, sf), cluster, statistic(), n_boot=50, seed=7))
+    QUERIES[name] = lambda spark, sf: rounded(resample.bootstrap(rows(spark, sf), cluster, statistic(), n_boot=N_BOOT, seed=7))
     SQL[name] = f"WITH {with_.strip()}, {sql.strip()}"
 
 
@@ -303,12 +333,12 @@ def missing_and_orphan_labels(spark, sf):
 
 @query("""SELECT item_id, unnest(list_filter([CASE WHEN ni > 1 THEN 'duplicate item' END, CASE WHEN ng > 1 THEN 'duplicate gold' END, CASE WHEN ng IS NULL THEN 'item without gold' END, CASE WHEN ni IS NULL THEN 'gold without item' END,
     CASE WHEN ni > 0 AND ng > 0 AND NOT coalesce(list_contains(c, e), false) THEN 'gold not a candidate' END, CASE WHEN ng > 0 AND s IS DISTINCT FROM 'accepted' THEN 'not accepted' END], lambda x: x IS NOT NULL)) AS problem
-  FROM (SELECT o_orderkey AS item_id, count(*) AS ni, ['F', 'O'] AS c FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1)
-  FULL JOIN (SELECT o_orderkey AS item_id, count(*) AS ng, any_value(o_orderstatus) AS e, any_value(CASE WHEN o_orderkey % 5 = 0 THEN 'in_review' ELSE 'accepted' END) AS s FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1) USING (item_id)""")
+  FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN -o_orderkey ELSE o_orderkey END AS item_id, count(*) AS ni, ['F', 'O'] AS c FROM orders GROUP BY 1)
+  FULL JOIN (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey ELSE o_orderkey END AS item_id, count(*) AS ng, any_value(o_orderstatus) AS e, any_value(CASE WHEN o_orderkey % 5 = 0 THEN 'in_review' ELSE 'accepted' END) AS s FROM orders GROUP BY 1) USING (item_id)""")
 def alignment_problems(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
-    items = o.filter(k % 9 != 0).select(k.alias("item_id"), F.array(F.lit("F"), F.lit("O")).alias("candidate_ids"))
-    gold = o.filter(k % 7 != 0).select(k.alias("item_id"), F.col("o_orderstatus").alias("gold_entity_id"), F.when(k % 5 == 0, "in_review").otherwise("accepted").alias("annotation_status"))
+    items = o.select(F.when(k % 9 == 0, -k).otherwise(k).alias("item_id"), F.array(F.lit("F"), F.lit("O")).alias("candidate_ids"))
+    gold = o.select(F.when(k % 7 == 0, -k).otherwise(k).alias("item_id"), F.col("o_orderstatus").alias("gold_entity_id"), F.when(k % 5 == 0, "in_review").otherwise("accepted").alias("annotation_status"))
     return joins.alignment_problems(items, gold)
 
 
@@ -319,11 +349,11 @@ def duplicate_documents(spark, sf):
     return rules.duplicates(table(spark, sf, "documents"), "doc_id", "doc_id", F.col("text"), F.col("source"))
 
 
-@query("""SELECT 'error' AS level, 'PART_UNKNOWN' AS code, count(*) AS n FROM lineitem l ANTI JOIN (SELECT p_partkey FROM part WHERE p_size > 5) p ON l_partkey = p_partkey
+@query("""SELECT 'error' AS level, 'PART_UNKNOWN' AS code, count(*) AS n FROM lineitem l ANTI JOIN (SELECT CASE WHEN p_size > 5 THEN p_partkey ELSE -p_partkey END AS p_partkey FROM part) p ON l_partkey = p_partkey
   UNION ALL SELECT 'warning', 'ORDER_SIZE', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <> 2)""")
 def referential_issues(spark, sf):
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    unknown = line.join(table(spark, sf, "part").filter("p_size > 5").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").agg(F.count("*").alias("n"))
+    unknown = line.join(table(spark, sf, "part").selectExpr("IF(p_size > 5, p_partkey, -p_partkey) AS l_partkey"), "l_partkey", "left_anti").agg(F.count("*").alias("n"))
     sizes = line.groupBy("l_orderkey").agg(F.count("*").alias("m")).filter("m <> 2").agg(F.count("*").alias("n"))
     return unknown.select(F.lit("error").alias("level"), F.lit("PART_UNKNOWN").alias("code"), "n").unionByName(sizes.select(F.lit("warning").alias("level"), F.lit("ORDER_SIZE").alias("code"), "n"))
 
@@ -355,9 +385,9 @@ def render_dialogue(spark, sf):
     return views.records(spark, sf).select("sample_id", dialogue.render().alias("full_text"))
 
 
-@query("SELECT conv_id, count(*) AS n, CAST(min(turn) AS BIGINT) AS lo, CAST(max(turn) AS BIGINT) AS hi, count(DISTINCT turn) AS d FROM (SELECT * FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn = 1)) GROUP BY 1 HAVING lo <> 0 OR hi <> n - 1 OR d <> n")
+@query("SELECT conv_id, count(*) AS n, CAST(min(turn) AS BIGINT) AS lo, CAST(max(turn) AS BIGINT) AS hi, count(DISTINCT turn) AS d FROM (SELECT conv_id, turn + CASE WHEN conv_id % 5 = 0 AND turn > 0 THEN 1 ELSE 0 END AS turn FROM conversations) GROUP BY 1 HAVING lo <> 0 OR hi <> n - 1 OR d <> n")
 def turn_contiguity(spark, sf):
-    return dialogue.turn_gaps(table(spark, sf, "conversations").filter("NOT (conv_id % 5 = 0 AND turn = 1)"), "conv_id", "turn", 0)
+    return dialogue.turn_gaps(table(spark, sf, "conversations").selectExpr("conv_id", "turn + IF(conv_id % 5 = 0 AND turn > 0, 1, 0) AS turn"), "conv_id", "turn", 0)
 
 
 @query("""SELECT conv_id, turn_index, role, (SELECT max_by(b.role, b.turn_index) FROM t b WHERE b.conv_id = a.conv_id AND b.turn_index < a.turn_index AND b.role <> a.role) AS previous_other FROM t a""", TURNS)
@@ -388,7 +418,7 @@ DERIVED = TURNS + """,
 rec AS (
   SELECT conv_id, CAST(max(n) AS INT) AS n, max_by(role, turn_index) AS speaker, min_by(role, turn_index) AS first_speaker, ['user', 'assistant', 'system'] AS who,
     CASE WHEN conv_id % 7 <> 0 THEN ['user', 'assistant', 'system'][conv_id % 3 + 1] END AS gold, CASE WHEN conv_id % 4 = 0 THEN ['user', 'assistant', 'system'][(conv_id + 1) % 3 + 1] END AS declared,
-    CASE WHEN conv_id % 5 <> 0 THEN ['user', 'assistant', 'system'][(conv_id + 2) % 3 + 1] END AS anchor, CASE WHEN conv_id % 6 = 1 THEN ['user', 'assistant', 'system'][(conv_id + 1) % 3 + 1] END AS distractor
+    CASE WHEN conv_id % 5 <> 0 AND max(n) > 1 THEN ['user', 'assistant', 'system'][(conv_id + 2) % 3 + 1] END AS anchor, CASE WHEN conv_id % 6 = 1 THEN ['user', 'assistant', 'system'][(conv_id + 1) % 3 + 1] END AS distractor
   FROM tt GROUP BY conv_id),
 adr AS (
   SELECT *, coalesce(declared, CASE speaker WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' END) AS addressee, CASE first_speaker WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' END AS anchor_addressee FROM rec),
@@ -487,12 +517,14 @@ def majority_role_prior(spark, sf):
     CASE WHEN declared IS NOT NULL AND (declared = 'system' OR declared = speaker) THEN {'level': 'error', 'code': 'ADDRESSEE_INVALID'} END,
     CASE WHEN distractor = gold THEN {'level': 'error', 'code': 'DISTRACTOR_IS_GOLD'} END,
     CASE WHEN gold IS NULL THEN {'level': 'warning', 'code': 'NO_GOLD_UNREVIEWED'} END,
-    CASE WHEN anchor IS NULL AND conv_id % 2 = 0 THEN {'level': 'warning', 'code': 'ANCHOR_MISSING'} END,
+    CASE WHEN conv_id % 5 <> 0 AND n < 2 THEN {'level': 'error', 'code': 'ANCHOR_OUT_OF_RANGE'} END,
+    CASE WHEN conv_id % 5 = 0 AND conv_id % 2 = 0 THEN {'level': 'warning', 'code': 'ANCHOR_MISSING'} END,
     CASE WHEN conv_id % 6 = 0 THEN {'level': 'error', 'code': 'GEN_MODEL_MISSING'} END,
     CASE WHEN conv_id % 8 = 0 THEN {'level': 'warning', 'code': 'CREATED_MISSING'} END], lambda x: x IS NOT NULL), recursive := true) FROM roles)""", DERIVED)
 def rule_issues(spark, sf):
+    """All codes but the two that depend on the search for mentions; ``issue_counts`` has those too."""
     found = rules.issues(derived(spark, sf), rules.structure_rules())
-    return found.filter(~F.col("code").isin("HUMAN_REVIEW", "DISTRACTOR_NOT_RECENT", "ANCHOR_OUT_OF_RANGE")).select("level", "sample_id", "code")
+    return found.filter(~F.col("code").isin("HUMAN_REVIEW", "DISTRACTOR_NOT_RECENT")).select("level", "sample_id", "code")
 
 
 @query()
@@ -529,16 +561,54 @@ def link_issues(spark, sf):
     pair = F.when(c % 7 != 0, F.array(F.floor(c / 2).cast("string"))).otherwise(F.array().cast("array<string>"))
     samples = table(spark, sf, "customer").select(c.alias("sample_id"), F.col("c_nationkey").cast("string").alias("scenario_id"), variant.alias("variant"), F.array(F.lit("A"), F.lit("B")).alias("candidates"), pair.alias("pair_ids"))
     n = F.col("n_nationkey")
-    scenarios = table(spark, sf, "nation").filter(n % 5 != 0).select(n.cast("string").alias("scenario_id"), F.when(n % 3 == 0, F.array(F.lit("B"), F.lit("A"))).otherwise(F.array(F.lit("A"))).alias("candidates"), F.array(F.lit("v1")).alias("variants"))
+    scenarios = table(spark, sf, "nation").select(F.when(n % 5 == 0, -n - 1).otherwise(n).cast("string").alias("scenario_id"), F.when(n % 3 == 0, F.array(F.lit("B"), F.lit("A"))).otherwise(F.array(F.lit("A"))).alias("candidates"), F.array(F.lit("v1")).alias("variants"))
     return rules.links(samples, scenarios).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-@query()
+WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in rules.ROLE_WORDS) + "]"
+ASKED = NEUTRAL.strip() + "," + DERIVED.replace(TURNS, "").strip().lstrip(",") + """,
+dia AS (SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10) ORDER BY turn_index) AS body, max_by(upper(role[1]) || role[2:] || ': ' || text, turn_index) AS last_line, max_by(text, turn_index) AS last_text FROM tt GROUP BY 1),
+asked AS (
+  SELECT rec.*, body, c AS condition, lower(chr(10) || (CASE WHEN c = 'full_mcq' THEN body ELSE last_line END) || chr(10) || 'Who does "' || regexp_extract(last_text, '(\\S+)\\s*$', 1) || '" of ' || upper(speaker[1]) || speaker[2:] || ' speak of?' || chr(10) ||
+    (SELECT string_agg(e || ': ' || upper(p[1]) || p[2:], chr(10) ORDER BY e) FROM ids WHERE ids.conv_id = rec.conv_id)) AS low, (SELECT e FROM ids WHERE ids.conv_id = rec.conv_id AND p = gold) AS gold_e
+  FROM rec JOIN dia USING (conv_id), (SELECT unnest(['full_mcq', 'target_only_mcq']) AS c)),
+future AS (SELECT DISTINCT conv_id, gold, 'error' AS level, CAST(conv_id AS VARCHAR) AS sample_id, 'FUTURE_CONTEXT' AS code, 'full_text must end at the target turn' AS message FROM asked WHERE length(body) - length(replace(body, chr(10), '')) + 1 <> n)
+"""
+HITS_SQL = f"array_to_string(list_filter({WORDS_SQL}, lambda w: contains(low, w)), ',')"
+
+
+@query(f"""SELECT 'error' AS level, CAST(conv_id AS VARCHAR) AS sample_id, 'PROMPT_ROLE_WORD' AS code, condition || ': prompt contains ' || {HITS_SQL} AS message FROM asked WHERE gold IS NOT NULL AND {HITS_SQL} <> ''
+  UNION ALL SELECT 'error', CAST(conv_id AS VARCHAR), 'PROMPT_ROLE_FIELD', condition || ': prompt contains ' || chr(39) || 'role' || chr(39) FROM asked WHERE gold IS NOT NULL AND contains(low, 'role')
+  UNION ALL SELECT level, sample_id, code, message FROM future""", ASKED)
+def leak_issues(spark, sf):
+    return flows.sample_leaks(dialogue.neutral_ids(derived(spark, sf)), views.PROMPT)
+
+
+ROLE_HITS_SQL = HITS_SQL.replace("']", "', 'role']")
+
+
+@query(f"""SELECT 'error' AS level, CAST(conv_id AS VARCHAR) AS sample_id, 'PROMPT_ROLE_WORD' AS code, condition || ': ' || {ROLE_HITS_SQL} AS message FROM asked WHERE gold IS NOT NULL AND conv_id % 3 <> 1 AND {ROLE_HITS_SQL} <> ''
+  UNION ALL SELECT 'error', CAST(conv_id AS VARCHAR), 'PROMPT_GOLD_ID', condition || ': gold id string outside candidate list' FROM asked
+    WHERE gold IS NOT NULL AND conv_id % 3 <> 1 AND condition = 'target_only_mcq' AND contains(low, '"' || lower(gold_e) || '"')
+  UNION ALL SELECT level, sample_id, code, message FROM future WHERE gold IS NOT NULL AND conv_id % 3 <> 1""", ASKED)
 def payload_leaks(spark, sf):
     kept, _ = dialogue.evaluation_split(dialogue.neutral_ids(derived(spark, sf)))
-    items, gold = dialogue.items(kept), dialogue.gold(kept)
-    own = items.join(gold.select("item_id", F.map_values("id_map").alias("original_ids")), "item_id")
-    return rules.issues(own, rules.payload_rules({"full_mcq": F.col("full_text"), "target_only_mcq": F.col("local_text")}, items.columns), "item_id").groupBy("level", "code").agg(F.count("*").alias("n"))
+    items = dialogue.items(kept)
+    return flows.payload_leaks(items, dialogue.gold(kept), views.PROMPT, views.CONFIG, forbidden=rules.forbidden_keys(items.schema, dialogue.FORBIDDEN_ITEM_KEYS))
+
+
+@query()
+def dataset_balance(spark, sf):
+    return rules.balance(derived(spark, sf))
+
+
+@query("""SELECT 'info' AS level, 'NO_ACCEPTED' AS code, 'no accepted samples yet; evaluation payload will be empty without --include-unreviewed' AS message
+  UNION ALL SELECT 'warning', 'CONDITION_CELL_EMPTY', 'referent shift does not have both True and False cells' FROM (SELECT count(*) FILTER (anchor <> gold) AS a, count(*) FILTER (anchor = gold) AS b FROM roles) WHERE a = 0 OR b = 0
+  UNION ALL SELECT 'warning', 'ROLE_CELL_EMPTY', 'no sample with gold role ' || r FROM (SELECT unnest(['speaker', 'addressee', 'third_party']) AS r) WHERE r NOT IN (SELECT gold_role FROM roles WHERE gold_role IS NOT NULL)""", DERIVED)
+def balance_issues(spark, sf):
+    """Of the balance with nothing accepted, and a distractor in every other sample."""
+    d = derived(spark, sf).withColumns({"annotation_status": F.lit("in_review"), "distractor_present": F.col("sample_id").cast("long") % 2 == 0})
+    return rules.balance_issues(rules.balance(d)).select("level", "code", "message")
 
 
 @query()
@@ -546,8 +616,9 @@ def pair_manifest(spark, sf):
     d = derived(spark, sf).withColumns({"candidates": rules.ids(), "target_text": F.try_element_at("dialogue", F.lit(-1))["text"], "turns": F.map_from_entries(F.transform("dialogue", lambda t: F.struct(t["turn_index"], F.concat_ws("\t", t["speaker_id"], t["text"]))))})
     fields = ("sample_id", "scenario_id", "variant", "pair_ids", "pair_claims", "pair_expected_gold_change", "manipulated_variables", "expected_gold_change", "candidates", "target_text", "turns", *pairs.CONTROLLED_VARIABLES)
     two = pairs.members(d.select(*dict.fromkeys(fields)))
-    diff = pairs.pair_diff(two)
-    problems = pairs.pair_problems(two, diff).groupBy("pair_id").agg(F.count("*").alias("n_problems"))
+    every = pairs.pair_diff(two)
+    diff = pairs.manifest(every)
+    problems = pairs.pair_problems(two, every).groupBy("pair_id").agg(F.count("*").alias("n_problems"))
     return two.select("pair_id").join(diff, "pair_id", "left").join(problems, "pair_id", "left").select("pair_id", "a_id", "b_id", F.array_join("differing_variables", ",").alias("differing"), F.array_join("unclaimed_differences", ",").alias("unclaimed"), "observed_gold_change", "gold_change_matches_expectation", "is_single_variable_pair", F.coalesce("n_problems", F.lit(0)).alias("n_problems"))
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomscore.operators import generation, metrics
+from loomscore.operators import dialogue, generation, metrics, rules
 from loomscore.plans import flows, runner
 from loomscore.sources import schemas, tables
 
@@ -68,6 +68,46 @@ def test_pairs_are_compared(spark, folder):
     assert row["unclaimed_differences"] == [] and not row["is_single_variable_pair"] and problems.count() == 0
 
 
+def test_pairs_with_conflicting_claims_are_problems_only(spark, folder):
+    claims = [{"pair_claims": {"S1:base~v1": [c]}} for c in ("referent_shift", "distractor")]
+    path = folder(sample("a", "P3", **claims[0]), sample("b", "P1", text="so went she", variant="v1", **claims[1]))
+    diff, problems = flows.pair_report(spark, path)
+    assert diff.count() == 0 and "conflicting" in problems.first()["problem"]
+
+
+def test_leaks_are_found_in_items_and_requests(spark, folder):
+    """In the items' keys, texts and line counts, and in what is sent, with or without gold."""
+    path = folder(sample("a", "P3"), sample("b", "P1", text="the speaker spoke\nof Alma"))
+    d = dialogue.neutral_ids(flows.derived(spark, path)).withColumn("author_rationale", F.when(F.col("sample_id") == "a", "Dana went"))
+    found = sorted((r["sample_id"], r["code"]) for r in flows.sample_leaks(d).collect())
+    assert found == [("a", "ITEM_HAS_RATIONALE"), ("b", "FUTURE_CONTEXT"), ("b", "PROMPT_ROLE_WORD"), ("b", "PROMPT_ROLE_WORD")]
+    items, gold = dialogue.items(d), dialogue.gold(d)
+    system = {"system": 'the role is "e1"'}
+    for key in (gold, gold.limit(0)):  # an item without gold is searched too
+        leaks = [(r["sample_id"], r["code"]) for r in flows.payload_leaks(items, key, flows.PLAIN_PROMPT, system, forbidden=["id_map"]).collect()]
+        assert ("b", "FUTURE_CONTEXT") in leaks and leaks.count(("a", "PROMPT_ROLE_WORD")) == 2 and ("a", "ITEM_FORBIDDEN_KEY") in leaks
+    told = {r["sample_id"] for r in flows.payload_leaks(items, gold.withColumn("gold_entity_id", F.lit("E1")), flows.PLAIN_PROMPT, system).collect() if r["code"] == "PROMPT_GOLD_ID"}
+    assert told == {"a", "b"}
+
+
+def test_each_gold_key_is_refused(spark):
+    for k in dialogue.GOLD_KEYS:
+        bad = spark.createDataFrame([("i", "x")], f"item_id string, {k} string")
+        with pytest.raises(ValueError, match="gold"):
+            runner.requests(bad, ("full_mcq",), PROMPT, {"model_id": "m"})
+        assert runner.strip_gold(bad).columns == ["item_id"]
+    for k in dialogue.FORBIDDEN_ITEM_KEYS:
+        schema = spark.createDataFrame([], f"item_id string, a array<struct<{k}: string>>").schema
+        assert rules.forbidden_keys(schema, dialogue.FORBIDDEN_ITEM_KEYS) == [f"a[].{k}"]
+
+
+def test_scenario_constraints(spark):
+    kind = "sample_id string, participants array<struct<entity_id:string>>, intended_gold_id string, previous_referent_id string, distractor_id string, variants array<struct<variant:string,expected_gold_id:string,pair_with:string>>"
+    rows = [("good", [("P1",), ("P2",)], "P1", None, "P2", [("v1", "P2", "base"), ("v2", None, "v1")]), ("bad", [("P1",)], "P9", "P1", None, [("v1", "P9", None), ("v1", None, "v7")])]
+    found = rules.issues(spark.createDataFrame(rows, kind), rules.scenario_rules())
+    assert sorted((r["sample_id"], r["code"]) for r in found.collect()) == [("bad", c) for c in ("SCENARIO_LINK", "VARIANTS_REPEATED", "VARIANT_GOLD", "VARIANT_PAIR")]
+
+
 def test_scenarios_to_drafts(spark, tmp_path):
     scenario = {"scenario_id": "S1", "dataset": "controlled", "title": "t", "setting": "s", "participants": [{"entity_id": "P1", "name": "Alma", "in_dialogue": True}, {"entity_id": "P2", "name": "Bela", "in_dialogue": True}], "intended_gold_id": "P1", "distractor_id": "P2", "conditions": {"target_role": "speaker", "n_turns": 2}, "required_context": [], "naturalness_constraints": ["short"], "cue_constraints": [], "variants": [{"variant": "v1", "description": "d", "manipulated_variables": ["distractor"], "expected_gold_id": "P2", "pair_with": "base"}]}
     (tmp_path / "sc.jsonl").write_text(json.dumps(scenario) + "\n")

@@ -152,12 +152,35 @@ def test_forbidden_keys_in_nested_schemas(spark):
     assert rules.forbidden_keys(df.schema, ["gold"]) == ["a.gold", "b[].gold"]
 
 
-def test_many_passages_are_found_like_few(spark):
-    texts = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x y"), (3, "b c d e z"), (4, "one  b c d e f\tq")], "id int, text string")
-    passages = spark.createDataFrame([(1, "b c d e f"), (2, "x y"), (3, "c d e"), (4, ""), (5, "q q q q q q")], "pid int, passage string")
-    few = {tuple(r) for r in joins.containing(texts, "text", passages, "passage").select("id", "pid").collect()}
-    many = {tuple(r) for r in joins.containing(texts, "text", passages, "passage", at_once=0).select("id", "pid").collect()}
-    assert few == many == {(1, 1), (1, 3), (2, 2), (3, 3), (4, 1), (4, 3)}
+def test_passages_of_all_lengths_equal_a_plain_search(spark):
+    texts = ["a b c d e f g h", "x y", "b c d e z", "one  b c d e f\tq", "xx yy zz", "sand and", "", "q q q q q q q"]
+    passages = ["b c d e f", "x y", "c d e", "", "q q q q q q", "and", "x", "b c d e", " c d", "y z", "nowhere at all in any of them"]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    p = spark.createDataFrame(list(enumerate(passages)), "pid int, passage string")
+    expected = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(passages) if y and y in x}
+    for most in (1 << 20, 40):  # one block of short passages, and several
+        assert sorted(map(tuple, joins.containing(t, "text", p, "passage", most=most).select("id", "pid").collect())) == sorted(expected)
+    assert joins.containing(t, "text", p.limit(0), "passage").count() == 0
+
+
+def test_sides_are_measured_in_bytes(spark):
+    assert joins.held(spark.range(10)) == 160
+    assert joins.held(spark.createDataFrame([("a" * 84, ["x"])], "a string, b array<string>")) > 116
+    assert joins.held(spark.range(0)) == 0
+
+
+def test_a_null_addressee_falls_back_to_the_labels_a_and_b(spark):
+    roster = F.array(*(F.struct(F.lit(e).alias("entity_id"), F.lit(n).cast("string").alias("label"), F.array().cast("array<string>").alias("aliases")) for e, n in (("E1", "A"), ("E2", "B"), ("E3", None))))
+    for label in (F.lit(None).cast("string"), None):
+        column = parsing.parse_by_alias("raw", parsing.alias_entries(roster, F.lit("A"), label))
+        assert parsed(spark, column, "상대방") == [("E2", "ok")]
+    nobody = parsing.parse_by_alias("raw", parsing.alias_entries(roster, F.lit(None).cast("string"), F.lit("Z")))
+    assert parsed(spark, nobody, "화자", "상대방") == [(None, "unmapped")] * 2
+
+
+def test_ids_with_other_characters_keep_their_pattern(spark):
+    column = parsing.parse_free("raw", F.array(F.lit("P-1"), F.lit("P-10")))
+    assert parsed(spark, column, "it is P-10.", "P-1 or P-10", "P-100") == [("P-10", "ok"), (None, "invalid"), (None, "invalid")]
 
 
 def test_strict_join_stops_at_missing_gold(spark):
