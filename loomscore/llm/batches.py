@@ -49,14 +49,24 @@ def append(df: DataFrame, source: str, target: str, kind: T.DataType, factory: C
     to a list of as many results.  An existing ``target`` is replaced; columns
     in ``drop`` don't reach Python and are not returned.
     """
-    keep = [c for c in df.columns if c not in drop and c != target]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(target, kind)])
-    arrow, names = to_arrow_type(kind), [*keep, target]
+
+    def one() -> Callable[[list], list[list]]:
+        f = factory()
+        return lambda v: [f(v)]
+
+    return append_all(df, source, {target: kind}, one, drop)
+
+
+def append_all(df: DataFrame, source: str, targets: dict[str, T.DataType], factory: Callable[[], Callable[[list], list[list]]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """As ``append`` for several columns, computed in one pass by one worker: results are a list for each target."""
+    keep = [c for c in df.columns if c not in drop and c not in targets]
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(t, k) for t, k in targets.items())])
+    arrow, names = [to_arrow_type(k) for k in targets.values()], [*keep, *targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = factory()
         for b in slices(batches):
-            out = pa.array(f(b.column(len(keep)).to_pylist()), arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], out], names)
+            out = [pa.array(v, k) for v, k in zip(f(b.column(len(keep)).to_pylist()), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *out], names)
 
     return df.select(*keep, F.col(source).cast("binary").alias("__source")).mapInArrow(run, schema)

@@ -306,3 +306,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
         return lambda v: [x.decode() for x in bpe.decode([i or b"" for i in v])]
 
     return batches.append(df, ids, decoded, T.StringType(), factory)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop_text: bool = False) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task has one Python worker in place of two."""
+
+    def factory():
+        bpe = loaded(path)
+
+        def both(v: list) -> list[list]:
+            found = bpe.encode(batches.texts(v))
+            return [found, [x.decode() for x in bpe.decode(found)]]
+
+        return both
+
+    return batches.append_all(df, text, {ids: T.BinaryType(), decoded: T.StringType()}, factory, (text,) if drop_text else ())

@@ -156,7 +156,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
     path = tokenizer("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digest(bpe.decode(bpe.encode(docs, path, drop_text=True), path))
+    return bpe_digest(bpe.round_trip(docs, path, drop_text=True))
 
 
 def bpe_digest(df: DataFrame) -> DataFrame:

@@ -65,6 +65,8 @@ def test_columns_of_nulls_repeats_and_clashing_names(spark):
     out = bpe.decode(bpe.encode(df, BYTES), BYTES).collect()
     assert sorted((r["doc_id"], len(r["ids"]), r["decoded"]) for r in out) == [(1, 8, "a b"), (1, 8, "a b"), (2, 0, ""), (3, 0, "")]
     assert bpe.encode(df.limit(0), BYTES).count() == 0
+    both = bpe.round_trip(df.withColumn("decoded", df["ids"]), BYTES)
+    assert sorted(map(tuple, both.select("doc_id", "ids", "decoded").collect())) == sorted((r["doc_id"], r["ids"], r["decoded"]) for r in out)
 
 
 def test_library_ids_equal_whole_texts():
