@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and digests of the ids and of the text decoded from them."""
     path = queries.tokenizer("byte_bpe_50k.json")
-    return queries.bpe_digest(bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, drop_text=True), path))
+    return queries.bpe_digest(bpe.round_trip(docs.select("doc_id", "text"), path, drop_text=True))
 
 
 STAGES = [
