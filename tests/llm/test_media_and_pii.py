@@ -132,7 +132,7 @@ def test_clean_documents_stay_and_planted_values_go(spark):
     planted = re.compile(r"[\w.]+@mail\d+\.example\.com|\d+\.\d+\.\d+\.\d+|\d{16}|[0-9a-f]{40}|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]+")
     assert any(r["n_pii"] for r in rows)
     for r in rows:
-        values = planted.findall(r["text"])
+        values = [v for v in planted.findall(r["text"]) if not re.fullmatch("[0-9]{16}", v) or luhn(v)]  # cards have a valid check digit
         assert (r["n_pii"] == 0) == (not values) and (values or r["new"] == r["text"])
         assert not any(v in r["new"] for v in values)
 
