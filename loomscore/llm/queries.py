@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, license_rules, mixing, mpeg, pii, quality_rules, scratch, simhash, token_files, url_cascade
+from . import bpe, conversation_repair, cotraining, fim, license_rules, mixing, mpeg, pii, quality_rules, scratch, simhash, token_files, url_cascade
 
 def tokenizer(name: str) -> str:
     """Place of a public vocabulary file."""
@@ -168,5 +168,106 @@ def bpe_digest(df: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op5_mixing, op6_cotraining, op7_bpe, op8_pii, op9_quality_rules, op10_mpeg)}
-SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op5_mixing": OP5_SQL, "op4_license_rules": license_rules.scan_sql()}
+def damaged(turns: DataFrame) -> DataFrame:
+    """The rows of ``conversations`` with the damage that a crc32 of conversation and turn picks for each."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("damage")).filter("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    rows = damaged(turns)
+    found = scratch.written(conversation_repair.faults(rows))
+    audited = scratch.written(conversation_repair.audits(found))
+    digests = conversation_repair.digests(conversation_repair.repaired(rows, audited))
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    parts = turns.select("conv_id").unionByName(conversation_repair.summary(found), True).unionByName(audited, True).unionByName(digests.withColumnRenamed("sha256", "repaired_sha256"), True)
+    whole = parts.groupBy("conv_id").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in numbers), *(F.max(c).alias(c) for c in ("audit", "repaired_sha256")))
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return whole.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+OP11_SQL = """
+WITH RECURSIVE crc(t) AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(str_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS damage
+  FROM conversations, crc),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, range(CASE WHEN damage = 3 THEN 2 ELSE 1 END) WHERE damage <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS n
+  FROM rows_),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au') AS wrong
+  FROM placed),
+counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) AS n_rows,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM marked GROUP BY conv_id),
+inserts(pre, here, goes, price) AS (VALUES
+  ('', 'none', 'none', 0), ('', 's', 's', 0), ('', 'u', 'u', 0), ('', 'a', 'a', 0), ('I', 'none', 'u', 3), ('I', 's', 'u', 3), ('I', 'u', 'a', 3), ('I', 'a', 'u', 3),
+  ('II', 'none', 'a', 6), ('II', 's', 'a', 6), ('II', 'u', 'u', 6), ('II', 'a', 'a', 6)),
+reroles(here, goes) AS (VALUES ('none', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')),
+best(conv_id, n, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 'none', 0::BIGINT, '', []::VARCHAR[] FROM counts
+  UNION ALL
+  SELECT conv_id, n + 1, state, min(c), arg_min(a, (c, a)), arg_min(l, (c, a)) FROM (
+    SELECT b.conv_id, b.n, e.state, b.cost + i.price + e.price + CASE WHEN m.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END AS c, b.audit || i.pre || e.edit AS a,
+      b.lines || CASE i.pre WHEN '' THEN [] WHEN 'I' THEN [CASE i.goes WHEN 'a' THEN 'assistant:' ELSE 'user:' END] ELSE CASE i.goes WHEN 'a' THEN ['user:', 'assistant:'] ELSE ['assistant:', 'user:'] END END
+        || CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [m.role || ':' || m.text] ELSE [CASE e.state WHEN 'a' THEN 'assistant' ELSE 'user' END || ':' || m.text] END AS l
+    FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.n = b.n JOIN inserts i ON i.here = b.state
+    JOIN LATERAL (
+      SELECT 'D' AS edit, i.goes AS state, 4 AS price
+      UNION ALL SELECT 'K', m.initial, 0 WHERE m.fault NOT IN ('blank', 'duplicate') AND ((m.initial = 's' AND i.goes = 'none') OR (m.initial = 'u' AND i.goes IN ('none', 's', 'a')) OR (m.initial = 'a' AND i.goes = 'u'))
+      UNION ALL SELECT 'R', r.goes, 3 FROM reroles r WHERE r.here = i.goes AND m.fault NOT IN ('blank', 'duplicate')) e ON true)
+  GROUP BY conv_id, n, state),
+ended AS (
+  SELECT b.conv_id, b.cost + i.price AS cost, b.audit || i.pre AS audit, b.lines || CASE i.pre WHEN '' THEN [] WHEN 'I' THEN ['assistant:'] ELSE ['user:', 'assistant:'] END AS lines
+  FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.n = c.n_rows JOIN inserts i ON i.here = b.state AND i.goes IN ('none', 'a')),
+least AS (SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(lines, (cost, audit)) AS lines FROM ended GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN least l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for fill-in-middle, and restored."""
+    rows = fim.arranged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+d AS (
+  SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS c2,
+    CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS h4 FROM h),
+f AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op5_mixing, op6_cotraining, op7_bpe, op8_pii, op9_quality_rules, op10_mpeg, op11_conversation_repair, op13_fim)}
+SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op5_mixing": OP5_SQL, "op4_license_rules": license_rules.scan_sql(), "op11_conversation_repair": OP11_SQL, "op13_fim": OP13_SQL}
