@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, cotraining, fim, license_rules, mixing, mpeg, pii, quality_rules, scratch, simhash, token_files, url_cascade
+from . import bpe, conversation_repair, cotraining, fim, license_rules, mixing, mpeg, partenum, pii, quality_rules, scratch, simhash, token_files, url_cascade
 
 def tokenizer(name: str) -> str:
     """Place of a public vocabulary file."""
@@ -243,6 +243,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 """
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under Jaccard links of its shingles."""
+    return partenum.components(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+sides AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(x, y) AS (SELECT x, y FROM sides UNION SELECT r.x, b.y FROM reach r JOIN sides b ON b.x = r.y)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) ON x = doc_id
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rearranged for fill-in-middle, and restored."""
     rows = fim.arranged(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -269,5 +290,5 @@ FROM p
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op5_mixing, op6_cotraining, op7_bpe, op8_pii, op9_quality_rules, op10_mpeg, op11_conversation_repair, op13_fim)}
-SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op5_mixing": OP5_SQL, "op4_license_rules": license_rules.scan_sql(), "op11_conversation_repair": OP11_SQL, "op13_fim": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_cascade, op2_simhash, op3_token_files, op4_license_rules, op5_mixing, op6_cotraining, op7_bpe, op8_pii, op9_quality_rules, op10_mpeg, op11_conversation_repair, op12_ngram_join, op13_fim)}
+SQL: dict[str, str] = {"op1_url_cascade": OP1_SQL, "op5_mixing": OP5_SQL, "op4_license_rules": license_rules.scan_sql(), "op11_conversation_repair": OP11_SQL, "op12_ngram_join": OP12_SQL, "op13_fim": OP13_SQL}
