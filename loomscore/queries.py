@@ -282,17 +282,34 @@ def percentile_ci(spark, sf):
 N_BOOT = 2000
 
 
-def boot_sql(sums: str, value: str, source: str = "s", cluster: str = "conversation_id") -> str:
+def stir_sql(x: str, name: str, source: str) -> str:
+    """A CTE that adds ``name``: 32 mixed bits of ``x``."""
+    return f"""(SELECT *, xor(b_, b_ >> 16) AS {name} FROM (SELECT *, (xor(a_, a_ >> 13) * 3266489909) & 4294967295 AS b_ FROM (
+  SELECT *, (xor(x_, x_ >> 16) * 2246822507) & 4294967295 AS a_ FROM (SELECT * EXCLUDE (x_, a_, b_), CAST(({x}) & 4294967295 AS UBIGINT) AS x_ FROM {source}))))"""
+
+
+def draws_sql(clusters: str = "n") -> str:
+    """``drawn``: (boot, i) of all draws where the clusters are one part."""
+    first = stir_sql("7 + boot * 2654435761", "h1", f"(SELECT 0 AS x_, 0 AS a_, 0 AS b_, boot FROM range({N_BOOT}) r(boot))")
+    last = stir_sql("h2 + nth * 3266489917", "h3", f"(SELECT d2.*, t.nth, n_clusters FROM d2, (SELECT i AS nth, (SELECT count(*) FROM {clusters}) AS n_clusters FROM {clusters}) t)")
+    return f"d1 AS {first}, d2 AS {stir_sql('h1', 'h2', 'd1')}, drawn AS (SELECT boot, (h3 * n_clusters) >> 32 AS i FROM {last})"
+
+
+ENDS = "round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, (SELECT n_rows FROM total) AS n_rows, (SELECT n_clusters FROM total) AS n_clusters, count(*) AS n_boot, count(*) FILTER (v IS NULL) AS n_undefined"
+
+
+def boot_sql(sums: str, value: str, source: str = "s", whole: str | None = None, cluster: str = "conversation_id") -> str:
+    """``sums`` over ``source`` in each cluster of s; the point from those over ``whole``."""
     names = [x.rsplit(" AS ", 1)[1].strip() for x in sums.split(";")]
     total = ", ".join(f"sum({n}) AS {n}" for n in names)
     return f"""
-c AS (SELECT CAST({cluster} AS VARCHAR) AS c, {sums.replace(';', ',')}, count(*) AS rows_ FROM {source} GROUP BY 1),
-n AS (SELECT *, row_number() OVER (ORDER BY substr(md5(c), 1, 3), c) - 1 AS i FROM c),
-total AS (SELECT {total}, CAST(sum(rows_) AS BIGINT) AS n_rows, count(*) AS n_clusters FROM c),
-drawn AS (SELECT boot, CAST('0x' || substr(md5('7|' || boot || '|' || i), 1, 8) AS BIGINT) % n_clusters AS i FROM n, range({N_BOOT}) r(boot), total),
+own AS (SELECT CAST({cluster} AS VARCHAR) AS c, {sums.replace(';', ',')} FROM {source} GROUP BY 1),
+base AS (SELECT CAST({cluster} AS VARCHAR) AS c, count(*) AS rows_ FROM s GROUP BY 1),
+n AS (SELECT c, rows_, {', '.join(f'coalesce({n}, 0) AS {n}' for n in names)}, row_number() OVER (ORDER BY c) - 1 AS i FROM base LEFT JOIN own USING (c)),
+total AS (SELECT CAST(sum(rows_) AS BIGINT) AS n_rows, count(*) AS n_clusters FROM n),
+{draws_sql()},
 rep AS (SELECT boot, {value} AS v FROM (SELECT boot, {total} FROM drawn JOIN n USING (i) GROUP BY boot))
-SELECT (SELECT round({value}, 6) FROM total) AS point, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high,
-  (SELECT n_rows FROM total) AS n_rows, (SELECT n_clusters FROM total) AS n_clusters, count(*) AS n_boot, count(*) FILTER (v IS NULL) AS n_undefined FROM rep"""
+SELECT (SELECT round({value}, 6) FROM (SELECT {sums.replace(';', ',')} FROM {whole or source})) AS point, {ENDS} FROM rep"""
 
 
 def register_boot(name: str, rows: Callable[[SparkSession, str], DataFrame], statistic: Callable[[], resample.Statistic], with_: str, sql: str, cluster: str = "conversation_id") -> None:
@@ -305,10 +322,30 @@ def differ_sql(by: str, a: str, b: str) -> str:
     return boot_sql(sums, "CAST(ah AS DOUBLE) / nullif(ar, 0) - CAST(bh AS DOUBLE) / nullif(br, 0)")
 
 
+#: Pairs within a cluster, of which a resample's copies keep their own, and pairs over all rows.
+OWN_PAIRS = PAIRED.strip() + """,
+e AS (SELECT {c} AS c, scenario || x.n AS pair_id, version, hit, x.a AS a, x.b AS b FROM p, (SELECT unnest([{{'n': ':view~click', 'a': 'view', 'b': 'click'}}, {{'n': ':click~view', 'a': 'click', 'b': 'view'}}]) AS x)),
+own_sides AS (SELECT c, pair_id, count(*) FILTER (version = a) AS na, count(*) FILTER (version = b) AS nb, count(*) FILTER (version = a AND hit) AS ha, count(*) FILTER (version = b AND hit) AS hb FROM e GROUP BY 1, 2),
+own_pairs AS (SELECT c AS {c}, ha, hb FROM own_sides WHERE na = 1 AND nb = 1),
+all_sides AS (SELECT pair_id, count(*) FILTER (version = a) AS na, count(*) FILTER (version = b) AS nb, count(*) FILTER (version = a AND hit) AS ha, count(*) FILTER (version = b AND hit) AS hb FROM e GROUP BY 1),
+all_pairs AS (SELECT ha, hb FROM all_sides WHERE na = 1 AND nb = 1)
+"""
+MACRO_SQL = f"""
+own AS (SELECT CAST(conversation_id AS VARCHAR) AS c, gold, count(*) FILTER (hit) AS h, count(*) AS r FROM s GROUP BY 1, 2),
+n AS (SELECT CAST(conversation_id AS VARCHAR) AS c, count(*) AS rows_, row_number() OVER (ORDER BY CAST(conversation_id AS VARCHAR)) - 1 AS i FROM s GROUP BY 1),
+total AS (SELECT CAST(sum(rows_) AS BIGINT) AS n_rows, count(*) AS n_clusters FROM n),
+{draws_sql()},
+rep AS (SELECT boot, avg(v) AS v FROM (SELECT boot, gold, sum(h) / sum(r) AS v FROM drawn JOIN n USING (i) JOIN own USING (c) GROUP BY boot, gold) GROUP BY boot)
+SELECT (SELECT round(avg(v), 6) FROM (SELECT sum(h) / sum(r) AS v FROM own GROUP BY gold)) AS point, {ENDS} FROM rep"""
+
 register_boot("cluster_bootstrap_accuracy", views.scored, lambda: resample.accuracy(), SCORED, boot_sql("count(*) FILTER (hit) AS h; count(*) AS r", "CAST(h AS DOUBLE) / nullif(r, 0)"))
 register_boot("bootstrap_condition_diff", views.scored, lambda: resample.difference("view", "click"), SCORED, differ_sql("condition", "view", "click"))
 register_boot("bootstrap_model_diff", views.scored, lambda: resample.model_difference("m0", "m1"), SCORED, differ_sql("model_label", "m0", "m1"))
-register_boot("bootstrap_paired_diff", lambda spark, sf: resample.paired_items(by_user(views.scored(spark, sf)), "view", "click", "conversation_id", "item"), lambda: resample.mean("diff"), USER_PAIRS, boot_sql("sum(diff) AS t; count(diff) AS q", "CAST(t AS DOUBLE) / nullif(q, 0)", "d"))
+register_boot("bootstrap_paired_diff", lambda spark, sf: by_user(views.scored(spark, sf)), lambda: resample.paired_items("view", "click", "item"), USER_PAIRS, boot_sql("sum(diff) AS t; count(diff) AS q", "CAST(t AS DOUBLE) / nullif(q, 0)", "d"))
+PAIR_SUMS = ("count(*) FILTER (ha = 1 AND hb = 1) AS t; count(*) AS q", "CAST(t AS DOUBLE) / nullif(q, 0)", "own_pairs", "all_pairs")
+register_boot("bootstrap_pair_consistency", views.paired, lambda: resample.consistency(), OWN_PAIRS.format(c="conversation_id"), boot_sql(*PAIR_SUMS))
+register_boot("bootstrap_pairs_across_clusters", views.paired, lambda: resample.consistency(), OWN_PAIRS.format(c="k"), boot_sql(*PAIR_SUMS, cluster="k"), "k")
+register_boot("bootstrap_macro_accuracy", views.scored, lambda: resample.macro_accuracy("gold_entity_id"), SCORED, MACRO_SQL)
 
 # -- logs, joins, duplicates -------------------------------------------------
 
