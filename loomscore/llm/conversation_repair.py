@@ -42,9 +42,9 @@ from pyspark.sql.window import Window
 
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: 2 to the power of BLOCK turn numbers are dealt together.
-BLOCK = 8
+BLOCK = 5
 #: Rows of a piece: the depth of a recursion.
-PIECE = 512
+PIECE = 32
 SPACE = " \t\n\x0b\x0c\r"
 #: Initials that may follow each other.
 LEGAL = ("su", "ua", "au")

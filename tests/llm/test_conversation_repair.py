@@ -134,7 +134,7 @@ def test_the_two_plain_versions_agree():
         assert table_of_states(rows) == all_edits(rows)
 
 
-@pytest.mark.parametrize(("piece", "block", "batch"), [(512, 8, 10_000), (3, 1, 7)])
+@pytest.mark.parametrize(("piece", "block", "batch"), [(32, 5, 10_000), (3, 1, 7)])
 def test_repairs_equal_plain_version(spark, monkeypatch, piece, block, batch):
     monkeypatch.setattr(cr, "PIECE", piece)
     monkeypatch.setattr(cr, "BLOCK", block)
