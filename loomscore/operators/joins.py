@@ -72,9 +72,17 @@ def alignment_problems(items: DataFrame, gold: DataFrame, key: str = "item_id",
     return i.join(g, key, "full_outer").select(key, F.explode(said).alias("problem"))
 
 
-def with_cache(requests: DataFrame, cache: DataFrame, key: str = "payload_hash") -> tuple[DataFrame, DataFrame]:
-    """Requests whose answer is in the cache, with it, and those that must be sent."""
-    return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
+def with_cache(requests: DataFrame, cache: DataFrame, key: str = "payload_hash", answer: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests whose answer is in the cache, with it, and those that must be sent.
+
+    A key that the cache has several times counts once; where ``answer`` names
+    a column, rows without one are no answers.
+    """
+    if answer:
+        cache = cache.filter(F.col(answer).isNotNull())
+    body = [c for c in cache.columns if c != key]
+    once = cache.groupBy(key).agg(F.max(F.struct(*body)).alias("__r")).select(key, "__r.*") if body else cache.distinct()
+    return requests.join(once, key), requests.join(once.select(key), key, "left_anti")
 
 
 def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str, most: int = MOST) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions.parsing import pair_sides
 from .metrics import Ratio, is_correct
 
 TRANSITIONS = {"both_correct": (1, 1), "correct_to_wrong": (1, 0), "wrong_to_correct": (0, 1), "both_wrong": (0, 0)}
+#: The same of a base and its variant.
+CONSISTENCY = {"both_correct": (1, 1), "base_correct_only": (1, 0), "variant_correct_only": (0, 1), "both_wrong": (0, 0)}
 
 
 def build_pairs(rows: DataFrame, first: str, second: str, order: str, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -34,14 +36,14 @@ def pair_ratios() -> dict[str, Ratio]:
     return {"pair": Ratio(F.sum(F.col("c1") * F.col("c2")), n), "harm": Ratio(F.count_if((F.col("c1") == 1) & (F.col("c2") == 0)), n), "recovery": Ratio(F.count_if((F.col("c1") == 0) & (F.col("c2") == 1)), n)}
 
 
-def transitions() -> list[Column]:
-    return [F.count_if((F.col("c1") == a) & (F.col("c2") == b)).cast("long").alias(n) for n, (a, b) in TRANSITIONS.items()]
+def transitions(names: dict[str, tuple[int, int]] = TRANSITIONS) -> list[Column]:
+    return [F.count_if((F.col("c1") == a) & (F.col("c2") == b)).cast("long").alias(n) for n, (a, b) in names.items()]
 
 
-def pair_summary(pairs: DataFrame, *keys: str) -> DataFrame:
+def pair_summary(pairs: DataFrame, *keys: str, names: dict[str, tuple[int, int]] = TRANSITIONS) -> DataFrame:
     """Ratios and transitions of complete pairs."""
     ratios = [c for n, r in pair_ratios().items() for c in r.columns(n + "_")]
-    return complete(pairs).groupBy(*keys).agg(*ratios, *transitions(), F.count("*").alias("n_pairs"), (F.count_distinct("family_id") + F.coalesce(F.max(F.col("family_id").isNull().cast("int")), F.lit(0))).cast("long").alias("n_families"))
+    return complete(pairs).groupBy(*keys).agg(*ratios, *transitions(names), F.count("*").alias("n_pairs"), (F.count_distinct("family_id") + F.coalesce(F.max(F.col("family_id").isNull().cast("int")), F.lit(0))).cast("long").alias("n_families"))
 
 
 def pair_consistency(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agreement, baselines, dialogue, joins, metrics, pairs, resample, rules
@@ -20,8 +20,8 @@ def derived(spark: SparkSession, folder: str) -> DataFrame:
     return dialogue.derive(rows.withColumns({c: F.try_variant_get("generation_metadata", p, "string") for c, p in MODEL_COLUMNS.items()}))
 
 
-def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios: str | None = None) -> dict:
-    """All rules over a dataset; schema problems alone where there are any."""
+def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios: str | None = None, prompt: dict | None = None) -> dict:
+    """All rules over a dataset, with a prompt also over its requests; schema problems alone where there are any."""
     rows, problems = tables.load_dataset(spark, folder)
     wrong = problems.select(F.lit("error").alias("level"), "sample_id", F.lit("SCHEMA").alias("code"), F.col("problem").alias("message"))
     if not wrong.isEmpty():
@@ -38,7 +38,7 @@ def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios
                 raise ValueError(f"repeated scenarios: {again}")
             sc = sc.select("scenario_id", F.transform("participants", lambda p: p["entity_id"]).alias("candidates"), F.transform("variants", lambda v: v["variant"]).alias("variants"))
             found = found.unionByName(rules.links(own, sc))
-        found = found.unionByName(sample_leaks(dialogue.neutral_ids(rows)))
+        found = found.unionByName(sample_leaks(dialogue.neutral_ids(rows), prompt))
         found = found.unionByName(rules.balance_issues(rules.balance(rows)))
     if out:
         tables.write_jsonl(found, out)
@@ -46,33 +46,31 @@ def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios
     return {r["level"]: r["n"] for r in rules.level_counts(found).collect()}
 
 
-#: A prompt that shows what every prompt may show.
-PLAIN_PROMPT = {"version": "plain", "slots": ["dialogue", "target_marker", "target_speaker_label", "candidates"], "template": "{dialogue}\n{target_speaker_label}: {target_marker}\n" + rules.CANDIDATE_HEAD + "\n{candidates}"}
-
-
-def asked(items: DataFrame, prompt: dict, config: dict, qa_prompt: dict | None = None) -> tuple[DataFrame, dict]:
-    """``items`` with what the requests for each condition say, and the columns that hold it by condition."""
+def asked(items: DataFrame, prompt: dict, config: dict, qa_prompt: dict | None = None) -> dict[str, Column]:
+    """What the requests for each condition say, as columns of ``items``: no row is made or joined."""
     conditions = ("full_mcq", "target_only_mcq", *(("full_qa",) if qa_prompt else ()))
-    sent = runner.requests(runner.strip_gold(items), conditions, prompt, {"model_id": "leak-check", **config}, qa_prompt)
-    says = {c: F.max(F.when(F.col("condition") == c, F.concat("system", F.lit("\n"), "user"))).alias(f"__{c}") for c in conditions}
-    return items.join(sent.groupBy("item_id").agg(*says.values()), "item_id"), {c: F.col(f"__{c}") for c in conditions}
+    return {c: F.concat(F.lit(config.get("system", "") + "\n"), runner.says(c, prompt, config, qa_prompt)["user"]) for c in conditions}
+
 
+def payload_leaks(items: DataFrame, gold: DataFrame, prompt: dict | None = None, config: dict | None = None, qa_prompt: dict | None = None, body: DataFrame | None = None) -> DataFrame:
+    """Issues of written items and, with a prompt, of the requests built from them; an item without gold is searched all the same.
 
-def payload_leaks(items: DataFrame, gold: DataFrame, prompt: dict, config: dict, qa_prompt: dict | None = None, forbidden: Sequence[str] = ()) -> DataFrame:
-    """Issues of written items and of the requests built from them; an item without gold is searched all the same."""
+    ``body``: (item_id, json) of the items as they were written, columns that ``items`` doesn't know included.
+    """
     keys = gold.select("item_id", "gold_entity_id", F.map_values("id_map").alias("original_ids"))
-    own, says = asked(items, prompt, config, qa_prompt)
+    own = rules.with_key_paths(items, "item_id", dialogue.FORBIDDEN_ITEM_KEYS, body)
     own = own.join(keys, "item_id", "left").withColumn("original_ids", F.coalesce("original_ids", F.array().cast("array<string>")))
-    return rules.issues(own, rules.payload_rules(says, items.columns, forbidden), "item_id")
+    says = asked(own, prompt, config or {}, qa_prompt) if prompt else {}
+    return rules.issues(own, rules.payload_rules(says, items.columns), "item_id")
 
 
-def sample_leaks(samples: DataFrame, prompt: dict = PLAIN_PROMPT) -> DataFrame:
-    """Issues of the items and requests that derived samples with id_map would give."""
+def sample_leaks(samples: DataFrame, prompt: dict | None = None) -> DataFrame:
+    """Issues of the items that derived samples with id_map would give and, with a prompt, of their requests."""
     items = dialogue.items(samples)
     rationale = F.col("author_rationale") if "author_rationale" in samples.columns else F.lit(None).cast("string")
-    own, says = asked(items, prompt, {})
-    own = own.join(samples.select(F.col("sample_id").alias("item_id"), rationale.alias("author_rationale"), "gold_referent_id"), "item_id")
-    return rules.issues(own, rules.leak_rules(says, items.columns, rules.forbidden_keys(items.schema, dialogue.FORBIDDEN_ITEM_KEYS)), "item_id")
+    own = rules.with_key_paths(items, "item_id", dialogue.FORBIDDEN_ITEM_KEYS).join(samples.select(F.col("sample_id").alias("item_id"), rationale.alias("author_rationale"), "gold_referent_id"), "item_id")
+    says = asked(own, prompt, {}) if prompt and prompt["template"].strip() else {}
+    return rules.issues(own, rules.leak_rules(says, items.columns), "item_id")
 
 
 def payload(
@@ -83,8 +81,9 @@ def payload(
     tables.write_jsonl(dialogue.items(kept), f"{out}/items")
     tables.write_jsonl(dialogue.gold(kept), f"{out}/gold")
     items, gold = tables.read_jsonl(spark, f"{out}/items", schemas.ITEMS), tables.read_jsonl(spark, f"{out}/gold", schemas.GOLD)
-    forbidden = rules.forbidden_keys(spark.read.json(f"{out}/items").schema, dialogue.FORBIDDEN_ITEM_KEYS)
-    leaks = payload_leaks(items, gold, prompt or PLAIN_PROMPT, config or {}, qa_prompt, forbidden)
+    lines = spark.read.text(f"{out}/items").select(F.parse_json("value").alias("v"))
+    body = lines.select(F.try_variant_get("v", "$.item_id", "string").alias("item_id"), F.to_json("v").alias("json"))
+    leaks = payload_leaks(items, gold, prompt, config, qa_prompt, body)
     return {"items": items.count(), "skipped": skipped.count(), "leaks": leaks.count()}
 
 

@@ -212,7 +212,11 @@ def three(c: str) -> str:
     return ", ".join(ratio_sql(f"count(*) FILTER ({w})", p=n) for n, w in (("pair_", "c1 = 1 AND c2 = 1"), ("harm_", "c1 = 1 AND c2 = 0"), ("recovery_", "c1 = 0 AND c2 = 1"))) + c
 
 
-MOVES = ", " + ", ".join(f"count(*) FILTER (c1 = {a} AND c2 = {b}) AS {n}" for n, (a, b) in pairs.TRANSITIONS.items())
+def moves(names: dict) -> str:
+    return ", " + ", ".join(f"count(*) FILTER (c1 = {a} AND c2 = {b}) AS {n}" for n, (a, b) in names.items())
+
+
+MOVES = moves(pairs.TRANSITIONS)
 
 
 @query(f"SELECT {three(MOVES)}, count(*) AS n_pairs, count(DISTINCT family_id) + max(CASE WHEN family_id IS NULL THEN 1 ELSE 0 END) AS n_families FROM pr WHERE c1 IS NOT NULL AND c2 IS NOT NULL", PAIR_CTE)
@@ -237,9 +241,9 @@ pr AS (SELECT pair_id, CASE WHEN na = 1 AND nb = 1 THEN ha END AS c1, CASE WHEN
 """
 
 
-@query(f"SELECT {three(MOVES)}, count(*) AS n_pairs, CAST(max(1) AS BIGINT) AS n_families FROM pr WHERE c1 IS NOT NULL AND c2 IS NOT NULL", CONSISTENCY)
+@query(f"SELECT {three(moves(pairs.CONSISTENCY))}, count(*) AS n_pairs, CAST(max(1) AS BIGINT) AS n_families FROM pr WHERE c1 IS NOT NULL AND c2 IS NOT NULL", CONSISTENCY)
 def pair_consistency(spark, sf):
-    return pairs.pair_summary(pairs.pair_consistency(views.paired(spark, sf)))
+    return pairs.pair_summary(pairs.pair_consistency(views.paired(spark, sf)), names=pairs.CONSISTENCY)
 
 
 @query("SELECT count(*) AS n FROM pr WHERE c1 IS NULL OR c2 IS NULL", CONSISTENCY)
@@ -578,7 +582,7 @@ AXES = {"segment": "c_mktsegment", "nation": "CAST(c_nationkey AS VARCHAR)", "ri
 @query(f"SELECT h.axis AS axis, h.level AS level, count(*) AS n FROM (SELECT unnest([{', '.join(f'''{{'axis': 'by_{a}', 'level': coalesce({c}, 'None')}}''' for a, c in AXES.items())}]) AS h FROM customer) GROUP BY 1, 2")
 def balance_histograms(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") > 0).alias("rich"))
-    return rules.histograms(c, ["segment", "nation"], ["rich"])
+    return rules.histograms(c, {"by_segment": "segment", "by_nation": "nation", "by_rich": "rich"})
 
 
 @query("SELECT 'warning' AS level, 'no sample with ' || axis || ' ' || lv AS message FROM (SELECT unnest([{'axis': 'by_segment', 'lv': 'SPACE'}, {'axis': 'by_segment', 'lv': 'BUILDING'}, {'axis': 'by_rich', 'lv': 'None'}], recursive := true)) WHERE axis = 'by_rich' OR lv NOT IN (SELECT c_mktsegment FROM customer)")
@@ -631,7 +635,7 @@ ROLE_HITS_SQL = HITS_SQL.replace("']", "', 'role']")
 def payload_leaks(spark, sf):
     kept, _ = dialogue.evaluation_split(dialogue.neutral_ids(derived(spark, sf)))
     items = dialogue.items(kept)
-    return flows.payload_leaks(items, dialogue.gold(kept), views.PROMPT, views.CONFIG, forbidden=rules.forbidden_keys(items.schema, dialogue.FORBIDDEN_ITEM_KEYS))
+    return flows.payload_leaks(items, dialogue.gold(kept), views.PROMPT, views.CONFIG)
 
 
 @query()

@@ -143,9 +143,26 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """One sha256 of a file or of a folder's files, whatever their names."""
+    each = file_digest(spark, path).agg(F.array_sort(F.collect_list("sha256")).alias("all"))
+    return each.select(F.when(F.size("all") == 1, F.get("all", F.lit(0))).otherwise(F.sha2(F.array_join("all", ""), 256))).first()[0]
+
+
 def read_document(spark: SparkSession, path: str) -> dict:
     """A small JSON document (a prompt, a configuration), read on the driver through Spark's store."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def write_document(spark: SparkSession, value: dict | list, path: str) -> None:

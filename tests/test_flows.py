@@ -75,30 +75,48 @@ def test_pairs_with_conflicting_claims_are_problems_only(spark, folder):
     assert diff.count() == 0 and "conflicting" in problems.first()["problem"]
 
 
+SHOWN = {"version": "plain", "slots": ["dialogue", "target_marker", "target_speaker_label", "candidates"], "template": "{dialogue}\n{target_speaker_label}: {target_marker}\n" + rules.CANDIDATE_HEAD + "\n{candidates}"}
+
+
 def test_leaks_are_found_in_items_and_requests(spark, folder):
     """In the items' keys, texts and line counts, and in what is sent, with or without gold."""
     path = folder(sample("a", "P3"), sample("b", "P1", text="the speaker spoke\nof Alma"))
     d = dialogue.neutral_ids(flows.derived(spark, path)).withColumn("author_rationale", F.when(F.col("sample_id") == "a", "Dana went"))
-    found = sorted((r["sample_id"], r["code"]) for r in flows.sample_leaks(d).collect())
+    plain = sorted((r["sample_id"], r["code"]) for r in flows.sample_leaks(d).collect())
+    assert plain == [("a", "ITEM_HAS_RATIONALE"), ("b", "FUTURE_CONTEXT")]  # prompts are checked where one is given
+    found = sorted((r["sample_id"], r["code"]) for r in flows.sample_leaks(d, SHOWN).collect())
     assert found == [("a", "ITEM_HAS_RATIONALE"), ("b", "FUTURE_CONTEXT"), ("b", "PROMPT_ROLE_WORD"), ("b", "PROMPT_ROLE_WORD")]
+    telling = {**SHOWN, "template": "Your role: " + SHOWN["template"]}
+    assert [r["sample_id"] for r in flows.sample_leaks(d, telling).collect() if r["code"] == "PROMPT_ROLE_FIELD"].count("a") == 2
     items, gold = dialogue.items(d), dialogue.gold(d)
     system = {"system": 'the role is "e1"'}
     for key in (gold, gold.limit(0)):  # an item without gold is searched too
-        leaks = [(r["sample_id"], r["code"]) for r in flows.payload_leaks(items, key, flows.PLAIN_PROMPT, system, forbidden=["id_map"]).collect()]
-        assert ("b", "FUTURE_CONTEXT") in leaks and leaks.count(("a", "PROMPT_ROLE_WORD")) == 2 and ("a", "ITEM_FORBIDDEN_KEY") in leaks
-    told = {r["sample_id"] for r in flows.payload_leaks(items, gold.withColumn("gold_entity_id", F.lit("E1")), flows.PLAIN_PROMPT, system).collect() if r["code"] == "PROMPT_GOLD_ID"}
+        leaks = [(r["sample_id"], r["code"]) for r in flows.payload_leaks(items, key, SHOWN, system).collect()]
+        assert ("b", "FUTURE_CONTEXT") in leaks and leaks.count(("a", "PROMPT_ROLE_WORD")) == 2
+    told = {r["sample_id"] for r in flows.payload_leaks(items, gold.withColumn("gold_entity_id", F.lit("E1")), SHOWN, system).collect() if r["code"] == "PROMPT_GOLD_ID"}
     assert told == {"a", "b"}
 
 
+def test_an_item_with_a_forbidden_key_is_named_alone(spark, folder):
+    path = folder(sample("a", "P3"), sample("b", "P1"))
+    d = dialogue.neutral_ids(flows.derived(spark, path))
+    items, gold = dialogue.items(d), dialogue.gold(d)
+    extra = F.when(F.col("item_id") == "b", F.create_map(F.lit("x"), F.array(F.create_map(F.lit("id_map"), F.lit("1")))))
+    leaks = flows.payload_leaks(items.withColumn("extra", extra), gold).collect()
+    assert [(r["sample_id"], r["code"], r["message"]) for r in leaks] == [("b", "ITEM_FORBIDDEN_KEY", "item carries extra.x.[0].id_map")]
+    body = items.select("item_id", F.when(F.col("item_id") == "a", '{"item_id": "a", "notes": {"gold_role": null}}').otherwise("{}").alias("json"))
+    assert [(r["sample_id"], r["message"]) for r in flows.payload_leaks(items, gold, body=body).collect()] == [("a", "item carries notes.gold_role")]
+
+
 def test_each_gold_key_is_refused(spark):
     for k in dialogue.GOLD_KEYS:
         bad = spark.createDataFrame([("i", "x")], f"item_id string, {k} string")
         with pytest.raises(ValueError, match="gold"):
             runner.requests(bad, ("full_mcq",), PROMPT, {"model_id": "m"})
         assert runner.strip_gold(bad).columns == ["item_id"]
-    for k in dialogue.FORBIDDEN_ITEM_KEYS:
-        schema = spark.createDataFrame([], f"item_id string, a array<struct<{k}: string>>").schema
-        assert rules.forbidden_keys(schema, dialogue.FORBIDDEN_ITEM_KEYS) == [f"a[].{k}"]
+    rows = spark.createDataFrame([(k, json.dumps({"a": [{k: 1}]})) for k in dialogue.FORBIDDEN_ITEM_KEYS], "id string, j string")
+    found = {r["id"]: r["paths"] for r in rules.key_paths(rows, "id", F.col("j"), dialogue.FORBIDDEN_ITEM_KEYS).collect()}
+    assert found == {k: [f"a.[0].{k}"] for k in dialogue.FORBIDDEN_ITEM_KEYS}
 
 
 def test_scenario_constraints(spark):

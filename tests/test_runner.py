@@ -8,26 +8,6 @@ from loomscore.sources import tables
 from loomscore.streaming import log
 
 
-class Flaky:
-    def __init__(self, *errors):
-        self.errors = list(errors)
-
-    def complete(self, request):
-        if self.errors:
-            raise self.errors.pop(0)
-        return {"raw_text": "ok"}
-
-
-@pytest.mark.parametrize(
-    ("errors", "answer", "retries"),
-    [([runner.TransientError("a")] * 2, {"raw_text": "ok"}, 2), ([runner.TransientError("a", 3)] * 3, None, 2), ([runner.PermanentError("b")], None, 0)],
-)
-def test_only_transient_errors_are_tried_again(errors, answer, retries):
-    waits = []
-    got = runner.call(Flaky(*errors), {}, sleep=waits.append)
-    assert got[:2] == (answer, retries) and len(waits) == retries
-
-
 ITEM = "item_id string, full_text string, local_text string, target_marker struct<form:string,begin:int,end:int>, target_speaker_label string, candidates array<struct<entity_id:string,label:string,aliases:array<string>>>"
 PROMPT = {"version": "1", "slots": ["dialogue", "candidates"], "template": "{dialogue}|{candidates}"}
 
@@ -60,6 +40,15 @@ def test_cached_answers_are_not_asked_again(spark):
     assert runner.run_summary(runner.run(asked, runner.Dry(), first)).first().asDict() == {"ok": 1, "missing": 1, "cached": 1, "permanent_error": 0}
 
 
+def test_failures_are_not_answers(spark):
+    """A cached row without a text is asked again, and a hash that the cache has twice gives one row."""
+    asked = runner.requests(items(spark), ("full_mcq", "target_only_mcq"), PROMPT, {"model_id": "m"})
+    hashes = {r["condition"]: r["payload_hash"] for r in asked.collect()}
+    cache = spark.createDataFrame([(hashes["full_mcq"], None), (hashes["full_mcq"], None), (hashes["target_only_mcq"], "E1"), (hashes["target_only_mcq"], "E1")], "payload_hash string, raw_text string")
+    got = sorted((r["condition"], r["from_cache"], r["status"]) for r in runner.run(asked, runner.Mock(), cache).collect())
+    assert got == [("full_mcq", False, "ok"), ("target_only_mcq", True, "ok")]
+
+
 def test_last_answer_counts_and_missing_overrides(spark):
     rows = [("i1", "full_mcq", "m", 1, '{"entity_id": "E1"}', "ok"), ("i1", "full_mcq", "m", 2, '{"entity_id": "E2"}', "ok"), ("i1", "full_qa", "m", 1, "A", "missing"), ("zz", "full_mcq", "m", 1, "x", "ok")]
     answers = spark.createDataFrame(rows, "item_id string, condition string, model_label string, ordinal long, raw_text string, status string")

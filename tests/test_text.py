@@ -147,9 +147,21 @@ def test_first_rule_of_a_chain_counts(spark):
     assert {(r["sample_id"], r["code"]) for r in got} == {("x", "B"), ("y", "A")}
 
 
-def test_forbidden_keys_in_nested_schemas(spark):
-    df = spark.createDataFrame([], "a struct<gold:int>, b array<struct<x:int,gold:string>>")
-    assert rules.forbidden_keys(df.schema, ["gold"]) == ["a.gold", "b[].gold"]
+def plain_paths(value, names, path=""):
+    if isinstance(value, dict):
+        return [p for k, v in value.items() for p in ([path + k] if k in names else []) + plain_paths(v, names, f"{path}{k}.")]
+    return [p for i, v in enumerate(value) for p in plain_paths(v, names, f"{path}[{i}].")] if isinstance(value, list) else []
+
+
+def test_keys_at_any_depth(spark):
+    """Keys in objects, lists and lists of lists; not names that stand in texts."""
+    import json
+
+    bodies = [{"gold": 1}, {"a": {"b": [{"gold": 1}, {"x": [[{"gold": {"gold": None}}]]}]}}, {"t": 'say "gold": now', "u": "gold", "v": ["gold"]}, {"goldish": 1, "go": {"ld": 2}}, {}, {"id.x": {"id": 3}, "é": [1, [2, {"id": []}]]}, {'q"gold': 1}, {"a\\": {"gold": "x"}}]
+    rows = [(i, json.dumps(b, ensure_ascii=False, separators=(",", ":"))) for i, b in enumerate(bodies)] + [(99, None)]
+    found = {r["k"]: r["paths"] for r in rules.key_paths(spark.createDataFrame(rows, "k int, j string"), "k", F.col("j"), ("gold", "id")).collect()}
+    assert found == {i: sorted(p) for i, b in enumerate(bodies) if (p := plain_paths(b, ("gold", "id")))}
+    assert rules.key_paths(spark.createDataFrame(rows[2:5], "k int, j string"), "k", F.col("j"), ("gold",)).count() == 0
 
 
 def test_passages_of_all_lengths_equal_a_plain_search(spark):
