@@ -23,9 +23,9 @@ def derived(spark: SparkSession, folder: str) -> DataFrame:
 def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios: str | None = None, prompt: dict | None = None) -> dict:
     """All rules over a dataset, with a prompt also over its requests; schema problems alone where there are any."""
     rows, problems = tables.load_dataset(spark, folder)
-    wrong = problems.select(F.lit("error").alias("level"), "sample_id", F.lit("SCHEMA").alias("code"), F.col("problem").alias("message"))
-    if not wrong.isEmpty():
-        found = wrong
+    if not problems.isEmpty():
+        place = F.when(F.col("file").isNotNull(), F.concat(F.lit(" ("), "file", F.lit(":"), F.col("line").cast("string"), F.lit(")"))).otherwise("")
+        found = problems.unionByName(tables.broken_constraints(spark, folder)).select(F.lit("error").alias("level"), "sample_id", F.lit("SCHEMA").alias("code"), F.concat("problem", place).alias("message"))
     else:
         rows = derived(spark, folder)
         body = F.array_join(F.transform("dialogue", lambda t: F.concat(t["speaker_id"], F.lit("\t"), t["text"])), "\n")
@@ -33,9 +33,9 @@ def validate(spark: SparkSession, folder: str, out: str | None = None, scenarios
         found = found.unionByName(rules.duplicates(rows, "sample_id", "sample_id", body, F.concat_ws(":", "target_turn", "target_predicate")))
         own = rows.withColumn("candidates", rules.ids())
         if scenarios:
-            sc, twice = tables.load_scenarios(spark, scenarios)
-            if again := [r[0] for r in twice.limit(20).collect()]:
-                raise ValueError(f"repeated scenarios: {again}")
+            sc, _ = tables.load_scenarios(spark, scenarios)
+            if again := [f"{r['problem']} {r['scenario_id']} ({r['file']}:{r['line']})" for r in tables.scenario_problems(spark, scenarios).limit(100).collect()]:
+                raise ValueError("scenario errors:\n- " + "\n- ".join(again))
             sc = sc.select("scenario_id", F.transform("participants", lambda p: p["entity_id"]).alias("candidates"), F.transform("variants", lambda v: v["variant"]).alias("variants"))
             found = found.unionByName(rules.links(own, sc))
         found = found.unionByName(sample_leaks(dialogue.neutral_ids(rows), prompt))

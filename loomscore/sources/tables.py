@@ -11,12 +11,13 @@ import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import keyed_order, strip
 from ..operators.joins import match_problems, sized
-from . import schemas
+from . import lines, schemas
 
 DIALOGUES, LABELS = "dialogues.jsonl", "labels.jsonl"
 
@@ -49,17 +50,37 @@ def spanned(records: DataFrame) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Records joined with their labels, and (sample_id, problem) for repeated, missing and orphan ones."""
-    records = spanned(read_jsonl(spark, f"{folder}/{DIALOGUES}", schemas.RECORDS))
-    labels = read_jsonl(spark, f"{folder}/{LABELS}", schemas.LABELS)
-    return records.join(labels, "sample_id"), match_problems(records, labels, "sample_id")
+    """Records joined with their labels, and all problems (file, line, sample_id, problem).
+
+    Problems: lines that can't be read, and repeated, missing and orphan
+    sample ids.  The rest is loaded all the same.
+    """
+    parts, told = [], []
+    for name, schema in ((DIALOGUES, schemas.RECORDS), (LABELS, schemas.LABELS)):
+        read = lines.read_lines(spark, f"{folder}/{name}", schema)
+        told.append(read.filter("problem IS NOT NULL").select("file", "line", F.col("row.sample_id").alias("sample_id"), "problem"))
+        parts.append(read.filter("problem IS NULL").select("row.*"))
+    records, labels = spanned(parts[0]), parts[1]
+    whole = match_problems(records, labels, "sample_id").select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), "sample_id", "problem")
+    return records.join(labels, "sample_id"), whole.unionByName(told[0]).unionByName(told[1])
+
+
+def broken_constraints(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, line, sample_id, problem) of every constraint that a record or a label breaks by itself."""
+    from ..operators import rules
+
+    def found(name: str, schema: str, own: list[rules.Rule], shape=lambda x: x) -> DataFrame:
+        read = lines.read_lines(spark, f"{folder}/{name}", schema).filter("problem IS NULL")
+        return lines.broken(shape(read.select("file", "line", "row.*")), own, "file", "line", "sample_id")
+
+    return found(DIALOGUES, schemas.RECORDS, rules.record_rules(), spanned).unionByName(found(LABELS, schemas.LABELS, rules.label_rules()))
 
 
 def checked_dataset(spark: SparkSession, folder: str, most: int = 100) -> DataFrame:
     """``load_dataset``, or an error that names up to ``most`` problems."""
     rows, problems = load_dataset(spark, folder)
     if found := problems.limit(most).collect():
-        raise ValueError("dataset errors:\n- " + "\n- ".join(f"{r['problem']} {r['sample_id']}" for r in found))
+        raise ValueError("dataset errors:\n- " + "\n- ".join(" ".join(str(x) for x in (r["problem"], r["sample_id"], r["file"] and f"({r['file']}:{r['line']})") if x) for r in found))
     return rows
 
 
@@ -74,13 +95,26 @@ def load_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows, rows.groupBy("scenario_id").agg(F.count("*").alias("n")).filter("n > 1").select("scenario_id")
 
 
+def scenario_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, scenario_id, problem): lines that can't be read, constraints that scenarios break, ids that come again."""
+    from ..operators import rules
+
+    read = lines.read_lines(spark, path, schemas.SCENARIOS)
+    key = F.col("row.scenario_id").alias("scenario_id")
+    bad = read.filter("problem IS NOT NULL").select("file", "line", key, "problem")
+    good = read.filter("problem IS NULL").select("file", "line", "row.*")
+    again = good.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("file", "line"))).alias("places")).filter("size(places) > 1")
+    again = again.select("scenario_id", F.explode(F.slice("places", 2, F.size("places"))).alias("p")).select("p.file", "p.line", "scenario_id", F.lit("duplicate scenario").alias("problem"))
+    return bad.unionByName(lines.broken(good, rules.scenario_rules(), "file", "line", "scenario_id")).unionByName(again)
+
+
 # -- CSV ---------------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All strings, cells over several lines, a byte order mark or none; blank cells are "", others trimmed."""
+def read_csv(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """All strings, cells over several lines, a byte order mark or none; blank cells are "", others trimmed; with the file's path in column ``file``."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"').csv(path)
-    return rows.select(*(F.coalesce(strip(c), F.lit("")).alias(c.lstrip("﻿")) for c in rows.columns))
+    return rows.select(*(F.coalesce(strip(c), F.lit("")).alias(c.lstrip("﻿")) for c in rows.columns), *([F.col("_metadata.file_path").alias(file)] if file else []))
 
 
 def write_csv(df: DataFrame, path: str, *by: str) -> None:
@@ -89,11 +123,17 @@ def write_csv(df: DataFrame, path: str, *by: str) -> None:
 
 
 def review_ids(samples: DataFrame, seed: int = 0) -> DataFrame:
-    """sample_id, review_id: R001, R002, ... in a seeded order.  An annotation batch, read by people, is small."""
-    from pyspark.sql import Window as W
+    """sample_id, review_id: R001, R002, ... in a seeded order.
 
-    n = F.row_number().over(W.orderBy(keyed_order(seed, "sample_id"), "sample_id"))
-    return samples.select("sample_id", F.concat(F.lit("R"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))).alias("review_id"))
+    The order is that of a hash, whose first three digits make 4096 parts:
+    each is numbered by itself, and only the parts' sizes meet in one task.
+    """
+    keyed = samples.select("sample_id", keyed_order(seed, "sample_id").alias("k")).withColumn("p", F.left("k", F.lit(3)))
+    sizes = keyed.groupBy("p").agg(F.count("*").alias("n"))
+    before = sizes.select("p", (F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    n = F.col("before") + F.row_number().over(W.partitionBy("p").orderBy("k", "sample_id"))
+    rows = keyed.join(F.broadcast(before), "p").withColumn("n", n)
+    return rows.select("sample_id", F.concat(F.lit("R"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("review_id"))
 
 
 def sheets(samples: DataFrame, ids: DataFrame, annotators: list[str], condition: str, seed: int = 0) -> DataFrame:
@@ -101,8 +141,6 @@ def sheets(samples: DataFrame, ids: DataFrame, annotators: list[str], condition:
 
     ``samples``: sample_id, full_text, local_text, target_turn, target_predicate, target_speaker, candidate_lines.
     """
-    from pyspark.sql import Window as W
-
     each = samples.join(ids, "sample_id").withColumn("annotator", F.explode(F.array(*map(F.lit, annotators))))
     order = F.row_number().over(W.partitionBy("annotator").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "annotator", F.lit(condition), "sample_id"))))
     body = F.col("local_text") if condition == "local" else F.col("full_text")
@@ -120,10 +158,10 @@ def load_sheets(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 
 def load_decisions(spark: SparkSession, path: str | None) -> DataFrame:
-    """One decision a sample, the last one of a file; no path, no decisions."""
+    """One decision a sample, the last by file name and place in the file; no path, no decisions."""
     if path is None:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in schemas.DECISIONS))
-    rows = read_csv(spark, path).withColumn("__at", F.monotonically_increasing_id())
+    rows = read_csv(spark, path, "__file").withColumn("__at", F.struct("__file", F.monotonically_increasing_id()))  # one task reads a file, as cells may span lines
     return rows.groupBy("sample_id").agg(F.max_by(F.struct(*schemas.DECISIONS[1:]), "__at").alias("d")).select("sample_id", "d.*")
 
 
