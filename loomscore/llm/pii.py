@@ -53,13 +53,27 @@ GIVEN_FEMALE = (
     "Alexandra", "Alice", "Amanda", "Amélie", "Andrea", "Angela", "Anna", "Anne", "Barbara", "Brigitte", "Camille", "Carmen", "Carolina", "Caroline", "Catherine", "Charlotte", "Chiara", "Christina", "Claudia", "Deborah", "Diana", "Dorothy", "Elena", "Elisabeth", "Elizabeth",
     "Emily", "Emma", "Francesca", "Françoise", "Giulia", "Hannah", "Helen", "Helena", "Isabel", "Isabelle", "Jennifer", "Jessica", "Joanna", "Julia", "Karen", "Katharina", "Laura", "Linda", "Lucía", "Margaret", "Maria", "María", "Marie", "Martha", "Michelle", "Monika",
     "Nancy", "Natalie", "Olivia", "Patricia", "Rachel", "Rebecca", "Rosa", "Sabine", "Sandra", "Sarah", "Sofia", "Sophie", "Susan", "Susanne", "Teresa", "Ursula", "Valentina", "Victoria", "Анна", "Мария", "Елена", "Ольга", "Наталья", "Екатерина", "Татьяна", "Ирина", "Μαρία", "Ελένη", "Άννα", "Αικατερίνη",
+    "Aisha", "Amina", "Anjali", "Ayşe", "Fatima", "Lakshmi", "Mei", "Ngozi", "Priya", "Sakura", "Yuki",
 )
 GIVEN_MALE = (
     "Alberto", "Alejandro", "Alexander", "Andreas", "Andrew", "Anthony", "Antonio", "Benjamin", "Carlos", "Charles", "Christian", "Christopher", "Daniel", "David", "Diego", "Edward", "Fernando", "Francesco", "Francisco", "François", "Frank", "Friedrich", "George", "Giovanni",
     "Giuseppe", "Hans", "Heinrich", "Henri", "Henry", "Jacques", "James", "Jean", "John", "Johann", "Jorge", "José", "Joseph", "Juan", "Kevin", "Klaus", "Louis", "Luca", "Luis", "Manuel", "Marco", "Martin", "Matteo", "Matthew", "Michael", "Michel", "Miguel", "Nicolas",
     "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Roberto", "Samuel", "Stefan", "Stephen", "Steven", "Thomas", "William", "Wolfgang", "Александр", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей", "Андрей", "Владимир", "Γιώργος", "Ιωάννης", "Νίκος", "Κώστας",
+    "Ahmed", "Arjun", "Deepak", "Hassan", "Hiroshi", "Kenji", "Kwame", "Mehmet", "Mohammed", "Omar", "Rahul", "Sanjay", "Takeshi", "Wei", "Xin",
 )
 GIVEN = "|".join(sorted((*GIVEN_FEMALE, *GIVEN_MALE), key=len, reverse=True))
+# Words that make a given name beside them a place or a house: before it, and in a family name's place.
+PLACE_BEFORE = ("Cape", "East", "El", "Fort", "Lake", "Las", "Los", "Mount", "Mt", "New", "North", "Port", "Saint", "Sainte", "San", "Sankt", "Santa", "South", "St", r"St\.", "West")
+PLACE_AFTER = (
+    "Airport", "Avenue", "Bay", "Beach", "Boulevard", "Bridge", "Building", "Canal", "Castle", "Cathedral", "Center", "Centre", "Church", "City", "Club", "College", "County", "Cup", "Falls", "Foundation", "Gardens", "Hall", "Harbor", "Harbour", "Hill", "Hills", "Hornets", "Hospital",
+    "Hotel", "Island", "Islands", "Lake", "Library", "Line", "Monument", "Mountain", "Mountains", "Museum", "Opera", "Palace", "Panthers", "Park", "Peninsula", "Plaza", "Police", "Province", "Railway", "Region", "River", "Road", "School", "Sound", "Square", "Stadium", "Station", "Street",
+    "Theater", "Theatre", "Tower", "University", "Valley", "Vuitton", "Zoo",
+)
+# Names that are common words too: replaced in a name, but not where they stand alone.
+COMMON = (
+    "April", "Art", "August", "Bill", "Black", "Brown", "Chase", "Dawn", "Day", "Drew", "Faith", "Frank", "Gene", "Grace", "Grant", "Gray", "Green", "Guy", "Hope", "Jack", "Joy", "June", "King", "Lane", "Long", "Love", "Major", "March", "Mark", "May", "Miles", "Pat", "Price", "Ray", "Rich", "Rob",
+    "Rose", "Rush", "Short", "Sky", "Stone", "Sue", "Summer", "Violet", "Wade", "West", "White", "Will", "Winter", "Wood", "Young",
+)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 GROUP = "[0-9A-Fa-f]{1,4}"
 #: IPv6 with "::": groups before and after it, seven at most.
@@ -87,7 +101,7 @@ PATTERNS = {
     "phone_plain": r"(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])",
     "phone_local": r"(?=[0-9]{3}[ -][0-9])(?<=(?i:telephone|phone|tel|call|fax|mobile|cell|telefon|teléfono|tél|móvil|handy)[.:]? {0,2}(?:at |no\.? )?)[0-9]{3}[ -][0-9]{4}(?![0-9-])",
     "name": rf"(?={STARTS})(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
-    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{GIVEN}) (?:\p{{Lu}}\. )?\p{{Lu}}[\p{{L}}'-]{{1,40}}",
+    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?<!(?<![\p{{L}}])(?:{'|'.join(PLACE_BEFORE)}) )(?:{GIVEN}) (?:\p{{Lu}}\. )?(?!(?:{'|'.join(PLACE_AFTER)})(?![\p{{L}}]))\p{{Lu}}[\p{{L}}'-]{{1,40}}",
 }
 #: No entity starts at a lower-case letter within a word, which keeps most places in a text from being tried further.
 ANY = "(?:(?<![a-z])|(?=[0-9A-Z+(:]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
@@ -222,6 +236,18 @@ def luhn_valid(digits: Column) -> Column:
     return luhn_digit(digits.substr(F.lit(1), F.length(digits) - 1)) == digits.substr(F.length(digits), F.lit(1))
 
 
+def iban_checked(s: Column) -> Column:
+    """``s`` with the check digits of its country and account: 98 less the number modulo 97, letters counting from 10."""
+    turned = F.concat(s.substr(F.lit(5), F.length(s)), s.substr(F.lit(1), F.lit(2)), F.lit("00"))
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.ascii(turned.substr(i, F.lit(1)))
+        return F.when(c < 65, rest * 10 + c - 48).otherwise(rest * 100 + c - 55) % 97
+
+    check = 98 - F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
+    return F.concat(s.substr(F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), s.substr(F.lit(5), F.length(s)))
+
+
 def invented(kind: Column, canon: Column, attempt: Column, draw: Draw) -> Column:
     """A word for a name, one syllable longer with each attempt."""
 
@@ -257,7 +283,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, hashed: Column, key:
         .when(kind == "ipv4", octets)
         .when(kind.isin("hex", "ipv6"), hex_digits(canon, draw))
         .when(kind == "key", same_classes(canon, draw, 4))
-        .when(kind == "iban", same_classes(canon, draw, 2))
+        .when(kind == "iban", iban_checked(same_classes(canon, draw, 2)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(same_classes(canon, draw), 2, 8)))
         .when(kind == "card", F.concat(front, luhn_digit(front)))
         .when(kind == "phone", digits)
@@ -322,7 +348,8 @@ def named_elsewhere(found: Column) -> Column:
     persons = F.filter(found, lambda m: m["kind"].isin("name", "person"))
     pairs = F.flatten(F.transform(persons, lambda m: F.zip_with(name_words(m["v"], m["kind"]), m["new"], lambda w, s: F.struct(F.length(w).alias("n"), w.alias("w"), s.alias("s")))))
     forms = F.flatten(F.transform(pairs, lambda p: F.array(F.struct((-p["n"]).alias("n"), p["w"].alias("w"), capitalised(p["w"], p["s"]).alias("s")), F.struct((-p["n"]).alias("n"), F.upper(p["w"]).alias("w"), F.upper(p["s"]).alias("s")))))
-    return F.array_sort(F.array_distinct(F.filter(forms, lambda p: p["n"] < -1)))
+    common = [*COMMON, *map(str.upper, COMMON)]
+    return F.array_sort(F.array_distinct(F.filter(forms, lambda p: (p["n"] < -1) & ~p["w"].isin(*common))))
 
 
 def renamed(piece: Column, names: Column) -> Column:

@@ -33,6 +33,33 @@ def test_names_without_a_title_and_their_mentions(spark):
     assert [(r["n_pii"], r["pii_kinds"]) for r in rows] == [(1, "name"), (4, "name"), (1, "name"), (1, "name")]
 
 
+CLEAN = [
+    "San Francisco Bay is wide, San Diego County and Saint Helena Island too.",
+    "The Carolina Panthers flew from Charlotte Airport; meet at Victoria Station with a Louis Vuitton bag.",
+    "Lake Maria Falls and Port Elizabeth Road, New Victoria Park, St. Anna Church.",
+]
+
+
+def test_places_and_houses_stay(spark):
+    assert [(r["text"], r["n_pii"]) for r in replaced(spark, *CLEAN)] == [(t, 0) for t in CLEAN]
+
+
+def test_common_words_are_replaced_in_names_only(spark):
+    a, b, c = (r["text"] for r in replaced(spark, "Mr Will Young came. Will you come too? The Young ones will.", "Dr. May wrote. In May it rains.", "Wei Zhang and Priya Patel met; Zhang left, PATEL stayed."))
+    assert re.fullmatch(r"Mr \w+ \w+ came\. Will you come too\? The Young ones will\.", a) and "Will Young" not in a
+    assert re.fullmatch(r"Dr\. \w+ wrote\. In May it rains\.", b) and not b.startswith("Dr. May")
+    wei, zhang, priya, patel = re.match(r"(\w+) (\w+) and (\w+) (\w+) met", c).groups()
+    assert c == f"{wei} {zhang} and {priya} {patel} met; {zhang} left, {patel.upper()} stayed." and not {"Wei", "Zhang", "Priya", "Patel"} & {wei, zhang, priya, patel}
+
+
+def test_ibans_keep_country_and_have_check_digits(spark):
+    old = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    for o, r in zip(old, replaced(spark, *(f"pay to {o} now" for o in old)), strict=True):
+        new = r["text"].removeprefix("pay to ").removesuffix(" now")
+        s = new.replace(" ", "")
+        assert new != o and shape(new) == shape(o) and s[:2] == o[:2] and int("".join(str(int(x, 36)) for x in s[4:] + s[:4])) % 97 == 1
+
+
 def test_numbers_without_a_valid_check_digit_stay(spark):
     clean = "id 9781234567890, 1234567890123456 and 4785-3805-9239-1138; pages 555-1234"
     assert [(r["text"], r["n_pii"]) for r in replaced(spark, clean)] == [(clean, 0)]
