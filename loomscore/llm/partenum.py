@@ -19,12 +19,17 @@ and the signatures are the hashes of each choice of three cells.  There all
 shared signatures count.
 
 Equal sets are one before anything is paired.  In a list of sets that share a
-signature only links to the smallest are tried at first; a second pass tries
-the pairs of a list whose members are still in different components.  Pairs
-whose sizes or parity sketches (256 bits; each difference flips one) can't be
-similar enough fall away before their sets are read; all others are verified
-by their whole sets.  So no list's pairs are made as long as its members are
-linked, and no link between different texts is lost.
+signature only links to the smallest are looked at, and of these for each set
+that to its smallest partner is tried first.  Lists whose members are still in
+different components then give a forest: each member is compared with the
+``NEAR`` ones before it in a hashed order, and one pair is tried for any two
+components that seem to touch.  Last come the pairs between components that
+are left.  Pairs whose sizes or parity sketches (at least two bits for each
+shingle; a difference flips one bit, so the bits that differ are almost as
+many as the differences) can't be similar enough fall away where they are
+met; all others are verified by their whole sets.  So no list's pairs are made
+as long as its members are linked, and no link between different texts is
+lost.
 
 A shingle is known by 64 bits, made of its words' XXH64, and a set by 128; two
 shingles of one pair that share their 64 bits count as one.
@@ -60,9 +65,12 @@ COMMON = 64
 #: Finer enumeration: differences that a part may have, and its cells.
 LEFT, CELLS = 2, 5
 CHOICES = np.array(list(combinations(range(CELLS), CELLS - LEFT)))
+#: Members before it that a list's member is compared with for the forest.
+NEAR = 128
 #: Words held with their hashes.
 HELD = 200_000
-SKETCH = 4
+#: Bits of the smallest sketch, as a power of two.
+LEAST = 8
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of a signature below its instance's number.
 BITS = 53
@@ -160,10 +168,18 @@ def finer(x: np.ndarray, percent: int, only: set[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(x: np.ndarray) -> np.ndarray:
-    """Parities of the features in 256 classes."""
-    bit = np.bincount((x >> np.uint64(40)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(bit.astype(np.uint8)).view(">i8").astype(np.int64)
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of the features in classes by their lowest bits, two or more for each feature."""
+    n = 1 << max(LEAST, (2 * len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches, the longer one folded: no more than the sets have differences."""
+    u, v = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
 
 
 def digest(x: np.ndarray) -> bytes:
@@ -180,14 +196,14 @@ def described(df: DataFrame, size: int, percent: int) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for t in texts:
                 x = of(t)
-                found = (len(x), digest(x), sketch(x).tolist(), signatures(x, percent).tobytes()) if len(x) else (0, None, None, None)
+                found = (len(x), digest(x), sketch(x), signatures(x, percent).tobytes()) if len(x) else (0, None, None, None)
                 for o, v in zip(out, found, strict=True):
                     o.append(v)
             return out
 
         return run
 
-    kinds = {"n": T.LongType(), "digest": T.BinaryType(), "sketch": T.ArrayType(T.LongType()), "sigs": T.BinaryType()}
+    kinds = {"n": T.LongType(), "digest": T.BinaryType(), "sketch": T.BinaryType(), "sigs": T.BinaryType()}
     return batches.append_all(df, "text", kinds, factory, ("text",))
 
 
@@ -250,12 +266,23 @@ def could_link(n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
+def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with what ``values`` (row, value) has for each: x and y."""
+    held = joins.sized(values)
+    return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+
+
 def sifted(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b, n_a, n_b) whose sketches differ in no more bits than linked sets do."""
-    sketches = joins.sized(docs.filter("n > 0").select("row", "sketch"))
-    both = pairs.join(sketches.withColumnsRenamed({"row": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"row": "b", "sketch": "y"}), "b")
-    bits = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    return both.filter((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches.slices(it):
+            n = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()).tolist()
+            keep = [(100 + percent) * apart(x, y) <= (100 - percent) * m for x, y, m in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), n, strict=True)]
+            yield b.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = beside(pairs, docs.filter("n > 0").select("row", "sketch"))
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
 def texts_of(df: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -293,49 +320,86 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = joins.sized(found)
-    both = pairs.select("a", "b").join(held.withColumnsRenamed({"row": "a", "set": "x"}), "a").join(held.withColumnsRenamed({"row": "b", "set": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return beside(pairs.select("a", "b"), found).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def unlike(members: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of a list's members, but its smallest, that are in different components.
+def folded(found: list[bytes]) -> np.ndarray:
+    """Sketches of one list as rows of words, folded to the length of the shortest."""
+    least = min(map(len, found))
+    out = np.empty((len(found), least // 8), np.uint64)
+    for i, x in enumerate(found):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) > least // 8:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[i] = v
+    return out
 
-    ``members`` is (sig, row, n, of, apart), ``of`` the component, ``apart``
-    whether it isn't that of the list's smallest; in a list these come first,
-    so what is in hand of a list are those.
+
+class Members:
+    """A list's members so far that others are compared with: at most ``NEAR``, or all that are apart."""
+
+    def __init__(self, percent: int, forest: bool):
+        self.percent, self.forest = percent, forest
+        self.rows: list[tuple[int, int, int, bytes]] = []
+        self.up: dict[int, int] = {}
+
+    def root(self, of: int) -> int:
+        while (up := self.up.get(of, of)) != of:
+            of = up
+        return of
+
+    def pairs(self, row: int, n: int, of: int, own: bytes) -> list[tuple[int, int]]:
+        """(a, b) of ``row`` and members in other components that may be linked with it; for a forest one a component."""
+        some = [r for r in self.rows if self.root(r[2]) != self.root(of) and 100 * min(n, r[1]) >= self.percent * max(n, r[1])]
+        if not some:
+            return []
+        words = folded([own, *(r[3] for r in some)])
+        bits = np.bitwise_count(words[1:] ^ words[0]).sum(1, dtype=np.int64)
+        close = (100 + self.percent) * bits <= (100 - self.percent) * (n + np.array([r[1] for r in some]))
+        out = []
+        for k in np.flatnonzero(close).tolist():
+            a, b = self.root(some[k][2]), self.root(of)
+            if a == b:
+                continue  # a pair of this component is tried already
+            if self.forest:
+                self.up[max(a, b)] = min(a, b)
+            out.append((max(row, some[k][0]), min(row, some[k][0])))
+        return out
+
+    def add(self, row: int, n: int, of: int, own: bytes, apart: bool) -> None:
+        if self.forest:
+            self.rows = [*self.rows[1 - NEAR :], (row, n, of, own)]
+        elif apart:
+            self.rows.append((row, n, of, own))
+
+
+def unlike(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b): pairs of a list's members in different components whose sketches don't tell that they aren't linked.
+
+    ``members`` is (sig, row, n, of, apart, sketch), ``of`` the component,
+    ``apart`` whether it isn't that of the list's smallest.  For a forest
+    (each member with those before it, one pair a component) what is in hand
+    of a list are ``NEAR`` members, else those that are still apart.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []  # members apart of the list at hand
+        now, held = None, Members(percent, forest)
+        for b in batches.slices(it, 10_000):
+            out: list[tuple[int, int]] = []
+            for sig, row, n, of, apart, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if sig != now:
+                    now, held = sig, Members(percent, forest)
+                out += held.pairs(row, n, of, own)
+                held.add(row, n, of, own, apart)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        def batch(pairs: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b", "n_a", "n_b"])
+    order = [F.xxhash64("row")] if forest else [F.desc("apart")]
+    dealt = members.repartition("sig").sortWithinPartitions("sig", *order, "row")
+    return dealt.select("sig", "row", "n", "of", "apart", "sketch").mapInArrow(run, "a long, b long").distinct()
 
-        pairs: list[tuple] = []
-        for b in it:
-            for sig, row, n, of, apart in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if sig != now:
-                    now, held = sig, []
-                for r, m, o in held:
-                    if o != of:
-                        pairs.append((row, r, n, m) if row > r else (r, row, m, n))
-                if apart:
-                    held.append((row, n, of))
-                if len(pairs) > 10_000:
-                    yield batch(pairs)
-                    pairs = []
-        if pairs:
-            yield batch(pairs)
-
-    dealt = members.repartition("sig").sortWithinPartitions("sig", F.desc("apart"), "row")
-    return dealt.select("sig", "row", "n", "of", "apart").mapInArrow(run, "a long, b long, n_a long, n_b long")
-
-
-def linked(df: DataFrame, docs: DataFrame, copies: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of the rows of ``docs`` that are linked with others; rows of ``copies`` stand aside."""
-    own = docs.filter("n > 0").join(joins.sized(copies), "row", "left_anti")
-    found = scratch.written(lists(exploded(own), COMMON))
+
+def linked(df: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of the rows of ``docs`` that are linked with others; ``found``: their lists."""
     # sets that have so many void signatures in an instance that a pair could be missed
     number = F.shiftright("sig", BITS)
     void = found.filter("pivot IS NULL").groupBy("row", number.cast("int").alias("number"), "n").agg(F.count("*").alias("void"))
@@ -343,22 +407,35 @@ def linked(df: DataFrame, docs: DataFrame, copies: DataFrame, size: int, percent
     more = scratch.written(void.filter(F.col("void") > F.element_at(spares, F.col("number"))).groupBy("row", "n").agg(F.collect_set("number").alias("numbers")))
     out = found.filter("pivot <> row")
     if not more.isEmpty():
-        out = out.unionByName(scratch.written(lists(exploded(finely(df, docs, more, size, percent)), None)))
-    close = could_link(F.col("n_pivot"), F.col("n"), percent)
-    tried = out.filter(close).filter("pivot <> row").select(F.col("row").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b")).distinct()
-    tried = scratch.written(sifted(tried, docs, percent))
-    links = checked(df, docs, tried, size, percent)
-    roots = stars(links)
-    # lists whose members are still in different components
+        out = out.unionByName(scratch.written(lists(exploded(finely(df, docs, more, size, percent)), None)).filter("pivot <> row"))
+    pairs = out.filter(could_link(F.col("n_pivot"), F.col("n"), percent)).select(F.col("row").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b")).distinct()
+    pairs = scratch.written(sifted(pairs, docs, percent))
+    first = scratch.written(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    links = checked(df, docs, first, size, percent)
+    tried = first
+    for forest in (True, False):
+        roots = stars(links)
+        rest = scratch.written(open_pairs(out, pairs, roots, docs, percent, forest).join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links, tried = links.unionByName(checked(df, docs, rest, size, percent)), tried.unionByName(rest)
+    return stars(links)
+
+
+def open_pairs(out: DataFrame, pairs: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b) in different components of ``roots``: of ``pairs``, and of the lists' other members."""
     of = joins.sized(roots)
-    placed = out.join(of.withColumnsRenamed({"node": "row", "root": "of"}), "row", "left").join(of.withColumnsRenamed({"node": "pivot", "root": "of_pivot"}), "pivot", "left")
-    placed = scratch.written(placed.select("sig", "row", "n", F.coalesce("of", "row").alias("of"), (F.coalesce("of", "row") != F.coalesce("of_pivot", "pivot")).alias("apart")))
-    open_ = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("apart").alias("any")).filter("any AND members > 1").select("sig")
-    rest = unlike(placed.join(joins.sized(scratch.written(open_)), "sig", "left_semi")).filter(could_link(F.col("n_a"), F.col("n_b"), percent)).distinct()
-    rest = scratch.written(sifted(rest, docs, percent).join(tried, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots
-    return stars(links.unionByName(checked(df, docs, rest, size, percent)))
+
+    def component(rows: DataFrame, row: str, name: str) -> DataFrame:
+        return rows.join(of.toDF(row, name), row, "left").withColumn(name, F.coalesce(name, row))
+
+    others = component(component(pairs, "a", "of_a"), "b", "of_b").filter("of_a <> of_b").select("a", "b")
+    placed = component(component(out, "row", "of"), "pivot", "of_pivot")
+    placed = scratch.written(placed.select("sig", "row", "n", "of", (F.col("of") != F.col("of_pivot")).alias("apart")))
+    undone = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("apart").alias("any")).filter("any AND members > 1").select("sig")
+    members = placed.join(joins.sized(scratch.written(undone)), "sig", "left_semi").join(joins.sized(docs.filter("n > 0").select("row", "sketch")), "row")
+    found = scratch.written(unlike(members, percent, forest))
+    scratch.drop(placed)
+    return found.unionByName(others).distinct()
 
 
 @lru_cache(8)
@@ -385,8 +462,12 @@ def finely(df: DataFrame, docs: DataFrame, more: DataFrame, size: int, percent:
 
 
 def checked(df: DataFrame, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs that are links."""
     rows = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    return scratch.written(verified(pairs, sets(df, docs, rows, size), percent))
+    held = sets(df, docs, rows, size)
+    out = scratch.written(verified(pairs, held, percent))
+    scratch.drop(held)
+    return out
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -397,9 +478,14 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     equal = scratch.written(equal.drop("times"))
     whole = docs.select("row", "doc_id", "n", "digest").join(joins.sized(equal), "digest", "left")
     whole = scratch.written(whole.select("row", "doc_id", "n", F.coalesce("rep", "row").alias("rep"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("first")))
-    roots = scratch.written(linked(df, docs, whole.filter("row <> rep").select("row"), size, percent))
+    copies = joins.sized(whole.filter("row <> rep").select("row"))
+    found = scratch.written(lists(exploded(docs.filter("n > 0").join(copies, "row", "left_anti")), COMMON))
+    slim = scratch.written(docs.drop("sigs"))
+    scratch.drop(docs)  # the signatures are the largest of the tables
+    roots = scratch.written(linked(df, slim, found, size, percent))
+    scratch.drop(found)
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     smallest = whole.filter("row = rep").select(F.col("rep").alias("node"), "first").join(joins.sized(scratch.written(nodes)), "node").groupBy("root").agg(F.min("first").alias("least"))
     names = scratch.written(nodes.join(joins.sized(scratch.written(smallest)), "root").select(F.col("node").alias("rep"), "least"))
-    found = whole.join(joins.sized(names.withColumn("linked", F.lit(True))), "rep", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    placed = whole.join(joins.sized(names.withColumn("linked", F.lit(True))), "rep", "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
