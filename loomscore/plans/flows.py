@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agreement, baselines, dialogue, joins, metrics, pairs, resample, rules
+from ..operators import agreement, baselines, dialogue, generation, joins, metrics, pairs, resample, rules
 from ..sources import schemas, tables
-from . import runner
+from . import runner, runs
 
 MODEL_COLUMNS = {"generation_model": "$.model", "generation_created": "$.created"}
 
@@ -87,18 +87,28 @@ def payload(
     return {"items": items.count(), "skipped": skipped.count(), "leaks": leaks.count()}
 
 
-def benchmark(spark: SparkSession, folder: str, out: str, adapter: runner.Adapter, config: dict, prompt: dict, qa_prompt: dict | None = None, conditions: Sequence[str] = ("full_mcq", "target_only_mcq"), cache: str | None = None) -> DataFrame:
-    """Alignment check, requests, answers, normalisation, gold join, sheet and summary."""
+def checked_conditions(conditions: Sequence[str]) -> tuple[str, ...]:
     if odd := set(conditions) - {"full_mcq", "target_only_mcq", "full_qa"}:
         raise ValueError(f"unknown conditions {sorted(odd)}")
+    return tuple(conditions)
+
+
+def send(spark: SparkSession, folder: str, out: str, adapter: runner.Adapter, config: dict, prompt: dict, qa_prompt: dict | None = None, conditions: Sequence[str] = ("full_mcq", "target_only_mcq"), cache: str | None = None, seed: int = 0, **options: object) -> dict:
+    """The requests of a folder's items, sent in a run folder that can be taken up again; the run's counts."""
+    items = tables.read_jsonl(spark, f"{folder}/items", schemas.ITEMS)
+    known = spark.read.schema(schemas.RESPONSES).json(cache) if cache else None
+    digests = {"items_sha256": tables.folder_digest(spark, f"{folder}/items")}
+    return runs.run_folder(spark, items, checked_conditions(conditions), adapter, prompt, config, out, qa_prompt, seed, digests, cache=known, **options)
+
+
+def benchmark(spark: SparkSession, folder: str, out: str, adapter: runner.Adapter, config: dict, prompt: dict, qa_prompt: dict | None = None, conditions: Sequence[str] = ("full_mcq", "target_only_mcq"), cache: str | None = None, **options: object) -> DataFrame:
+    """Alignment check, run, normalisation, gold join, sheet and all summaries."""
+    checked_conditions(conditions)
     items, gold = tables.read_jsonl(spark, f"{folder}/items", schemas.ITEMS), tables.read_jsonl(spark, f"{folder}/gold", schemas.GOLD)
     aligned = joins.alignment_problems(items.select("item_id", F.transform("candidates", lambda c: c["entity_id"]).alias("candidate_ids")), gold)
     if wrong := aligned.limit(20).collect():
         raise ValueError("items and gold differ:\n- " + "\n- ".join(f"{r['item_id']}: {r['problem']}" for r in wrong))
-    asked = runner.requests(items, tuple(conditions), prompt, config, qa_prompt)
-    known = spark.read.schema(schemas.RESPONSES).json(cache) if cache else None
-    log = runner.run(asked, adapter, known).withColumn("ordinal", F.lit(0).cast("long"))
-    tables.append_log(log, f"{out}/responses", fresh=True)
+    send(spark, folder, out, adapter, config, prompt, qa_prompt, conditions, cache, **options)
     others = F.filter("dialogue_participants", lambda p: ~p.eqNullSafe(F.col("target_speaker_id")))
     label = F.try_element_at(F.filter("candidates", lambda c: c["entity_id"] == F.try_element_at(others, F.lit(1))), F.lit(1))["label"]
     seen = items.withColumn("addressee_label", F.when(F.size(others) == 1, label))
@@ -106,10 +116,68 @@ def benchmark(spark: SparkSession, folder: str, out: str, adapter: runner.Adapte
     tables.write_jsonl(rows, f"{out}/normalized")
     scored = joins.strict_join(rows, gold, "item_id").withColumn("predicted_role", joins.predicted_role())
     tables.write_csv(tables.per_sample(scored), f"{out}/per_sample")
-    tables.write_jsonl(metrics.benchmark_summary(scored), f"{out}/metrics")
+    report(scored, out)
     return scored
 
 
+def summaries(scored: DataFrame) -> dict[str, DataFrame]:
+    """All parts of a benchmark's summary, by model and condition."""
+    keys = ["model_label", "condition"]
+    paired = pairs.pair_consistency(scored, tuple(keys))
+    return {
+        "metrics": metrics.benchmark_summary(scored),
+        "tables": metrics.benchmark_tables(scored),
+        "role_confusion": metrics.confusion(scored, F.col("gold_role"), F.col("predicted_role"), keys),
+        "slot_confusion": metrics.confusion(scored, F.col("gold_entity_id"), F.col("predicted_entity_id"), keys),
+        "pair_consistency": pairs.pair_summary(paired, *keys, names=pairs.CONSISTENCY).drop("n_families"),
+        "dropped_pairs": paired.filter("c1 IS NULL OR c2 IS NULL").select(*keys, "pair_id").distinct(),
+        "context_benefit": pairs.condition_benefit(scored, "full_mcq", "target_only_mcq", "item_id"),
+    }
+
+
+def report(scored: DataFrame, out: str) -> None:
+    """``summaries`` as folders of JSON lines."""
+    for name, rows in summaries(scored).items():
+        tables.write_jsonl(rows, f"{out}/{name}")
+
+
+def metrics_report(spark: SparkSession, normalized: str, gold: str, out: str, n_boot: int = 0, cluster: str = "conversation_id", seed: int = 0) -> DataFrame:
+    """Summaries of normalised answers, with intervals by model and condition where ``n_boot`` isn't 0."""
+    keyed = tables.read_jsonl(spark, gold, schemas.GOLD)
+    rows = tables.read_jsonl(spark, normalized, schemas.NORMALIZED)
+    scored = joins.strict_join(rows, keyed, "item_id").withColumn("predicted_role", joins.predicted_role())
+    report(scored, out)
+    if n_boot:
+        found = intervals(scored, n_boot, cluster, seed)
+        body = [{"model_label": m, "condition": c, **v} for (m, c), v in found.items()]
+        tables.write_document(spark, body, f"{out}/bootstrap")
+    return spark.read.json(f"{out}/metrics")
+
+
+def generate(spark: SparkSession, scenarios: str, out: str, adapter: runner.Adapter, config: dict, prompt: dict, created: str, ids: Sequence[str] | None = None, variants: str = "all", **options: object) -> dict:
+    """Drafts of scenarios: requests in a run folder, answers read into a dataset, and what couldn't be read."""
+    rows, _ = tables.load_scenarios(spark, scenarios)
+    jobs = generation.jobs(rows, ids, variants)
+    asked = generation.requests(jobs, prompt, config, config.get("output_schema", ""))
+    counts = runs.settle(spark, asked, adapter, f"{out}/run", {**config, "prompt_version": prompt["version"]}, **options)
+    answers = spark.read.schema(schemas.RESPONSES).json(f"{out}/run/responses").select("item_id", "raw_text")
+    read = generation.parsed(jobs.join(answers, "item_id"))
+    records, labels = generation.drafts(read, config, prompt["version"], created)
+    tables.write_jsonl(records, f"{out}/{tables.DIALOGUES}")
+    tables.write_jsonl(labels, f"{out}/{tables.LABELS}")
+    tables.write_jsonl(read.filter("problem IS NOT NULL").select("item_id", "problem"), f"{out}/unread")
+    return counts
+
+
+def status(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """The parts of a dataset or run folder and what state each is in."""
+    parts = (tables.DIALOGUES, tables.LABELS, "items", "gold", "config", "requests", "responses", "summary", "normalized", "metrics")
+    there = {p: tables.exists(spark, f"{root}/{p}") for p in parts}
+    found = [(p, "there" if there[p] else "missing") for p in parts]
+    n = runs.written_passes(spark, root)
+    return found + [("run", "none" if not n else f"ended after {n} passes" if there["summary"] else f"stopped in pass {n}")]
+
+
 def run_baselines(spark: SparkSession, folder: str) -> DataFrame:
     items, gold = tables.read_jsonl(spark, f"{folder}/items", schemas.ITEMS), tables.read_jsonl(spark, f"{folder}/gold", schemas.GOLD)
     return metrics.benchmark_summary(joins.strict_join(baselines.run(items), gold, "item_id"))

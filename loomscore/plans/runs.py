@@ -21,7 +21,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import sized
@@ -48,9 +48,9 @@ def attempts(spark: SparkSession, out: str) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """Of each payload its answer, the first if there are several; else its last failure."""
+    """Of each payload its answer, the last if there are several; else its last failure."""
     answered = (F.col("outcome") == "answered") & F.col("raw_text").isNotNull()
-    rank = F.when(answered, -F.col("p").cast("long")).otherwise(F.col("p") - F.lit(1 << 40))
+    rank = F.when(answered, F.col("p").cast("long")).otherwise(F.col("p") - F.lit(1 << 40))
     body = F.struct(*(c for c in log.columns if c != "payload_hash"))
     return log.groupBy("payload_hash").agg(F.max_by(body, F.struct(rank, "attempt")).alias("r")).select("payload_hash", "r.*")
 
@@ -80,8 +80,11 @@ def drain(spark: SparkSession, out: str, p: int, adapter: runner.Adapter) -> Non
     query.awaitTermination()
 
 
-def settle(spark: SparkSession, asked: DataFrame, adapter: runner.Adapter, out: str, identity: Mapping, cache: DataFrame | None = None, retries: int = RETRIES, batch: int = BATCH, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> dict:
-    """Send ``asked`` (as ``runner.requests`` makes them) until each is answered or has failed for good; the summary's counts."""
+def settle(spark: SparkSession, asked: DataFrame, adapter: runner.Adapter, out: str, identity: Mapping, cache: DataFrame | None = None, retries: int = RETRIES, batch: int = BATCH, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time, good: Column | None = None) -> dict:
+    """Send ``asked`` (as ``runner.requests`` makes them) until each is answered or has failed for good; the summary's counts.
+
+    ``good``: of an attempt's columns, which answers a later run doesn't ask for again; by default all with a text.
+    """
     if tables.exists(spark, f"{out}/config"):
         runner.same_run(tables.read_document(spark, f"{out}/config"), identity)
     else:
@@ -106,10 +109,13 @@ def settle(spark: SparkSession, asked: DataFrame, adapter: runner.Adapter, out:
     fresh = p < 0 or tables.exists(spark, f"{out}/summary")
     first = p + 1 if fresh else 0
     if fresh:
-        p += 1
-        write_pass(senders.join(state().filter(answered).select("payload_hash"), "payload_hash", "left_anti").withColumn("attempt", F.lit(0)), out, p, batch)
+        left = senders.join(state().filter(answered if good is None else answered & good).select("payload_hash"), "payload_hash", "left_anti")
+        if not left.isEmpty():
+            p += 1
+            write_pass(left.withColumn("attempt", F.lit(0)), out, p, batch)
         tables.remove(spark, f"{out}/summary")
-        drain(spark, out, p, adapter)
+        if p == first:
+            drain(spark, out, p, adapter)
     pause = F.greatest(F.least(F.pow(F.lit(2.0), F.col("attempt") + 1), F.lit(float(LONGEST))), F.coalesce("retry_after", F.lit(0.0)))
     while True:
         again = state().filter((F.col("outcome") == "transient") & (F.col("attempt") < retries)).select("payload_hash", "attempt", (F.col("at") + pause).alias("not_before"))

@@ -35,6 +35,8 @@ RESPONSES = (
     "item_id string, condition string, model_label string, payload_hash string, retries int, error string, from_cache boolean, raw_text string, input_tokens long, output_tokens long, "
     "latency_ms long, finish_reason string, status string, ordinal long"
 )
+#: Answers that are parsed, with what their items hold.
+NORMALIZED = f"{ITEMS}, condition string, model_label string, payload_hash string, raw_text string, input_tokens long, output_tokens long, status string, predicted_entity_id string, parse_status string, note string"
 JUDGEMENTS = ("naturalness_1to5", "referent_id", "addressee_id", "context_sufficient", "ambiguity", "notes")
 SHEET = ("order", "review_id", "dialogue", "target_turn", "target_predicate", "target_speaker", "candidates", *JUDGEMENTS)
 DECISIONS = ("sample_id", "adjudicator", "decision", "final_referent_id", "final_ambiguity", "final_addressee_id", "reason")
