@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import pair_sides
-from .metrics import Ratio, is_correct
+from .metrics import Ratio, distractor_rate, is_correct, status_columns, table
 
 TRANSITIONS = {"both_correct": (1, 1), "correct_to_wrong": (1, 0), "wrong_to_correct": (0, 1), "both_wrong": (0, 0)}
 #: The same of a base and its variant.
@@ -46,6 +46,17 @@ def pair_summary(pairs: DataFrame, *keys: str, names: dict[str, tuple[int, int]]
     return complete(pairs).groupBy(*keys).agg(*ratios, *transitions(names), F.count("*").alias("n_pairs"), (F.count_distinct("family_id") + F.coalesce(F.max(F.col("family_id").isNull().cast("int")), F.lit(0))).cast("long").alias("n_families"))
 
 
+def controlled_summary(rows: DataFrame, first: str, second: str, order: str) -> dict[str, DataFrame]:
+    """A controlled experiment: ``summary`` (one row: ratios, transitions, pairs, families, dropped pairs, statuses), ``dropped`` pairs, and ``distractor_by_version`` where distractors are named."""
+    found = build_pairs(rows, first, second, order)
+    gone = dropped(found)
+    counts = gone.agg(F.count("*").alias("n_dropped")).select(F.struct("*").alias("d"))
+    said = rows.agg(*status_columns()).select(F.struct("*").alias("s"))
+    summary = pair_summary(found).withColumns({"d": counts.scalar(), "s": said.scalar()}).select("*", "d.*", "s.*").drop("d", "s")
+    by_version = table(rows.filter("designated_distractor_id IS NOT NULL"), ["version"], distractor_rate())
+    return {"summary": summary, "dropped": gone, "distractor_by_version": by_version}
+
+
 def pair_consistency(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs by the ids "scenario:a~b" that rows list: c1 of the one row of version a, c2 of the one of version b.
 

@@ -18,7 +18,9 @@ taken for answers, so a later run asks again.
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,16 @@ PASS = "item_id string, condition string, model_label string, payload_hash strin
 LOGGED = runner.ATTEMPT + ", at double, p int"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local master without that setting, as in tests, gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loomscore-")
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
 def attempts(spark: SparkSession, out: str) -> DataFrame:
     """All attempts of the run so far, ``p`` the pass of each."""
     path = f"{out}/attempts"

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import parsing, text
+from .functions import events, parsing, text
 from .operators import agreement as ag
 from .operators import baselines, dialogue, joins, metrics, pairs, resample, rules
-from .plans import flows, runner, views
+from .plans import flows, runner, runs, views
 from .plans.views import table
+from .sources import schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,6 +230,13 @@ def dropped_pairs(spark, sf):
     return pairs.dropped(pairs.build_pairs(views.paired(spark, sf), "view", "click", "item_id"))
 
 
+@query(f"""SELECT {three(MOVES)}, count(*) AS n_pairs, count(DISTINCT family_id) + max(CASE WHEN family_id IS NULL THEN 1 ELSE 0 END) AS n_families,
+  (SELECT count(*) FROM pr WHERE c1 IS NULL OR c2 IS NULL) AS n_dropped, {', '.join(f"(SELECT count(*) FROM p WHERE status = '{x}') AS {x}" for x in metrics.STATUSES)}
+  FROM pr WHERE c1 IS NOT NULL AND c2 IS NOT NULL""", PAIR_CTE)
+def controlled_summary(spark, sf):
+    return pairs.controlled_summary(views.paired(spark, sf), "view", "click", "item_id")["summary"]
+
+
 @query(f"SELECT version, {ratio_sql('count(*) FILTER (status = $$ok$$ AND distractor = pred)')} FROM p GROUP BY 1", PAIRED)
 def controlled_distractor_rate(spark, sf):
     return metrics.table(views.paired(spark, sf), ["version"], metrics.distractor_rate())
@@ -418,6 +426,41 @@ def payload_hash_cache(spark, sf):
     return hits.select(F.lit(1).alias("h")).unionByName(misses.select(F.lit(0).alias("h"))).agg(F.sum("h").alias("hits"), F.sum(1 - F.col("h")).alias("misses"))
 
 
+NAMES = ("id_map", "gold_role", "note")
+
+
+@query("""SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN k % 10 = 0 THEN 'x.turns.[1].id_map' WHEN k % 10 = 1 THEN 'x.turns.[1].gold_role' END, CASE WHEN k % 7 = 0 THEN 'tail.anchor_turn' END], lambda p: p IS NOT NULL)), ',') AS paths
+  FROM (SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events) WHERE k % 10 < 2 OR k % 7 = 0""")
+def forbidden_keys(spark, sf):
+    """Events as JSON in which some have a forbidden key, at two depths, and all name one in a text."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    name = F.when(k % 10 == 0, "id_map").when(k % 10 == 1, "gold_role").otherwise("note")
+    tail = F.when(k % 7 == 0, ',"tail":{"anchor_turn":1}').otherwise("")
+    body = F.concat(F.lit('{"x":{"turns":[{"text":"say \\"id_map\\": no"},{"'), name, F.lit('":'), k.cast("string"), F.lit("}]}"), tail, F.lit("}"))
+    found = rules.key_paths(table(spark, sf, "events").select("event_id", body.alias("body")), "event_id", F.col("body"), dialogue.FORBIDDEN_ITEM_KEYS)
+    return found.select("event_id", F.array_join("paths", ",").alias("paths"))
+
+
+@query("""SELECT user_id, run, CASE WHEN text IS NOT NULL THEN 'answered' WHEN error IS NULL OR error = 'Rate limit' THEN 'transient' ELSE 'permanent' END AS outcome, text AS raw_text,
+    CASE WHEN text IS NOT NULL THEN tokens END AS input_tokens, CASE WHEN text IS NOT NULL THEN thread END AS request_id, CASE WHEN text IS NULL THEN coalesce(error, 'no message') END AS error
+  FROM (SELECT user_id, event_id % 40 AS run, max_by('E' || (k % 4), event_id) FILTER (m = 1) AS text, CAST(max_by(k, event_id) FILTER (m = 2) AS BIGINT) AS tokens, CAST(max(event_id) FILTER (m = 0) AS VARCHAR) AS thread,
+    max_by(CASE WHEN k % 4 = 1 THEN 'Rate limit' ELSE 'invalid' END, event_id) FILTER (m = 3) AS error FROM (SELECT *, k % 6 AS m FROM (SELECT event_id, user_id, CAST(props->>'$.k' AS INT) AS k FROM events)) GROUP BY 1, 2)""")
+def event_answers(spark, sf):
+    """A service's answers as lines of events, folded: messages, usage, threads, errors, and lines that aren't JSON."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k, n = F.col("k"), F.col("k").cast("string")
+    line = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"type":"thread.started","thread_id":"'), F.col("event_id").cast("string"), F.lit('"}')))
+        .when(k % 6 == 1, F.concat(F.lit('  {"type":"item.completed","item":{"type":"agent_message","text":"E'), (k % 4).cast("string"), F.lit('"}}')))
+        .when(k % 6 == 2, F.concat(F.lit('{"type":"turn.completed","usage":{"input_tokens":'), n, F.lit("}}")))
+        .when(k % 6 == 3, F.concat(F.lit('{"type":"error","message":"'), F.when(k % 4 == 1, "Rate limit").otherwise("invalid"), F.lit('"}')))
+        .when(k % 6 == 4, "{oops").otherwise('{"type":"item.completed","item":{"type":"reasoning","text":"hm"}}')
+    )
+    logs = e.groupBy("user_id", (F.col("event_id") % 40).alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("log"))
+    said = logs.select("user_id", "run", events.event_lines("log").alias("r")).select("user_id", "run", "r.*")
+    return said.select("user_id", "run", "outcome", "raw_text", "input_tokens", "request_id", F.when(F.col("error").startswith("no message"), "no message").otherwise(F.col("error")).alias("error"))
+
+
 # -- dialogues ---------------------------------------------------------------
 
 
@@ -553,6 +596,15 @@ def majority_role_prior(spark, sf):
 # -- rules -------------------------------------------------------------------
 
 
+@query()
+def rule_issues(spark, sf):
+    return rules.issues(derived(spark, sf), rules.structure_rules()).select("level", "sample_id", "code")
+
+
+#: Rules that look at mentions.
+BY_MENTIONS = ("HUMAN_REVIEW", "DISTRACTOR_NOT_RECENT")
+
+
 @query("""SELECT level, sample_id, code FROM (SELECT CAST(conv_id AS VARCHAR) AS sample_id, unnest(list_filter([
     CASE WHEN gold IS NOT NULL AND gold_role IS NULL THEN {'level': 'error', 'code': 'ROLE_UNDETERMINED'} END,
     CASE WHEN declared IS NOT NULL AND (declared = 'system' OR declared = speaker) THEN {'level': 'error', 'code': 'ADDRESSEE_INVALID'} END,
@@ -562,10 +614,9 @@ def majority_role_prior(spark, sf):
     CASE WHEN conv_id % 5 = 0 AND conv_id % 2 = 0 THEN {'level': 'warning', 'code': 'ANCHOR_MISSING'} END,
     CASE WHEN conv_id % 6 = 0 THEN {'level': 'error', 'code': 'GEN_MODEL_MISSING'} END,
     CASE WHEN conv_id % 8 = 0 THEN {'level': 'warning', 'code': 'CREATED_MISSING'} END], lambda x: x IS NOT NULL), recursive := true) FROM roles)""", DERIVED)
-def rule_issues(spark, sf):
-    """All codes but the two that depend on the search for mentions; ``issue_counts`` has those too."""
-    found = rules.issues(derived(spark, sf), rules.structure_rules())
-    return found.filter(~F.col("code").isin("HUMAN_REVIEW", "DISTRACTOR_NOT_RECENT")).select("level", "sample_id", "code")
+def rule_issues_without_mentions(spark, sf):
+    """Of the rules that don't look at mentions."""
+    return rules.issues(derived(spark, sf), [r for r in rules.structure_rules() if r.code not in BY_MENTIONS]).select("level", "sample_id", "code")
 
 
 @query()
@@ -763,6 +814,19 @@ def review_queue(spark, sf):
     return runner.review_queue(rows)
 
 
+@query("""SELECT item_id, condition, CASE WHEN f > 2 THEN 'missing' ELSE 'ok' END AS status, least(f, 2) AS retries, CASE WHEN f > 2 THEN 'transient: busy' END AS error,
+    CASE WHEN f <= 2 THEN '{"entity_id": "E' || (CAST('0x' || substr(md5(item_id), 1, 8) AS BIGINT) % 3 + 1) || '"}' END AS raw_text
+  FROM (SELECT item_id, condition, CAST('0x' || substr(md5(item_id || '|' || condition), 1, 8) AS BIGINT) % 4 AS f
+    FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS item_id FROM rec WHERE gold IS NOT NULL AND conv_id % 3 <> 1), (SELECT unnest(['full_mcq', 'target_only_mcq']) AS condition))""", NEUTRAL.strip() + "," + DERIVED.replace(TURNS, "").strip().lstrip(","))
+def run_passes(spark, sf):
+    """A run in a folder against a service that is busy up to three times for each request."""
+    kept, _ = dialogue.evaluation_split(dialogue.neutral_ids(derived(spark, sf)))
+    out = runs.work_folder(spark)
+    runs.run_folder(spark, dialogue.items(kept), ("full_mcq", "target_only_mcq"), runner.Unsteady(runner.Mock()), views.PROMPT, views.CONFIG, out, wait=lambda s: None, clock=lambda: float("inf"))
+    lines = spark.read.schema(schemas.RESPONSES).json(f"{out}/responses")
+    return lines.select("item_id", "condition", "status", F.col("retries").cast("long").alias("retries"), "error", "raw_text")
+
+
 @query()
 def mock_run_end_to_end(spark, sf):
     """Items, requests, answers, normalisation, gold join and accuracy in one query."""
