@@ -10,7 +10,10 @@ of the GNU and Creative Commons families by name and version, of short notices
 ("Licensed under the ...") and of SPDX lines; a licence rule is a sequence of identifiers, and it
 matches where either sequence of a text, unknown sentences left out, holds it
 without a gap.  Rules are ordered: the first that matches names the text's
-licence, and all that match are listed.  A version's "+" reads "or later".
+licence, and all that match are listed, but for those whose sequence lies in
+that of another one that matches.  A text without a licence that says "All
+rights reserved" in a sentence of its own gets that notice's name, which is no
+licence.  A version's "+" reads "or later".
 
 Null and empty texts have no sentences and no licence; texts are read whole
 whatever their length; repeated rows match alike; rules that match a text
@@ -236,10 +239,27 @@ def families() -> Iterator[tuple[str, str, str]]:
             yield f"spdx {' or '.join(two)}", "GPL-2.0-only" if name == "GPL-2.0" else name, f"SPDX-License-Identifier: {two[0]} OR {two[1]}"
 
 
+# Titles of licences that carry none of the names above, as sentences of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License (MIT)", "MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0",), "Unlicense": ("The Unlicense",), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "MIT-0": ("MIT No Attribution",), "PostgreSQL": ("The PostgreSQL License",),
+}
+
+
+def titles() -> Iterator[tuple[str, str, str]]:
+    """(identifier, licence, sentence) of titles, and of lines "License: ..."."""
+    for name, forms in TITLES.items():
+        for form in forms:
+            yield f"title {name}", name, form
+    for name in SPDX:
+        yield f"field {name}", name, f"License: {name}"
+
+
 def known() -> dict[str, str]:
     """Normalised sentence to identifier; the first that claims a sentence has it."""
     found = {normalised(text): name for name, text in SENTENCES.items()}
-    for name, _, text in families():
+    for name, _, text in (*families(), *titles()):
         found.setdefault(normalised(text), name)
     return found
 
@@ -250,10 +270,15 @@ def rules() -> list[tuple[str, str]]:
     # licences that say "or later" before those that don't, titles last: a title stands in every copy of the text
     of_families.sort(key=lambda r: (r[1][0].startswith("title"), not r[0].endswith("or-later")))
     gnu = [r for r in of_families if r[0].startswith(("GPL", "LGPL", "AGPL")) and not r[1][0].startswith("title")]
-    every = [*gnu, *RULES_OF_TEXTS, *of_families, ("proprietary", ("all-rights",))]
+    of_titles = [(licence, (name,)) for name, licence, _ in titles()]
+    every = [*gnu, *RULES_OF_TEXTS, *of_families, *of_titles]
     return [(licence, "," + ",".join(seq) + ",") for licence, seq in dict.fromkeys(every)]
 
 
+#: What a text is said to be that names no licence but says ``all-rights``: a notice, no licence.
+NOTICE = "all-rights-reserved"
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_sentences, sentence_ids and wrapped_ids (joined by commas), licenses (the same, in the rules' order) and license."""
     ids = known()
@@ -266,7 +291,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumns({"n_sentences": F.size("__s").cast("long"), "sentence_ids": hits(F.col("__s")), "wrapped_ids": hits(paragraphs(F.col("__t")))}).drop("__t", "__s")
     row = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(",;,"), F.col("wrapped_ids"), F.lit(","))
     every = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(seq).alias("seq")) for name, seq in rules()))
-    matched = F.transform(F.filter(every, lambda r: F.contains(row, r["seq"])), lambda r: r["name"])
+    # a rule whose sequence lies in that of another one that matches says no more
+    fits = F.filter(every, lambda r: F.contains(row, r["seq"]))
+    alone = F.transform(F.array(fits), lambda m: F.filter(m, lambda r: ~F.exists(m, lambda q: (q["seq"] != r["seq"]) & F.contains(q["seq"], r["seq"]))))
+    matched = F.transform(F.get(alone, F.lit(0)), lambda r: r["name"])
+    matched = F.when((F.size(matched) == 0) & F.contains(row, F.lit(",all-rights,")), F.array(F.lit(NOTICE))).otherwise(matched)
     some = (F.col("sentence_ids") != "") | (F.col("wrapped_ids") != "")
     found = found.withColumn("__l", F.when(some, F.array_distinct(matched)).otherwise(F.array().cast("array<string>")))
     return found.withColumns({"licenses": F.array_join("__l", ","), "license": F.try_element_at("__l", F.lit(1))}).drop("__l")
@@ -301,9 +330,9 @@ cut AS (
 ids AS (
   SELECT doc_id, r, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(short.ids, '') AS sentence_ids, coalesce(long.ids, '') AS wrapped_ids
   FROM cut LEFT JOIN short USING (r) LEFT JOIN long USING (r)),
-found AS (
-  SELECT r, name, min(pos) AS pos FROM ids JOIN rules ON contains(',' || sentence_ids || ',;,' || wrapped_ids || ',', seq)
-  WHERE sentence_ids <> '' OR wrapped_ids <> '' GROUP BY ALL),
-named AS (SELECT r, string_agg(name, ',' ORDER BY pos) AS licenses, min_by(name, pos) AS license FROM found GROUP BY r)
-SELECT doc_id, n_sentences, sentence_ids, wrapped_ids, coalesce(licenses, '') AS licenses, license FROM ids LEFT JOIN named USING (r)
+fits AS (SELECT r, name, seq, pos FROM ids JOIN rules ON contains(',' || sentence_ids || ',;,' || wrapped_ids || ',', seq) WHERE sentence_ids <> '' OR wrapped_ids <> ''),
+found AS (SELECT r, name, min(pos) AS pos FROM fits f WHERE NOT EXISTS (SELECT 1 FROM fits q WHERE q.r = f.r AND q.seq <> f.seq AND contains(q.seq, f.seq)) GROUP BY ALL),
+named AS (SELECT r, string_agg(name, ',' ORDER BY pos) AS licenses, min_by(name, pos) AS license FROM found GROUP BY r),
+noticed AS (SELECT *, CASE WHEN license IS NULL AND contains(',' || sentence_ids || ',;,' || wrapped_ids || ',', ',all-rights,') THEN '{NOTICE}' END AS notice FROM ids LEFT JOIN named USING (r))
+SELECT doc_id, n_sentences, sentence_ids, wrapped_ids, coalesce(licenses, notice, '') AS licenses, coalesce(license, notice) AS license FROM noticed
 """

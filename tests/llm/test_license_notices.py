@@ -80,7 +80,7 @@ NOTICES = [
     (APACHE.replace("http:", "https:"), "Apache-2.0"), (APACHE.partition("Licensed")[2].partition("You may")[1] + APACHE.partition("You may")[2], "Apache-2.0"), (ASF, "Apache-2.0"),
     (GPL.format("either version 3 of the License, or\n(at your option) any later version"), "GPL-3.0-or-later"), (GPL.format("version 3"), "GPL-3.0-only"), (GPL.format("version 3 of the License"), "GPL-3.0-only"),
     (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (MPL, "MPL-2.0"), (CC.format("Attribution"), "CC-BY-4.0"), (CC.format("Attribution-ShareAlike"), "CC-BY-SA-4.0"), (CC.format("Attribution-NonCommercial"), "CC-BY-NC-4.0"),
-    ("Copyright (c) 2020 Some One. All rights reserved.", "proprietary"), ("Not under the Apache License, Version 2.0 (the \"License\")", None), ("See the License for the specific language governing permissions and limitations under the License.", None),
+    ("Copyright (c) 2020 Some One. All rights reserved.", "all-rights-reserved"), ("Not under the Apache License, Version 2.0 (the \"License\")", None), ("See the License for the specific language governing permissions and limitations under the License.", None),
 ]
 
 
@@ -218,3 +218,14 @@ def test_choices_repeats_and_a_very_long_text(spark):
 def test_many_licences_are_known():
     names = {name for name, _ in license_rules.rules()}
     assert len(names) >= 90 and not any("," in i or ";" in i for i in license_rules.known().values())
+
+
+def test_titles_parts_and_reserved_rights(spark):
+    """A title names its licence, a part of a longer rule's sentences no other one, and reserved rights are no licence."""
+    two = license_rules.SENTENCES["bsd-source"] + ".\n" + license_rules.SENTENCES["bsd-binary"] + "."
+    cases = [
+        ("The MIT License (MIT)", "MIT"), ("MIT License\n\nCopyright (c) 2020 A. All rights reserved.", "MIT"), ("License: MIT", "MIT"), ("License: BSD-3-Clause\nName: x", "BSD-3-Clause"), ("the MIT License", ""), ("ISC License", "ISC"),
+        ("Copyright (c) 2020, A\nAll rights reserved.\n\n" + two, "BSD-2-Clause"), (license_rules.SENTENCES["bsd-source"] + ".", "BSD-1-Clause"), ("All rights reserved. My novel.", "all-rights-reserved"), ("License: none", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    assert [r["licenses"] for r in license_rules.scan(df).orderBy("i").collect()] == [name for _, name in cases]
