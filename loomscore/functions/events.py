@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip
+from .text import bound, col, strip
 
 # What an error's text must hold to be worth another attempt, for result objects and for events.
 PASSING = ("rate", "overloaded", "timeout", "network", "529", "503")
@@ -47,11 +47,6 @@ def is_json(body: Column) -> Column:
     return F.coalesce(F.size(alone) == 1, F.lit(False))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def result_object(text: Column | str) -> Column:
     """The JSON object that begins at a text's first brace; the last model of its usage counts."""
     text = col(text)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, quoted, strip
+from .text import bound, col, quoted, strip
 
 # Words and patterns that results depend on.
 ABSTAIN_VALUES = ("abstain", "unknown", "none", "null", "")
@@ -53,10 +53,13 @@ def ids_by_pattern(text: Column, ids: Column) -> Column:
 
 def json_object(text: Column) -> Column:
     """The text from the first "{" to the last "}", of the fenced block if there is one; null if there is none."""
+
+    def within(body: Column) -> Column:
+        start, stop = F.instr(body, "{"), F.length(body) - F.instr(F.reverse(body), "}") + 1
+        return F.when((start > 0) & (F.instr(body, "}") > 0) & (stop > start), F.substring(body, start, stop - start + 1))
+
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    body = F.when(fenced != "", fenced).otherwise(text)
-    start, stop = F.instr(body, "{"), F.length(body) - F.instr(F.reverse(body), "}") + 1
-    return F.when((start > 0) & (F.instr(body, "}") > 0) & (stop > start), F.substring(body, start, stop - start + 1))
+    return bound(fenced, lambda f: bound(F.when(f != "", f).otherwise(text), within))
 
 
 def abstains(text: Column) -> Column:
@@ -65,36 +68,44 @@ def abstains(text: Column) -> Column:
 
 def parse_free(raw: Column | str, ids: Column | str) -> Column:
     raw, ids = col(raw), col(ids)
-    text = strip(raw)
-    found = ids_in(text, ids)
-    return (
-        F.when(raw.isNull(), outcome(None, "missing", "no response"))
-        .when(text == "", outcome(None, "invalid", "empty"))
-        .when(F.size(found) == 1, outcome(F.try_element_at(found, F.lit(1)), "ok", ""))
-        .when(F.size(found) > 1, outcome(None, "invalid", "multiple ids"))
-        .when(abstains(text), outcome(None, "abstain", "abstain pattern"))
-        .otherwise(outcome(None, "invalid", "no candidate id"))
-    )
+
+    def read(text: Column, found: Column) -> Column:
+        return (
+            F.when(raw.isNull(), outcome(None, "missing", "no response"))
+            .when(text == "", outcome(None, "invalid", "empty"))
+            .when(F.size(found) == 1, outcome(F.try_element_at(found, F.lit(1)), "ok", ""))
+            .when(F.size(found) > 1, outcome(None, "invalid", "multiple ids"))
+            .when(abstains(text), outcome(None, "abstain", "abstain pattern"))
+            .otherwise(outcome(None, "invalid", "no candidate id"))
+        )
+
+    return bound(strip(raw), lambda text: bound(ids_in(text, ids), lambda found: read(text, found)))
 
 
 def parse_structured(raw: Column | str, ids: Column | str, field: str = "entity_id") -> Column:
     """Reads ``field`` of the JSON object in an answer; a repeated key counts by its last value."""
     raw, ids = col(raw), col(ids)
-    text = strip(raw)
-    body = json_object(text)
-    read = F.from_json(body, f"`{field}` string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    value = strip(read[field])
-    # only a value that looks like an array is parsed a second time, to tell it from a string that does
-    kind = F.when(value.startswith("["), F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")))
-    return (
-        F.when(raw.isNull(), outcome(None, "missing", "no response"))
-        .when(text == "", outcome(None, "invalid", "empty"))
-        .when(body.isNull() | read["_bad"].isNotNull(), outcome(None, "invalid", "json error"))
-        .when(value.isNull() | F.lower(value).isin(*ABSTAIN_VALUES), outcome(None, "abstain", "abstain value"))
-        .when(kind.startswith("ARRAY"), outcome(None, "invalid", "multiple ids"))
-        .when(F.array_contains(ids, value), outcome(value, "ok", ""))
-        .otherwise(outcome(None, "invalid", "id not in candidates"))
-    )
+
+    def kind(body: Column, value: Column) -> Column:
+        # only a value that looks like an array is parsed a second time, to tell it from a string that does
+        return F.when(value.startswith("["), F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")))
+
+    def of_value(text: Column, body: Column, bad: Column, value: Column) -> Column:
+        return (
+            F.when(raw.isNull(), outcome(None, "missing", "no response"))
+            .when(text == "", outcome(None, "invalid", "empty"))
+            .when(body.isNull() | bad.isNotNull(), outcome(None, "invalid", "json error"))
+            .when(value.isNull() | F.lower(value).isin(*ABSTAIN_VALUES), outcome(None, "abstain", "abstain value"))
+            .when(kind(body, value).startswith("ARRAY"), outcome(None, "invalid", "multiple ids"))
+            .when(F.array_contains(ids, value), outcome(value, "ok", ""))
+            .otherwise(outcome(None, "invalid", "id not in candidates"))
+        )
+
+    def of_body(text: Column, body: Column) -> Column:
+        read = F.from_json(body, f"`{field}` string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+        return bound(read, lambda r: bound(strip(r[field]), lambda value: of_value(text, body, r["_bad"], value)))
+
+    return bound(strip(raw), lambda text: bound(json_object(text), lambda body: of_body(text, body)))
 
 
 def alias_entries(roster: Column, speaker_label: Column, addressee_label: Column | None = None) -> Column:
