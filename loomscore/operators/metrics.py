@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import label_of, label_of_boolean
 
+# The states of a parsed answer.
 STATUSES = ("ok", "invalid", "abstain", "missing", "unmapped")
 
 
