@@ -20,7 +20,8 @@ Empty and null texts score 0 and are rejected; null or new languages and
 sources have buckets of their own; repeated rows score alike.  Repeated labels
 of a document count as good only if all are.  If there are no labels of one
 kind, every text that isn't empty is kept with the labels' share as its score,
-even if all labels are bad.  A class's only label both fits and calibrates.
+even if all labels are bad.  Texts are taken whole whatever their length; a
+score at the threshold is kept.  A class's only label both fits and calibrates.
 ``score`` keeps all columns of its input and replaces those of SCORES and
 ``kept``.
 """

@@ -22,7 +22,8 @@ Tokens are words, runs without ASCII white space.  A null text has none; a
 null source is a source of its own; sources without tokens have weight 0 and
 their documents come once.  Rows of one id and source share their place and
 are repeated alike; null ids count as one id.  Columns with the names of
-results are replaced; empty tables give no rows.
+results are replaced; texts are counted whole whatever their length; empty
+tables give no rows.
 """
 
 from __future__ import annotations

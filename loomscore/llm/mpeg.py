@@ -12,7 +12,8 @@ their side information, where decoders skip ancillary data, 576 bytes of the
 payload each.  A payload is padded with bytes 255 to a positive multiple of
 576; the tag holds its length.
 
-Null texts are stored like empty ones.  A null stream, and one without frames,
+Null texts are stored like empty ones; texts are stored whole whatever their
+length.  A null stream, and one without frames,
 gives no frames, a duration of zero and an empty payload.  Repeated rows get
 equal values; other columns stay, those with the names of results are replaced.
 """

@@ -10,7 +10,8 @@ corpus.
 
 Null and empty texts have no words and fail the base rules; their score is 0.
 Repeated rows are judged alike, columns other than id and text are ignored,
-and an empty table gives no rows.  Without trusted documents both models are
+texts are counted whole whatever their length, a score at the threshold is
+kept, and an empty table gives no rows.  Without trusted documents both models are
 the raw one, and every document that passes the base rules is kept.
 """
 

@@ -17,7 +17,8 @@ there, never all pairs; so no group's pairs are emitted.  Lists are runs of a
 sorted, spilled partition and hold different fingerprints only; 32 agreeing
 bits keep them short, whatever the number of copies.  Components come from
 alternating large and small stars, with the links kept in the shared folder
-from round to round.
+from round to round.  Texts are taken whole whatever their length; a bit that
+is set in just half of the hashes isn't set in the fingerprint.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ a copy of the filter.
 
 Null URLs and those without "://" have an empty host and path and the empty
 key; repeated URLs are judged alike; an empty table or list gives no listed
-keys; columns with the names of results are replaced.
+keys; whole URLs count, whatever their length; of rules equally long the last
+in order wins; columns with the names of results are replaced.
 """
 
 from __future__ import annotations
