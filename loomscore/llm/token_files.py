@@ -22,7 +22,8 @@ broadcast, and the number of shards is a parameter.
 
 Null texts count as empty ones (only the end id is stored); documents without
 an id come first; equal ids stand in the order of their tokens; other columns
-are ignored; an empty table gives no segments.
+are ignored; texts are taken whole whatever their length; an empty table gives
+no segments.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, filterfalse
+from itertools import compress
+from operator import not_
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -53,7 +55,7 @@ HEADER = struct.Struct("<4sIIIQQI")
 BLOCK = struct.Struct("<IBHH")
 BLOCK_IDS, SEGMENT_IDS, PERCENTILE, MAX_SHARDS = 256, 1 << 19, 90, 100_000
 #: Entries of each generation of a cache of ids; rows of which the different words are looked up together.
-HELD, ROWS = 600_000, 1500
+HELD, ROWS = 600_000, 700
 # Letters that normal forms leave alone and lower-casing treats one by one.
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 WORD = re.compile(LETTERS)
@@ -233,10 +235,15 @@ class LibraryIds:
         easy = [self.separable and "<|" not in t and not any(c in t for c in SEPARATORS) for t in texts]
         cut = [UNITS.findall(t) if e else [] for t, e in zip(texts, easy, strict=True)]
         self.units.turn()
-        unseen = set().union(*(filterfalse(self.units.__contains__, c) for c in cut))
+        found = [list(map(self.units.get, c)) for c in cut]
+        # places without ids yet: one look-up for most units, a second one for these only
+        gaps = [list(compress(range(len(c)), map(not_, f))) for c, f in zip(cut, found, strict=True)]
+        unseen = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
         self.learn(unseen)
-        get = self.units.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
+        for c, f, g in zip(cut, found, gaps, strict=True):
+            for i in g:
+                f[i] = self.units[c[i]]
+        out = list(map(b"".join, found))
         hard = [i for i, e in enumerate(easy) if not e]
         for i, ids in zip(hard, self.whole([texts[i] for i in hard]), strict=True):
             out[i] = ids
