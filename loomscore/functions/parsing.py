@@ -126,33 +126,51 @@ def alias_entries(roster: Column, speaker_label: Column, addressee_label: Column
         other = F.coalesce(addressee_label, other)
 
     def pronouns(words: tuple[str, ...], eid: Column) -> Column:
-        return F.when(eid.isNull(), F.array().cast("array<struct<alias:string,eid:string>>")).otherwise(F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("alias"), eid.alias("eid"))))
+        none = F.array().cast("array<struct<alias:string,eid:string>>")
+        return bound(eid, lambda who: F.when(who.isNull(), none).otherwise(F.transform(F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("alias"), who.alias("eid")))))
+
+    def last_of_each(ranked: Column) -> Column:
+        backwards = F.reverse(F.transform(ranked, lambda e: e["alias"]))
+        return bound(backwards, lambda names: F.filter(ranked, lambda e, i: F.array_position(names, e["alias"]) == F.size(names) - i))
 
     said = F.concat(pronouns(ADDRESSEE_PRONOUNS, owner(other)), pronouns(SPEAKER_PRONOUNS, owner(speaker_label)))
-    ranked = F.concat(said, F.filter(plain, lambda e: F.coalesce(e["alias"], F.lit("")) != ""))
-    return F.filter(ranked, lambda e, i: ~F.exists(F.slice(ranked, i + 2, F.size(ranked)), lambda later: later["alias"] == e["alias"]))
+    return bound(F.concat(said, F.filter(plain, lambda e: F.coalesce(e["alias"], F.lit("")) != "")), last_of_each)
 
 
-def parse_by_alias(raw: Column | str, entries: Column) -> Column:
-    """The one entity whose aliases an answer has; longer aliases first, each taken out of the text."""
-    raw = col(raw)
-    text = strip(raw)
-    by_length = F.transform(F.array_sort(F.transform(entries, lambda e, i: F.struct((-F.length(e["alias"])).alias("n"), i.alias("i"), e.alias("e")))), lambda s: s["e"])
+def entities_in(text: Column, entries: Column) -> Column:
+    """The entities whose aliases ``text`` has, longer aliases first, each taken out of it."""
+    # where an alias is taken out a space is left, so one that the text itself lacks comes about only if it has a space
+    some = F.filter(entries, lambda e: text.contains(e["alias"]) | e["alias"].contains(" "))
+    by_length = F.transform(F.array_sort(F.transform(some, lambda e, i: F.struct((-F.length(e["alias"])).alias("n"), i.alias("i"), e.alias("e")))), lambda s: s["e"])
     zero = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("eids"))
 
     def step(s: Column, e: Column) -> Column:
         hit = s["rest"].contains(e["alias"])
         return F.struct(F.when(hit, F.replace(s["rest"], e["alias"], F.lit(" "))).otherwise(s["rest"]).alias("rest"), F.when(hit, F.array_append(s["eids"], e["eid"])).otherwise(s["eids"]).alias("eids"))
 
-    eids = F.array_distinct(F.aggregate(by_length, zero, step, lambda s: s["eids"]))
-    return (
-        F.when(raw.isNull(), outcome(None, "missing", "no response"))
-        .when(text == "", outcome(None, "invalid", "empty"))
-        .when(abstains(text), outcome(None, "abstain", "abstain pattern"))
-        .when(F.size(eids) == 1, outcome(F.try_element_at(eids, F.lit(1)), "ok", ""))
-        .when(F.size(eids) == 0, outcome(None, "unmapped", "no alias matched"))
-        .otherwise(outcome(None, "unmapped", "multiple entities"))
-    )
+    return F.array_distinct(F.aggregate(by_length, zero, step, lambda s: s["eids"]))
+
+
+def parse_by_alias(raw: Column | str, entries: Column) -> Column:
+    """The one entity whose aliases an answer has; longer aliases first, each taken out of the text."""
+    raw = col(raw)
+
+    def of_entities(eids: Column) -> Column:
+        return (
+            F.when(F.size(eids) == 1, outcome(F.try_element_at(eids, F.lit(1)), "ok", ""))
+            .when(F.size(eids) == 0, outcome(None, "unmapped", "no alias matched"))
+            .otherwise(outcome(None, "unmapped", "multiple entities"))
+        )
+
+    def read(text: Column) -> Column:
+        return (
+            F.when(raw.isNull(), outcome(None, "missing", "no response"))
+            .when(text == "", outcome(None, "invalid", "empty"))
+            .when(abstains(text), outcome(None, "abstain", "abstain pattern"))
+            .otherwise(bound(entities_in(text, entries), of_entities))
+        )
+
+    return bound(strip(raw), read)
 
 
 def parse_judgement(raw: Column | str, ids: Column | str, condition: Column | str = "condition") -> Column:

@@ -801,10 +801,16 @@ def parse_mcq_json(spark, sf):
     return views.responses(spark, sf).withColumn("p", parsing.parse_structured("raw_text", ids)).select("ordinal", "p.*")
 
 
+def answered_by_alias(spark, sf):
+    """Responses with ``p``, their entity by the roster's aliases, which are worked out once for all rows."""
+    entries = spark.range(1).select(parsing.alias_entries(views.roster(), F.lit("A"), F.lit("B")).alias("entries"))
+    rows = views.responses(spark, sf).crossJoin(F.broadcast(entries))
+    return rows.withColumn("p", parsing.parse_by_alias("raw_text", F.col("entries"))).drop("entries")
+
+
 @query()
 def parse_qa_alias(spark, sf):
-    entries = parsing.alias_entries(views.roster(), F.lit("A"), F.lit("B"))
-    return views.responses(spark, sf).withColumn("p", parsing.parse_by_alias("raw_text", entries)).select("ordinal", "p.*")
+    return answered_by_alias(spark, sf).select("ordinal", "p.*")
 
 
 @query()

@@ -41,3 +41,9 @@ def test_query(spark, duck, name):
 def test_flagship(spark):
     row = queries.flagship(spark, SF).collect()
     assert {r["condition"] for r in row} == {"full_mcq", "target_only_mcq"} and all(r["ok"] == r["denominator"] for r in row)
+
+
+@pytest.mark.parametrize("name", ["parse_qa_alias"])
+def test_the_rosters_aliases_are_worked_out_once(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") == 1 and plan.count("regexp_replace(") == 1

@@ -206,3 +206,45 @@ def test_speaker_and_addressee_baselines(spark):
     df = spark.createDataFrame([("two", "E1", "A", ["E1", "E2"], ["E2", "E1"], []), ("three", "E1", "A", ["E1", "E2", "E3"], ["E2", "E3", "E1", "E1"], []), ("label", None, "B", [], [], [("E7", "B", []), ("E8", "B", [])])], schema)
     got = {(r["item_id"], r["model_label"]): r["predicted_entity_id"] for r in baselines.run(df, ("current_speaker", "current_addressee")).collect()}
     assert got["two", "current_addressee"] == "E2" and got["three", "current_addressee"] == "E3" and got["label", "current_speaker"] == "E8"
+
+
+def by_alias(raw, roster, speaker, addressee):
+    """What parse_by_alias gives, plainly."""
+    table = {}
+    for label, words in ((addressee or ("B" if speaker == "A" else "A"), parsing.ADDRESSEE_PRONOUNS), (speaker, parsing.SPEAKER_PRONOUNS)):
+        for who in [e for e, n, _ in roster if n == label][-1:]:
+            for w in words:
+                table.pop(w, None)
+                table[w] = who
+    for e, n, others in roster:
+        for a in (e, n, *others):
+            if a:
+                table.pop(a, None)
+                table[a] = e
+    if raw is None:
+        return None, "missing"
+    rest, found = raw.strip(), set()
+    if not rest:
+        return None, "invalid"
+    if any(p in rest for p in parsing.ABSTAIN_PATTERNS):
+        return None, "abstain"
+    for a in sorted(table, key=lambda a: -len(a)):
+        if a in rest:
+            rest = rest.replace(a, " ")
+            found.add(table[a])
+    return (found.pop(), "ok") if len(found) == 1 else (None, "unmapped")
+
+
+def test_aliases_equal_a_plain_version(spark):
+    # repeated aliases, a pronoun as an alias, aliases that only come about when others are taken out
+    roster = [("E1", "A", ["ab", "나"]), ("E2", "B", ["ab", "x y", ""]), ("E3", "C", ["qq", "x", "ab"]), ("E4", "A", ["zqqz", "상대방"])]
+    people = F.array(*(F.struct(F.lit(e).alias("entity_id"), F.lit(n).alias("label"), F.array(*map(F.lit, a)).alias("aliases")) for e, n, a in roster))
+    raw = ["ab", "나", "xqqqy", "x y", "xqqy", "상대", "상대방", "qq ", "E1 E4", "E1", "zqqz", " \t", None, "not enough ab", "none", "화자", "zqqzqq"]
+    for speaker, addressee in (("A", "B"), ("B", None), ("Z", "C")):
+        column = parsing.parse_by_alias("raw", parsing.alias_entries(people, F.lit(speaker), F.lit(addressee).cast("string")))
+        assert parsed(spark, column, *raw) == [by_alias(r, roster, speaker, addressee) for r in raw]
+
+
+def test_aliases_and_the_text_are_worked_out_once(spark):
+    said = str(parsing.parse_by_alias("raw", parsing.alias_entries(F.col("roster"), F.col("speaker"))))
+    assert said.count("regexp_replace") == 1 and said.count("flatten") == 1
