@@ -815,9 +815,7 @@ def parse_qa_alias(spark, sf):
 
 @query()
 def review_queue(spark, sf):
-    entries = parsing.alias_entries(views.roster(), F.lit("A"), F.lit("B"))
-    rows = views.responses(spark, sf).withColumn("p", parsing.parse_by_alias("raw_text", entries)).select("*", "p.parse_status").withColumn("target_speaker_label", F.lit("A"))
-    return runner.review_queue(rows)
+    return runner.review_queue(answered_by_alias(spark, sf).select("*", "p.parse_status").withColumn("target_speaker_label", F.lit("A")))
 
 
 @query("""SELECT item_id, condition, CASE WHEN f > 2 THEN 'missing' ELSE 'ok' END AS status, least(f, 2) AS retries, CASE WHEN f > 2 THEN 'transient: busy' END AS error,

@@ -43,7 +43,14 @@ def test_flagship(spark):
     assert {r["condition"] for r in row} == {"full_mcq", "target_only_mcq"} and all(r["ok"] == r["denominator"] for r in row)
 
 
-@pytest.mark.parametrize("name", ["parse_qa_alias"])
+@pytest.mark.parametrize("name", ["parse_qa_alias", "review_queue"])
 def test_the_rosters_aliases_are_worked_out_once(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("flatten(") == 1 and plan.count("regexp_replace(") == 1
+
+
+def test_the_review_queue_has_all_unmapped_answers(spark):
+    ids = {r["ordinal"]: r["parse_status"] for r in queries.parse_qa_alias(spark, SF).collect()}
+    log = queries.views.responses(spark, SF).collect()
+    names = sorted((f"{r['item_id']}:{r['condition']}:{r['payload_hash'][:8]}", r["raw_text"]) for r in log if ids[r["ordinal"]] == "unmapped")
+    assert names and sorted((r["review_id"], r["raw_text"]) for r in queries.review_queue(spark, SF).collect()) == names
