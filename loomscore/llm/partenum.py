@@ -24,9 +24,9 @@ that to its smallest partner is tried first.  Lists whose members are still in
 different components then give a forest: each member is compared with the
 ``NEAR`` ones before it in a hashed order, and one pair is tried for any two
 components that seem to touch.  Last come the pairs between components that
-are left.  Pairs whose sizes or parity sketches (at least two bits for each
-shingle; a difference flips one bit, so the bits that differ are almost as
-many as the differences) can't be similar enough fall away where they are
+are left.  Pairs whose sizes or parity sketches (at least half a bit for each
+shingle; a difference flips one bit, so no more bits differ than there are
+differences, and of sets far apart nearly half do) can't be similar enough fall away where they are
 met; all others are verified by their whole sets.  So no list's pairs are made
 as long as its members are linked, and no link between different texts is
 lost.
@@ -169,8 +169,8 @@ def finer(x: np.ndarray, percent: int, only: set[int]) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """Parities of the features in classes by their lowest bits, two or more for each feature."""
-    n = 1 << max(LEAST, (2 * len(x) - 1).bit_length())
+    """Parities of the features in classes by their lowest bits, at least one for two features."""
+    n = 1 << max(LEAST, ((len(x) - 1) // 2).bit_length())
     return np.packbits((np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)).tobytes()
 
 
@@ -374,7 +374,7 @@ class Members:
 
 
 def unlike(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b): pairs of a list's members in different components whose sketches don't tell that they aren't linked.
+    """(a, b, sig): pairs of a list's members in different components whose sketches don't tell that they aren't linked.
 
     ``members`` is (sig, row, n, of, apart, sketch), ``of`` the component,
     ``apart`` whether it isn't that of the list's smallest.  For a forest
@@ -385,17 +385,17 @@ def unlike(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Members(percent, forest)
         for b in batches.slices(it, 10_000):
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for sig, row, n, of, apart, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if sig != now:
                     now, held = sig, Members(percent, forest)
-                out += held.pairs(row, n, of, own)
+                out += [(*p, sig) for p in held.pairs(row, n, of, own)]
                 held.add(row, n, of, own, apart)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["a", "b", "sig"])
 
     order = [F.xxhash64("row")] if forest else [F.desc("apart")]
     dealt = members.repartition("sig").sortWithinPartitions("sig", *order, "row")
-    return dealt.select("sig", "row", "n", "of", "apart", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("sig", "row", "n", "of", "apart", "sketch").mapInArrow(run, "a long, b long, sig long")
 
 
 def linked(df: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
@@ -414,15 +414,22 @@ def linked(df: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent:
     links = checked(df, docs, first, size, percent)
     tried = first
     for forest in (True, False):
-        roots = stars(links)
-        rest = scratch.written(open_pairs(out, pairs, roots, docs, percent, forest).join(tried, ["a", "b"], "left_anti"))
+        found, more = open_pairs(out, pairs, stars(links), docs, percent, forest)
+        if forest:
+            out = out.join(joins.sized(scratch.written(more)), "sig", "left_semi")
+        rest = scratch.written(found.join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links, tried = links.unionByName(checked(df, docs, rest, size, percent)), tried.unionByName(rest)
     return stars(links)
 
 
-def open_pairs(out: DataFrame, pairs: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b) in different components of ``roots``: of ``pairs``, and of the lists' other members."""
+def open_pairs(out: DataFrame, pairs: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) in different components of ``roots``: of ``pairs``, and of the lists' other members; and (sig) of the lists that may have more.
+
+    A list has no more links if no pair of it is found here and each of its
+    members is compared with all others: sketches tell apart only what isn't
+    linked, and components only grow.
+    """
     of = joins.sized(roots)
 
     def component(rows: DataFrame, row: str, name: str) -> DataFrame:
@@ -431,11 +438,12 @@ def open_pairs(out: DataFrame, pairs: DataFrame, roots: DataFrame, docs: DataFra
     others = component(component(pairs, "a", "of_a"), "b", "of_b").filter("of_a <> of_b").select("a", "b")
     placed = component(component(out, "row", "of"), "pivot", "of_pivot")
     placed = scratch.written(placed.select("sig", "row", "n", "of", (F.col("of") != F.col("of_pivot")).alias("apart")))
-    undone = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("apart").alias("any")).filter("any AND members > 1").select("sig")
-    members = placed.join(joins.sized(scratch.written(undone)), "sig", "left_semi").join(joins.sized(docs.filter("n > 0").select("row", "sketch")), "row")
+    undone = scratch.written(placed.groupBy("sig").agg(F.count("*").alias("members"), F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most").select("sig", "members"))
+    members = placed.join(joins.sized(undone.select("sig")), "sig", "left_semi").join(joins.sized(docs.filter("n > 0").select("row", "sketch")), "row")
     found = scratch.written(unlike(members, percent, forest))
     scratch.drop(placed)
-    return found.unionByName(others).distinct()
+    more = found.select("sig").unionByName(undone.filter(F.col("members") > NEAR + 1).select("sig")).distinct()
+    return found.select("a", "b").unionByName(others).distinct(), more
 
 
 @lru_cache(8)

@@ -93,6 +93,24 @@ def test_long_lists_span_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("near", [1, 128])
+def test_the_last_pass_reads_only_lists_that_may_have_more_links(spark, monkeypatch, near):
+    """Lists that are compared in full and gave no pair aren't dealt out a second time; longer ones are."""
+    read, unlike = [], partenum.unlike
+
+    def counted(members, percent, forest):
+        read.append(members.count())
+        return unlike(members, percent, forest)
+
+    monkeypatch.setattr(partenum, "NEAR", near)
+    monkeypatch.setattr(partenum, "unlike", counted)
+    r = random.Random(4)
+    bodies = texts(64, 20) + [" ".join(["one passage of all"] + [f"u{r.randint(0, 10**6)}" for _ in range(r.randint(8, 14))]) for _ in range(40)]
+    rows = list(enumerate(bodies))
+    assert components(spark, rows) == sorted(plain_components(rows), key=str)
+    assert len(read) == 2 and read[0] > 100 and (near == 1 or read[1] < read[0] / 2)
+
+
 def test_empty_table_and_very_long_texts(spark):
     assert components(spark, []) == []
     long = [f"v{i}" for i in range(30_000)]
@@ -123,6 +141,17 @@ def test_linked_sets_share_signatures(percent):
         assert len(np.intersect1d(partenum.finer(a, percent, {i.number}), partenum.finer(b, percent, {i.number})))
 
 
+def test_sketches_are_short_and_tell_sets_apart():
+    r = np.random.default_rng(3)
+    for n in (5, 200, 512, 513, 3000):
+        x = np.unique(r.integers(0, 2**64, n, np.uint64))
+        near = np.unique(np.concatenate([x[n // 20 :], r.integers(0, 2**64, n // 20, np.uint64)]))
+        far = np.unique(r.integers(0, 2**64, n, np.uint64))
+        assert len(partenum.sketch(x)) <= max(32, n // 8)
+        assert partenum.apart(partenum.sketch(x), partenum.sketch(near)) <= len(np.setxor1d(x, near))
+        assert n < 50 or 185 * partenum.apart(partenum.sketch(x), partenum.sketch(far)) > 15 * 2 * n
+
+
 def test_sizes_of_bands():
     for percent in (50, 85, 99):
         for n in range(1, 700):
