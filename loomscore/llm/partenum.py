@@ -18,13 +18,15 @@ each; one part has at most two differences, so three of its cells have none,
 and the signatures are the hashes of each choice of three cells.  There all
 shared signatures count.
 
-Equal sets are one before anything is paired.  In a list of sets that share a
+Equal sets are one before anything is paired, and of lists with the same
+members one is kept.  In a list of sets that share a
 signature only links to the smallest are looked at, and of these for each set
 that to its smallest partner is tried first.  Lists whose members are still in
 different components then give a forest: each member is compared with the
 ``NEAR`` ones before it in a hashed order, and one pair is tried for any two
 components that seem to touch.  Last come the pairs between components that
-are left.  Pairs whose sizes or parity sketches (at least half a bit for each
+are left.  Lists with one smallest member are dealt together, up to some
+thousands of rows, and a pair is told once for all of them.  Pairs whose sizes or parity sketches (at least half a bit for each
 shingle; a difference flips one bit, so no more bits differ than there are
 differences, and of sets far apart nearly half do) can't be similar enough fall away where they are
 met; all others are verified by their whole sets.  So no list's pairs are made
@@ -53,6 +55,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +70,8 @@ LEFT, CELLS = 2, 5
 CHOICES = np.array(list(combinations(range(CELLS), CELLS - LEFT)))
 #: Members before it that a list's member is compared with for the forest.
 NEAR = 128
+#: Rows of lists with one smallest member that are compared in one task, and pairs that it remembers.
+TOGETHER, SEEN = 20_000, 1_000_000
 #: Words held with their hashes.
 HELD = 200_000
 #: Bits of the smallest sketch, as a power of two.
@@ -220,7 +225,10 @@ def exploded(df: DataFrame, sigs: str = "sigs") -> DataFrame:
 
 
 def lists(rows: DataFrame, common: int | None) -> DataFrame:
-    """(sig, pivot, n_pivot, row, n): members of each list beside its smallest; pivot is null in lists of more than ``common``, which name all members.
+    """(sig, pivot, n_pivot, row, n, own): members of each list beside its smallest; pivot is null in lists of more than ``common``, which name all members.
+
+    ``own`` is a hash of the members, or of the signature where they weren't
+    in hand together.
 
     Lists are runs of a sorted partition.  What is in hand is a batch and at
     most ``COMMON`` rows of the run that may go on in the next.
@@ -229,8 +237,9 @@ def lists(rows: DataFrame, common: int | None) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tuple(np.zeros(0, np.int64) for _ in range(3))
         over = None  # the signature of a void list that goes on
+        part = None  # that of a list of which a part is out
 
-        def out(sig: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def out(sig: np.ndarray, row: np.ndarray, n: np.ndarray, goes_on: bool = False) -> pa.RecordBatch:
             begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             lengths = np.diff([*begins, len(sig)])
             first = np.repeat(begins, lengths)
@@ -239,7 +248,9 @@ def lists(rows: DataFrame, common: int | None) -> DataFrame:
                 void |= sig == over
             take = void | (np.arange(len(sig)) != first)
             pivot = pa.array(row[first][take], pa.int64(), mask=void[take])
-            return pa.RecordBatch.from_arrays([pa.array(sig[take]), pivot, pa.array(n[first][take]), pa.array(row[take]), pa.array(n[take])], ["sig", "pivot", "n_pivot", "row", "n"])
+            own = np.bitwise_xor.reduceat(mixed(row.astype(np.uint64) + salt(3)), begins)
+            own = np.where((sig == part) | goes_on, sig, np.repeat(own, lengths).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(sig[take]), pivot, pa.array(n[first][take]), pa.array(row[take]), pa.array(n[take]), pa.array(own[take])], ["sig", "pivot", "n_pivot", "row", "n", "own"])
 
         for b in it:
             if not b.num_rows:
@@ -252,14 +263,21 @@ def lists(rows: DataFrame, common: int | None) -> DataFrame:
                 held = sig[last:], row[last:], n[last:]
                 over = None
                 continue
-            yield out(sig[last:], row[last:], n[last:])
+            yield out(sig[last:], row[last:], n[last:], True)
             keep = 0 if common else 1  # the smallest goes on beside the others
-            over = int(sig[-1]) if common else None
+            part = int(sig[-1])
+            over = part if common else None
             held = sig[last : last + keep], row[last : last + keep], n[last : last + keep]
         if len(held[0]):
             yield out(*held)
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "row").mapInArrow(run, "sig long, pivot long, n_pivot long, row long, n long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "row").mapInArrow(run, "sig long, pivot long, n_pivot long, row long, n long, own long")
+
+
+def single(rows: DataFrame) -> DataFrame:
+    """``rows`` (lists) without those lists that have the members of another one."""
+    once = scratch.written(rows.groupBy("pivot", "own").agg(F.min("sig").alias("sig")).select("sig").distinct())
+    return scratch.written(rows.join(joins.sized(once), "sig", "left_semi").drop("own"))
 
 
 def could_link(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -272,6 +290,11 @@ def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
 
 
+def sketches(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, sketch) of ``rows`` (row, repeats allowed)."""
+    return scratch.written(docs.select("row", "sketch").join(joins.sized(scratch.written(rows.distinct())), "row", "left_semi"))
+
+
 def sifted(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b, n_a, n_b) whose sketches differ in no more bits than linked sets do."""
 
@@ -281,7 +304,7 @@ def sifted(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             keep = [(100 + percent) * apart(x, y) <= (100 - percent) * m for x, y, m in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), n, strict=True)]
             yield b.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = beside(pairs, docs.filter("n > 0").select("row", "sketch"))
+    both = beside(pairs, sketches(docs, pairs.select(F.explode(F.array("a", "b")).alias("row"))))
     return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
@@ -376,26 +399,37 @@ class Members:
 def unlike(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(a, b, sig): pairs of a list's members in different components whose sketches don't tell that they aren't linked.
 
-    ``members`` is (sig, row, n, of, apart, sketch), ``of`` the component,
-    ``apart`` whether it isn't that of the list's smallest.  For a forest
-    (each member with those before it, one pair a component) what is in hand
-    of a list are ``NEAR`` members, else those that are still apart.
+    ``members`` is (pivot, part, sig, row, n, of, apart, sketch), ``of`` the
+    component, ``apart`` whether it isn't that of the list's smallest.  For a
+    forest (each member with those before it, one pair a component) what is in
+    hand of a list are ``NEAR`` members, else those that are still apart.
+    Lists with one smallest member and part come one after another, and a pair
+    is told for the first of them that has it; a forest tells the others as
+    (null, null, sig).
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, Members(percent, forest)
+        now, near, held = None, None, Members(percent, forest)
+        seen: set[tuple[int, int]] = set()
+        said = False  # whether the list has a row
         for b in batches.slices(it, 10_000):
-            out: list[tuple[int, int, int]] = []
-            for sig, row, n, of, apart, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out: list[tuple[int | None, int | None, int]] = []
+            for pivot, part, sig, row, n, of, apart, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (pivot, part) != near or len(seen) > SEEN:
+                    near, seen = (pivot, part), set()
                 if sig != now:
-                    now, held = sig, Members(percent, forest)
-                out += [(*p, sig) for p in held.pairs(row, n, of, own)]
+                    now, held, said = sig, Members(percent, forest), False
+                found = held.pairs(row, n, of, own)
+                new = [(*p, sig) for p in found if p not in seen]
+                out += new or ([(None, None, sig)] if forest and found and not said else [])
+                said = said or bool(found)
+                seen.update(found)
                 held.add(row, n, of, own, apart)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["a", "b", "sig"])
 
     order = [F.xxhash64("row")] if forest else [F.desc("apart")]
-    dealt = members.repartition("sig").sortWithinPartitions("sig", *order, "row")
-    return dealt.select("sig", "row", "n", "of", "apart", "sketch").mapInArrow(run, "a long, b long, sig long")
+    dealt = members.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "sig", *order, "row")
+    return dealt.select("pivot", "part", "sig", "row", "n", "of", "apart", "sketch").mapInArrow(run, "a long, b long, sig long")
 
 
 def linked(df: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
@@ -408,8 +442,9 @@ def linked(df: DataFrame, docs: DataFrame, found: DataFrame, size: int, percent:
     out = found.filter("pivot <> row")
     if not more.isEmpty():
         out = out.unionByName(scratch.written(lists(exploded(finely(df, docs, more, size, percent)), None)).filter("pivot <> row"))
+    out = single(out)
     pairs = out.filter(could_link(F.col("n_pivot"), F.col("n"), percent)).select(F.col("row").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("n_pivot").alias("n_b")).distinct()
-    pairs = scratch.written(sifted(pairs, docs, percent))
+    pairs = scratch.written(sifted(scratch.written(pairs), docs, percent))
     first = scratch.written(pairs.groupBy("a").agg(F.min("b").alias("b")))
     links = checked(df, docs, first, size, percent)
     tried = first
@@ -437,13 +472,16 @@ def open_pairs(out: DataFrame, pairs: DataFrame, roots: DataFrame, docs: DataFra
 
     others = component(component(pairs, "a", "of_a"), "b", "of_b").filter("of_a <> of_b").select("a", "b")
     placed = component(component(out, "row", "of"), "pivot", "of_pivot")
-    placed = scratch.written(placed.select("sig", "row", "n", "of", (F.col("of") != F.col("of_pivot")).alias("apart")))
-    undone = scratch.written(placed.groupBy("sig").agg(F.count("*").alias("members"), F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most").select("sig", "members"))
-    members = placed.join(joins.sized(undone.select("sig")), "sig", "left_semi").join(joins.sized(docs.filter("n > 0").select("row", "sketch")), "row")
-    found = scratch.written(unlike(members, percent, forest))
+    placed = scratch.written(placed.select("sig", "pivot", "row", "n", "of", (F.col("of") != F.col("of_pivot")).alias("apart")))
+    undone = placed.groupBy("sig", "pivot").agg(F.count("*").alias("members"), F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most")
+    parts = 1 + F.floor(F.sum("members").over(W.partitionBy("pivot")) / TOGETHER)
+    undone = scratch.written(undone.select("sig", "members", F.pmod(F.xxhash64("sig"), parts).alias("part")))
+    members = scratch.written(placed.join(joins.sized(undone.select("sig", "part")), "sig"))
     scratch.drop(placed)
+    found = scratch.written(unlike(members.join(joins.sized(sketches(docs, members.select("row"))), "row"), percent, forest))
+    scratch.drop(members)
     more = found.select("sig").unionByName(undone.filter(F.col("members") > NEAR + 1).select("sig")).distinct()
-    return found.select("a", "b").unionByName(others).distinct(), more
+    return found.filter("a IS NOT NULL").select("a", "b").unionByName(others).distinct(), more
 
 
 @lru_cache(8)

@@ -111,6 +111,51 @@ def test_the_last_pass_reads_only_lists_that_may_have_more_links(spark, monkeypa
     assert len(read) == 2 and read[0] > 100 and (near == 1 or read[1] < read[0] / 2)
 
 
+def test_pairs_of_many_lists_are_told_once(spark, monkeypatch):
+    """Sets just too far apart share many lists, of which many have the same members: each pair is told about once, not for each list."""
+    told, read, unlike = [], [], partenum.unlike
+
+    def counted(members, percent, forest):
+        read.append((members.count(), members.select("row").distinct().count()))
+        found = unlike(members, percent, forest)
+        told.append((found.count(), found.filter("a IS NOT NULL").select("a", "b").distinct().count()))
+        return found
+
+    monkeypatch.setattr(partenum, "unlike", counted)
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    bodies = []
+    for k in range(30):
+        words = list(base)
+        for i in r.sample(range(0, 300, 10), 3):  # of 297 shingles each differs in about 12, two in about 24
+            words[i] = f"own{k}-{i}"
+        bodies.append(" ".join(words + [f"end{k}-{i}" for i in range(15)]))
+    rows = list(enumerate(bodies))
+    assert components(spark, rows) == sorted(plain_components(rows), key=str)
+    assert read[0][1] >= 20 and told[-1][1] >= 20
+    assert told[-1][0] <= 8 * told[-1][1]
+
+
+def test_lists_with_the_same_members_are_kept_once(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "COMMON", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    lists = [[1, 2], [1, 2], [1, 2, 3], [2, 3], [1, 2, 3], [7], list(range(20, 32)), list(range(20, 32))]
+    df = spark.createDataFrame([(s, row, row + 100) for s, rows in enumerate(lists) for row in rows], "sig long, row long, n long")
+    try:
+        for common in (4, None):
+            found = partenum.lists(df, common).filter("pivot <> row")
+            kept = {}
+            for sig, pivot, n_pivot, row, n in partenum.single(found).collect():
+                assert (n_pivot, n) == (pivot + 100, row + 100)
+                kept.setdefault((sig, pivot), []).append(row)
+            short = [(p, *sorted(x)) for (_, p), x in kept.items() if p < 20]
+            assert sorted(short) == [(1, 2), (1, 2, 3), (2, 3)]
+            long = [(p, *sorted(x)) for (_, p), x in kept.items() if p >= 20]
+            assert set(long) == (set() if common else {tuple(range(20, 32))})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty_table_and_very_long_texts(spark):
     assert components(spark, []) == []
     long = [f"v{i}" for i in range(30_000)]
