@@ -35,7 +35,6 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import compress
-from operator import not_
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -91,9 +90,7 @@ def _pack(rows: np.ndarray, percentile: int) -> list[bytes]:
         which = np.flatnonzero(widths == width)
         part = rest[which]
         over = part >> width > 0
-        kind, bits = cell(width)
-        body = np.unpackbits(np.where(over, 0, part).astype(kind).view(np.uint8).reshape(len(which), n, bits // 8), axis=2)[:, :, bits - width :]
-        body = np.packbits(body.reshape(len(which), -1), axis=1)
+        body = packed_bits(np.where(over, 0, part), width)
         size, packed = body.shape[1], body.tobytes()
         row, at = np.nonzero(over)
         cuts = np.searchsorted(row, np.arange(len(which) + 1)).tolist()
@@ -104,9 +101,34 @@ def _pack(rows: np.ndarray, percentile: int) -> list[bytes]:
     return out
 
 
-def cell(width: int) -> tuple[str, int]:
-    """The smallest big-endian integer that holds ``width`` bits, and its bits."""
-    return (">u2", 16) if width <= 16 else (">u4", 32)
+def packed_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values of ``width`` bits each, highest bit first, as rows of bytes: eight values fill ``width`` bytes."""
+    rows, n = values.shape
+    eights = np.zeros((8, rows, -(-n // 8)), np.int64)
+    for k in range(min(8, n)):
+        eights[k, :, : len(range(k, n, 8))] = values[:, k::8]
+    out = np.zeros((rows, eights.shape[2], width), np.uint8)
+    for j in range(width):
+        for k in range(8 * j // width, (8 * j + 7) // width + 1):  # values with bits in byte j
+            shift = 8 * (j + 1) - width * (k + 1)
+            out[:, :, j] |= (eights[k] << shift if shift >= 0 else eights[k] >> -shift).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : (n * width + 7) // 8]
+
+
+def unpacked_bits(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The ``n`` values of each row of ``packed_bits``."""
+    rows, groups = len(raw), -(-n // 8)
+    held = np.zeros((rows, groups * width), np.uint8)
+    held[:, : raw.shape[1]] = raw
+    held = np.ascontiguousarray(held.reshape(rows, groups, width).transpose(2, 0, 1)).astype(np.int64)
+    out = np.zeros((rows, groups, 8), np.int64)
+    for k in range(8 if width else 0):
+        first, last = width * k // 8, (width * (k + 1) - 1) // 8
+        value = held[first] & ((1 << 8 * (first + 1) - width * k) - 1)
+        for j in range(first + 1, last + 1):
+            value = value << 8 | held[j]
+        out[:, :, k] = value >> 8 * (last + 1) - width * (k + 1)
+    return out.reshape(rows, -1)[:, :n]
 
 
 def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
@@ -118,11 +140,8 @@ def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
         groups.setdefault((width, n), []).append(i)
     for (width, n), which in groups.items():
         size = (n * width + 7) // 8
-        kind, wide = cell(width)
         raw = np.frombuffer(b"".join([blocks[i][BLOCK.size : BLOCK.size + size] for i in which]), np.uint8).reshape(len(which), size)
-        bits = np.zeros((len(which), n, wide), np.uint8)
-        bits[:, :, wide - width :] = np.unpackbits(raw, axis=1)[:, : n * width].reshape(len(which), n, width)
-        values = np.packbits(bits, axis=2).reshape(len(which), -1).view(kind).astype(np.int64)
+        values = unpacked_bits(raw, width, n)
         odd = [heads[i][3] for i in which]
         at = np.frombuffer(b"".join([blocks[i][BLOCK.size + size : BLOCK.size + size + 2 * k] for i, k in zip(which, odd, strict=True)]), "<u2")
         values[np.repeat(np.arange(len(which)), odd), at] = np.frombuffer(b"".join([blocks[i][BLOCK.size + size + 2 * k :] for i, k in zip(which, odd, strict=True)]), "<u4")
@@ -167,6 +186,14 @@ class Segment:
 # -- the library's ids -------------------------------------------------------
 
 
+def places_of_none(values: list) -> list[int]:
+    """Where ``values`` has None; most lists have few."""
+    out = []
+    for _ in range(values.count(None)):
+        out.append(values.index(None, out[-1] + 1 if out else 0))
+    return out
+
+
 class LibraryIds:
     """Ids of whole texts as the tokenizers library gives them, without special tokens around.
 
@@ -237,7 +264,7 @@ class LibraryIds:
         self.units.turn()
         found = [list(map(self.units.get, c)) for c in cut]
         # places without ids yet: one look-up for most units, a second one for these only
-        gaps = [list(compress(range(len(c)), map(not_, f))) for c, f in zip(cut, found, strict=True)]
+        gaps = list(map(places_of_none, found))
         unseen = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
         self.learn(unseen)
         for c, f, g in zip(cut, found, gaps, strict=True):

@@ -87,6 +87,22 @@ def test_segments_give_back_their_ids(n, high):
     assert (s.doc_ids, s.lengths.tolist(), s.first) == ([None, 7], [n // 3, n - n // 3], 5)
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 100, 256])
+def test_packed_bits_are_those_of_each_value_in_a_row(n):
+    r = np.random.default_rng(n)
+    for width in range(33):
+        values = r.integers(0, 1 << width, (3, n))
+        bits = ["".join(f"{v:0{width}b}" for v in row) if width else "" for row in values.tolist()]
+        plain = [bytes(int(b[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(b), 8)) for b in bits]
+        found = token_files.packed_bits(values, width)
+        assert [x.tobytes() for x in found] == plain
+        assert (token_files.unpacked_bits(found, width, n) == values).all()
+
+
+def test_places_without_ids():
+    assert [token_files.places_of_none(x) for x in ([], [None], [b"", None, b"a", None], [b""])] == [[], [0], [1, 3], []]
+
+
 def test_outliers_are_exceptions():
     ids = np.array([5] * 250 + [4_000_000_000] * 6)
     (block,) = token_files.pack_blocks(ids)
