@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows that are in Python's hands at a time, and bytes of their texts if there is more than one row.
 ROWS, BYTES = 500, 4 << 20
+#: Spark's setting for the bytes of a batch that it hands to Python, and its default.
+SETTING, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 
 def texts(values: list[bytes | None]) -> list[str]:
@@ -42,6 +44,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, most: int = BYTE
             start = stop
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches of about BYTES at most, which the executor and Python each hold whole.
+
+    The session's setting is changed only where it has Spark's default; what
+    Arrow keeps for later batches is given back at a task's end, as Spark
+    keeps the worker for other stages.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(SETTING).rstrip("b") == DEFAULT:
+        conf.set(SETTING, str(BYTES))
+
+    def released(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
+
+
 def append(df: DataFrame, source: str, target: str, kind: T.DataType, factory: Callable[[], Callable[[list], list]], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with column ``target`` computed from ``source`` (given as bytes).
 
@@ -57,16 +77,16 @@ def append(df: DataFrame, source: str, target: str, kind: T.DataType, factory: C
     return append_all(df, source, {target: kind}, one, drop)
 
 
-def append_all(df: DataFrame, source: str, targets: dict[str, T.DataType], factory: Callable[[], Callable[[list], list[list]]], drop: tuple[str, ...] = ()) -> DataFrame:
-    """As ``append`` for several columns, computed in one pass by one worker: results are a list for each target."""
+def append_all(df: DataFrame, source: str, targets: dict[str, T.DataType], factory: Callable[[], Callable[[list], list[list]]], drop: tuple[str, ...] = (), most: int = BYTES) -> DataFrame:
+    """As ``append`` for several columns, computed in one pass by one worker, ``most`` bytes of text at a time: results are a list for each target."""
     keep = [c for c in df.columns if c not in drop and c not in targets]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(t, k) for t, k in targets.items())])
     arrow, names = [to_arrow_type(k) for k in targets.values()], [*keep, *targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = factory()
-        for b in slices(batches):
+        for b in slices(batches, most=most):
             out = [pa.array(v, k) for v, k in zip(f(b.column(len(keep)).to_pylist()), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *out], names)
 
-    return df.select(*keep, F.col(source).cast("binary").alias("__source")).mapInArrow(run, schema)
+    return mapped(df.select(*keep, F.col(source).cast("binary").alias("__source")), run, schema)

@@ -40,6 +40,8 @@ SHORT = 96
 CELLS = 1 << 18
 #: Ids that are decoded side by side, if a single text has no more.
 TOGETHER = 1 << 17
+#: Bytes of texts that ``round_trip`` has in hand: chunks of the text, as strings in lists, take some twelve times as much.
+TEXT_BYTES = 1 << 20
 #: Entries of each generation of a cache.
 CACHED = 60_000
 NONE = np.int32((1 << 31) - 1)
@@ -320,4 +322,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
 
         return both
 
-    return batches.append_all(df, text, {ids: T.BinaryType(), decoded: T.StringType()}, factory, (text,) if drop_text else ())
+    return batches.append_all(df, text, {ids: T.BinaryType(), decoded: T.StringType()}, factory, (text,) if drop_text else (), TEXT_BYTES)
