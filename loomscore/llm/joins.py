@@ -20,8 +20,12 @@ def row_bytes(schema: T.StructType) -> F.Column:
 
 def sized(df: DataFrame, most: int = MOST) -> DataFrame:
     """``df``, to be broadcast if its rows take at most ``most`` bytes; a larger one is joined by a shuffle."""
-    held = df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()[0]
-    return F.broadcast(df) if held <= most else df
+    return F.broadcast(df) if fits(df, most) else df
+
+
+def fits(df: DataFrame, most: int = MOST) -> bool:
+    """Whether the rows take at most ``most`` bytes."""
+    return df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))).first()[0] <= most
 
 
 def flagged(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:

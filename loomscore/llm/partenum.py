@@ -77,8 +77,8 @@ HELD = 200_000
 #: Bits of the smallest sketch, as a power of two.
 LEAST = 8
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bits of a signature below its instance's number.
-BITS = 53
+#: Bits of a signature below its instance's number: each one more is shuffled with every signature, and lists that share one by chance only make pairs that fall away.
+BITS = 40
 
 
 class Instance(NamedTuple):
@@ -285,9 +285,16 @@ def could_link(n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with what ``values`` (row, value) has for each: x and y."""
-    held = joins.sized(values)
-    return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    """``pairs`` (a, b, ...) with what ``values`` (row, value) has for each: x and y.
+
+    Values too large to broadcast meet the pairs, which are smaller, where they
+    lie; they are shuffled by b only, those of a once a pair and those of b once.
+    """
+    if joins.fits(values):
+        held = F.broadcast(values)
+        return pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    theirs = values.toDF("b", "y").join(joins.sized(pairs.select("b").distinct()), "b", "left_semi")
+    return values.toDF("a", "x").join(joins.sized(pairs), "a").join(theirs, "b")
 
 
 def sketches(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -399,8 +406,9 @@ class Members:
 def unlike(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(a, b, sig): pairs of a list's members in different components whose sketches don't tell that they aren't linked.
 
-    ``members`` is (pivot, part, sig, row, n, of, apart, sketch), ``of`` the
-    component, ``apart`` whether it isn't that of the list's smallest.  For a
+    ``members`` is (pivot, part, sig, row, n, of, apart, sketch), dealt by
+    pivot and part; ``of`` is the component, ``apart`` whether it isn't that
+    of the list's smallest.  For a
     forest (each member with those before it, one pair a component) what is in
     hand of a list are ``NEAR`` members, else those that are still apart.
     Lists with one smallest member and part come one after another, and a pair
@@ -428,7 +436,7 @@ def unlike(members: DataFrame, percent: int, forest: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["a", "b", "sig"])
 
     order = [F.xxhash64("row")] if forest else [F.desc("apart")]
-    dealt = members.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "sig", *order, "row")
+    dealt = members.sortWithinPartitions("pivot", "part", "sig", *order, "row")
     return dealt.select("pivot", "part", "sig", "row", "n", "of", "apart", "sketch").mapInArrow(run, "a long, b long, sig long")
 
 
@@ -476,9 +484,12 @@ def open_pairs(out: DataFrame, pairs: DataFrame, roots: DataFrame, docs: DataFra
     undone = placed.groupBy("sig", "pivot").agg(F.count("*").alias("members"), F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most")
     parts = 1 + F.floor(F.sum("members").over(W.partitionBy("pivot")) / TOGETHER)
     undone = scratch.written(undone.select("sig", "members", F.pmod(F.xxhash64("sig"), parts).alias("part")))
-    members = scratch.written(placed.join(joins.sized(undone.select("sig", "part")), "sig"))
+    members = placed.join(joins.sized(undone.select("sig", "part")), "sig")
+    # a row's lists with one smallest member are one row until they are dealt, so that its sketch is shuffled once for all of them
+    members = scratch.written(members.groupBy("pivot", "part", "row", "n", "of", "apart").agg(F.collect_list("sig").alias("sigs")))
     scratch.drop(placed)
-    found = scratch.written(unlike(members.join(joins.sized(sketches(docs, members.select("row"))), "row"), percent, forest))
+    beside_sketches = members.join(joins.sized(sketches(docs, members.select("row"))), "row").repartition("pivot", "part")
+    found = scratch.written(unlike(beside_sketches.withColumn("sig", F.explode("sigs")).drop("sigs"), percent, forest))
     scratch.drop(members)
     more = found.select("sig").unionByName(undone.filter(F.col("members") > NEAR + 1).select("sig")).distinct()
     return found.filter("a IS NOT NULL").select("a", "b").unionByName(others).distinct(), more
